@@ -118,17 +118,17 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3) -> DataFrame:
-    """Rows ``(id, fp, component_id)``, one for each row of ``docs``.
+    """Rows ``(id, hash, fp, component_id)``, one for each row of ``docs``; hash is the XXH64 of the text.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` bits,
     itself included.  Rows with equal fingerprints are linked.  A null or empty text has
     fingerprint 0 and is linked like any other; null ids are ignored by the minimum, and
     a component of null ids only has a null id.  Repeated rows are returned as often as given.
     """
-    prints = stored(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp", words, ["id"]))
+    prints = stored(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), "text", "fp", words, ["id", "hash"]))
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes.select("fp"), radius))
     rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     crowd = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(crowd, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    return prints.join(named, "fp").select("id", "hash", "fp", "component_id")
