@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontam, langid, mixing, sharding, simhash
+from leafmill.llm import chat, decontam, langid, license, mixing, sharding, simhash
 from leafmill.llm._store import stored
 from leafmill.sources.tables import table
 
@@ -56,6 +56,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    out = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    at = F.transform("places", lambda p: p.at)
+    base = F.array_distinct(F.transform("places", lambda p: p.label))
+    more = F.transform("matches", lambda m: m.label)
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).cast("long").alias("first_word"),
+        F.array_max(at).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
+        "score",
+    )
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted, and what reading the output gives back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -78,6 +96,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_ASCII_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+')"
 
@@ -101,6 +120,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
+def _op8_sql() -> str:
+    """Brute force: every line against every template, every word place against every phrase."""
+    quoted = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license.PHRASES.items())
+    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, '{label}')" for t, label in license.TEMPLATES.items())
+    words = lambda x: f"regexp_extract_all(translate({x}, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, {words('text')} AS w FROM d),
+p AS (SELECT * FROM (VALUES {phrases}) v(p, label)),
+pl AS (SELECT r, label, pos FROM (SELECT r, w, p, label, unnest(generate_series(0, len(w) - len(p))) AS pos FROM w, p) WHERE list_slice(w, pos + 1, pos + len(p)) = p),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY r),
+l AS (SELECT r, {words('line')} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+t AS (SELECT * FROM (VALUES {templates}) v(t, label)),
+m AS (SELECT r, label, len(list_intersect(t, w)) / len(t) AS score FROM l, t WHERE len(list_intersect(t, w)) >= ceil({license.THRESHOLD} * len(t) - 1e-9)),
+s AS (SELECT r, max(score) AS score FROM m GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM pl) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(score, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN s USING (r) LEFT JOIN a USING (r)
+"""
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -120,10 +163,12 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op8_license": op8_license,
     "op10_chat": op10_chat,
 }
 SQL: dict[str, str] = {
     "op3_mixing": mixing.mix_sql(),
     "op6_decontamination": OP6_SQL,
+    "op8_license": _op8_sql(),
     "op10_chat": OP10_SQL,
 }
