@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontam, langid, license, mixing, sharding, simhash
+from leafmill.llm import ann, chat, decontam, langid, license, mixing, sharding, simhash
 from leafmill.llm._store import stored
 from leafmill.sources.tables import table
 
@@ -56,6 +56,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vector whose id is divisible by 50."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     out = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
@@ -163,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_ann": op7_ann,
     "op8_license": op8_license,
     "op10_chat": op10_chat,
 }

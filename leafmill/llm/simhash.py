@@ -98,7 +98,9 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
         keep = _signed(sum(1 << b for b in kept))
         name = _signed(sum((tag >> i & 1) << b for i, b in enumerate(block)))  # tells the blocks apart, in the bits that are masked off
         masked += [(keep, flip ^ name) for flip in _ball(radius // 2, kept)]
-    variants = prints.select(
+    spark = prints.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    variants = prints.repartition(n, "fp").select(
         "fp", F.explode(F.arrays_zip(_longs([k for k, _ in masked]).alias("keep"), _longs([f for _, f in masked]).alias("flip"))).alias("v")
     ).select("fp", F.expr("(fp & v.keep) ^ v.flip").alias("variant"))
     # A variant holds a fingerprint once at most, so even one crowd of near copies is a small part of all variants.
@@ -107,14 +109,12 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     low, high = radius // 2, radius - radius // 2
     bits = list(range(BITS))
     around = [(m, True) for m in _ball(low, bits)] + [(m, False) for n in range(low + 1, high + 1) for m in _flips(n, bits)]
-    full = near.select(
+    full = near.repartition(n, "fp").select(
         "fp", F.explode(F.arrays_zip(_longs([m for m, _ in around]).alias("flip"), _longs([int(c) for _, c in around]).alias("close"))).alias("v")
     ).select("fp", F.expr("fp ^ v.flip").alias("variant"), (F.col("v.close") == 1).alias("close"))
-    hubs = full.groupBy("variant").agg(
-        F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"), F.min("fp").alias("first"), F.max("fp").alias("last")
-    )
-    hubs = hubs.where("hub is not null and first <> last").select("variant", "hub")
-    return full.join(hubs, "variant").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    # A window and no join: the planner takes the exploded side for as small as its few fingerprints and would broadcast it.
+    hub = F.min(F.when(F.col("close"), F.col("fp"))).over(W.partitionBy("variant"))
+    return full.select("fp", hub.alias("hub")).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3) -> DataFrame:
