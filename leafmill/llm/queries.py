@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import ann, chat, decontam, langid, license, mixing, sharding, simhash
+from leafmill.llm import ann, chat, decontam, langid, license, mixing, pii, sharding, simhash
 from leafmill.llm._store import stored
 from leafmill.sources.tables import table
 
@@ -22,6 +22,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    out = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s.base)
+    count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked cell weight, sampling probability and decision of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -164,6 +173,7 @@ FROM c GROUP BY conv_id
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
