@@ -40,11 +40,9 @@ def _doubled(nodes: DataFrame) -> list[DataFrame]:
     levels = [at]
     while not at.where("anc is not null").isEmpty():
         up = at.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("anc").alias("_anc"), F.col("hops").alias("_hops"), F.col("sum").alias("_sum"))
-        at = stored(
-            at.join(up, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("anc") == F.col("_n")), "left").select(
-                "tree", "node", F.col("_anc").alias("anc"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum")
-            )
-        )
+        on = F.col("tree").eqNullSafe(F.col("_t")) & (F.col("anc") == F.col("_n"))
+        moved = at.where("anc is not null").join(up, on).select("tree", "node", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("sum") + F.col("_sum")).alias("sum"))
+        at = stored(moved.union(at.where("anc is null")))  # what has reached its root isn't joined again
         levels.append(at)
         if len(levels) > 64:
             raise ValueError("the parents form a cycle")
