@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import ann, chat, decontam, langid, license, mixing, pii, sharding, simhash
+from leafmill.llm import ann, chat, decontam, langid, license, mixing, pii, sharding, simhash, subdedup
 from leafmill.llm._store import stored
 from leafmill.sources.tables import table
 
@@ -88,6 +88,12 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of every document: how many, which go, and the documents that keep them."""
+    out = subdedup.by_document(subdedup.repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "removed", "first_ids")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted, and what reading the output gives back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -180,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_ann": op7_ann,
     "op8_license": op8_license,
+    "op9_paragraphs": op9_paragraphs,
     "op10_chat": op10_chat,
 }
 SQL: dict[str, str] = {
