@@ -3,10 +3,11 @@
 A paragraph is a line of at least ``MIN_WORDS`` words.  Equal paragraphs collapse by hash first.  Each
 distinct one gets a MinHash of its word shingles, cut into bands that are tuned for high recall at
 the wanted similarity.  In each band's bucket all members are verified against the bucket's smallest
-key by exact Jaccard similarity; those that fail it are verified against every other member, so no pair
-of the bucket that meets the similarity is lost from the components while buckets of true copies
-stay linear.  Verified links are contracted to components, and each component keeps its first
-occurrence.
+key by exact Jaccard similarity.  Members that are then still in different components are joined
+inside their bucket under two exact bounds (sizes, and a bitmap of shingle parities: sets differ
+by at least the bits in which their bitmaps do), and what passes is verified too: no pair of a bucket
+that meets the similarity is lost from the components, while pairs that can't meet it, or that are linked
+already, are never made.  Each component keeps its first occurrence.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ MIN_WORDS = 30
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
+#: Words of 64 bits of a paragraph's bitmap.
+MAP = 4
 _SLICE = 1 << 16
 
 
-def tuned(similarity: float = SIMILARITY, recall: float = RECALL, most: int = 64) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, so the fewest false collisions, whose bands reach ``recall`` at ``similarity`` with at most ``most`` hashes."""
-    for rows in range(8, 0, -1):
+def tuned(similarity: float = SIMILARITY, recall: float = RECALL, far: float = 0.3, most: float = 0.2) -> tuple[int, int]:
+    """(bands, rows): the fewest bands that collide at ``similarity`` with probability ``recall``, and at ``far`` with at most ``most``."""
+    for rows in range(1, 33):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
-        if bands * rows <= most:
+        if 1 - (1 - far**rows) ** bands <= most:
             return bands, rows
-    raise ValueError("no banding is that cheap")
+    raise ValueError("no banding tells these similarities apart")
 
 
 def shingles(line: bytes, size: int = SHINGLE) -> list[bytes]:
@@ -59,9 +62,10 @@ class Hasher:
         self.a = rng.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, np.uint64)
 
-    def bands_of(self, lines: list[list[bytes]]) -> np.ndarray:
-        """One row of band hashes for each line's shingles (at least one)."""
+    def bands_of(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """For each line's shingles (at least one): band hashes, a bitmap of shingle parities, and the number of distinct shingles."""
         digest = xxhash.xxh3_64_intdigest
+        lines = [list(dict.fromkeys(line)) for line in lines]
         h = np.fromiter((digest(s) for line in lines for s in line), np.uint64)
         sizes = np.fromiter(map(len, lines), np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -71,10 +75,13 @@ class Hasher:
             j = k // self.rows
             out[:, j] = (out[:, j] ^ low) * np.uint64(0xFF51AFD7ED558CCD)
             out[:, j] ^= out[:, j] >> np.uint64(33)
-        return (out ^ np.arange(self.bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+        bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(MAP)
+        maps = np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), starts) for w in range(MAP)], axis=1)
+        names = np.arange(self.bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (out ^ names).view(np.int64), maps.view(np.int64), sizes.tolist()
 
 
-_PARAGRAPH = "id bigint, doc bigint, number int, start bigint, end bigint, key bigint, line string, bands array<bigint>"
+_PARAGRAPH = "id bigint, doc bigint, number int, start bigint, end bigint, key bigint, line string, bands array<bigint>, map array<bigint>, size int"
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -117,14 +124,14 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
 
 def _batch(held: list[tuple], grams: list[list[bytes]], hasher: Hasher) -> pa.RecordBatch:
     full = [i for i, g in enumerate(grams) if g]
-    bands: list[np.ndarray | None] = [None] * len(held)
+    bands, maps, sizes = ([None] * len(held) for _ in range(3))
     if full:
-        for i, row in zip(full, hasher.bands_of([grams[i] for i in full])):
-            bands[i] = row
+        for i, *row in zip(full, *hasher.bands_of([grams[i] for i in full])):
+            bands[i], maps[i], sizes[i] = row
     columns = list(zip(*held))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(bands, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "doc", "number", "start", "end", "key", "line", "bands"])
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "doc", "number", "start", "end", "key", "line", "bands", "map", "size"])
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -141,20 +148,29 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 
 
 def links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges ``(a, b)`` between keys of ``distinct(key, line, bands)`` whose components are those of all verified colliding pairs."""
+    """Edges ``(a, b)`` between keys of ``distinct(key, line, bands, map, size)`` whose components are those of all verified colliding pairs."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = distinct.select("key", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket", "low")
     crowd = stored(members.join(buckets.hint("merge"), "bucket"))
-    lines = stored(distinct.select("key", "line").join(crowd.select("key").distinct(), "key", "left_semi"))
+    facts = stored(distinct.select("key", "line", "map", "size").join(crowd.select("key").distinct(), "key", "left_semi"))
+    lines = facts.select("key", "line")
     stars = crowd.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    first = stored(_verified(stars.repartition(n, "a", "b"), lines, similarity))
-    failed = crowd.join(first.where("not near"), (F.col("low") == F.col("a")) & (F.col("key") == F.col("b"))).select("bucket", F.col("key").alias("f"))
-    # Members that differ from their bucket's smallest key: against all others of the bucket but that.
-    pairs = failed.hint("merge").join(crowd.where("key <> low").select("bucket", "key"), "bucket").where("f <> key")
-    pairs = pairs.select(F.least("f", "key").alias("a"), F.greatest("f", "key").alias("b")).distinct()
-    second = _verified(pairs.repartition(n, "a", "b"), lines, similarity)
-    return stored(first.union(second).where("near").select("a", "b"))
+    first = stored(_verified(stars.repartition(n, "a", "b"), lines, similarity).where("near").select("a", "b"))
+    # Members of buckets that are still in more than one component, against those of another one.
+    roots = components(first)
+    known = facts.select("key", "map", "size").join(roots, facts.key == roots.node, "left").select("key", "map", "size", F.coalesce("root", "key").alias("root"))
+    placed = stored(crowd.select("bucket", "key").join(known, "key"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    placed = stored(placed.join(mixed, "bucket", "left_semi"))
+    a, b = placed.alias("a"), placed.alias("b")
+    apart = sum((F.bit_count(F.get("a.map", F.lit(i)).bitwiseXOR(F.get("b.map", F.lit(i)))) for i in range(1, MAP)), F.bit_count(F.get("a.map", F.lit(0)).bitwiseXOR(F.get("b.map", F.lit(0)))))
+    both = F.col("a.size") + F.col("b.size")
+    can = (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-6) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-6)
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & can
+    pairs = a.hint("merge").join(b, on).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    second = _verified(pairs.repartition(n, "a", "b"), lines, similarity).where("near").select("a", "b")
+    return stored(first.union(second))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -167,7 +183,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
     found = stored(paragraphs(rows, min_words, similarity, recall))
-    distinct = found.where("key is not null").groupBy("key").agg(F.first("line").alias("line"), F.first("bands").alias("bands"))
+    distinct = found.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("line", "bands", "map", "size")))
     roots = components(links(stored(distinct), similarity))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "number")
     spots = stored(found.select("id", "doc", "number", "start", "end", "key"))
