@@ -58,6 +58,11 @@ def _any_phrase(phrases: list[str]) -> str:
     return rf"(?<!{_WORD})(?:{spelled})(?!{_WORD})"
 
 
+def _bound(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once, however often it stands in what is made."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def blocks(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -110,19 +115,21 @@ def scan(
     def standing(w: Column) -> Column:
         return F.array_sort(F.concat(*(stands(w, phrase, label) for phrase, label in phrases.items())))
 
-    places = F.when(body.rlike(_any_phrase(list(phrases))), standing(words(body))).otherwise(F.from_json(F.lit("[]"), "array<struct<label:string,at:int>>"))
+    places = F.when(body.rlike(_any_phrase(list(phrases))), _bound(words(body), standing)).otherwise(F.from_json(F.lit("[]"), "array<struct<label:string,at:int>>"))
 
     def joined(b: Column) -> Column:
         """A block's matches: its distinct words against each template."""
-        w = F.array_distinct(words(b.text))
-        rows = []
-        for label, t, need in ranked:
-            wording = F.array(*map(F.lit, t))
-            shared = F.array_intersect(wording, w)
+        return _bound(F.array_distinct(words(b.text)), lambda w: F.filter(F.array(*(one(b, w, *t) for t in ranked)), lambda x: x.isNotNull()))
+
+    def one(b: Column, w: Column, label: str, t: list[str], need: int) -> Column:
+        wording = F.array(*map(F.lit, t))
+
+        def of(shared: Column) -> Column:
             first = F.array_position(wording, F.get(shared, F.lit(0))) - 1  # place of the rarest shared word in the template
-            enough = (F.size(w) >= need) & (first <= len(t) - need) & (F.size(shared) >= need)
-            rows.append(F.when(enough, F.struct(b.block.alias("block"), F.lit(label).alias("label"), (F.size(shared) / len(t)).alias("score"))))
-        return F.filter(F.array(*rows), lambda x: x.isNotNull())
+            enough = (first <= len(t) - need) & (F.size(shared) >= need)
+            return F.when(enough, F.struct(b.block.alias("block"), F.lit(label).alias("label"), (F.size(shared) / len(t)).alias("score")))
+
+        return F.when(F.size(w) >= need, _bound(F.array_intersect(wording, w), of))
 
     numbered = F.transform(blocks(body), lambda b, i: F.struct(i.alias("block"), b.alias("text")))
     candidates = F.filter(numbered, lambda b: b.text.rlike(_any_word(prefix)))
