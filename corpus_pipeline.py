@@ -31,9 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     found = simhash.near_duplicates(docs).where("id <=> component_id")
     # Ids may repeat: of the rows with one id, one stays.
-    kept = stored(found.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("_name")).agg(F.min("hash").alias("_hash")))
-    once = docs.withColumns({"_name": name, "_hash": F.xxhash64("text")}).join(kept, ["_name", "_hash"], "left_semi")
-    return once.withColumn("_n", F.row_number().over(W.partitionBy("_name", "_hash").orderBy("source"))).where("_n = 1").select(*docs.columns)
+    kept = stored(found.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__dedup_name")).agg(F.min("hash").alias("__dedup_hash")))
+    once = docs.withColumns({"__dedup_name": name, "__dedup_hash": F.xxhash64("text")}).join(kept, ["__dedup_name", "__dedup_hash"], "left_semi")
+    return once.withColumn("__dedup_n", F.row_number().over(W.partitionBy("__dedup_name", "__dedup_hash").orderBy("source"))).where("__dedup_n = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,23 +107,23 @@ def mix(
     columns = [c for c in (docs.columns if columns is None else columns) if c not in added]
     marked = docs.select(
         *columns,
-        F.coalesce(F.col("source"), F.lit("unknown")).alias("_source"),
-        F.coalesce(F.col("lang"), F.lit("unknown")).alias("_lang"),
+        F.coalesce(F.col("source"), F.lit("unknown")).alias("__mix_source"),
+        F.coalesce(F.col("lang"), F.lit("unknown")).alias("__mix_lang"),
         F.coalesce(topic_of(F.col(text)) if topic is None else topic, F.lit("unknown")).alias("topic"),
         F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long").alias("tokens"),
-        draw(F.col(id_col), seed).alias("_draw"),
+        draw(F.col(id_col), seed).alias("__mix_draw"),
     )
-    wide = marked.select("_source", "_lang", "topic", "tokens").withColumnsRenamed({"_source": "source", "_lang": "lang"})
+    wide = marked.select("__mix_source", "__mix_lang", "topic", "tokens").withColumnsRenamed({"__mix_source": "source", "__mix_lang": "lang"})
     cells = stored(cells_of(wide))
     if (n := cells.count()) <= ONE_TASK:
         cells = cells.repartition(1)
     fitted = probabilities(rake(cells, targets, sweeps), keep)
-    fitted = stored(fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", "prob"))
+    fitted = stored(fitted.select(F.col("source").alias("__mix_source"), F.col("lang").alias("__mix_lang"), "topic", "weight", "prob"))
     if n <= ONE_TASK:
         fitted = F.broadcast(fitted)  # a few MB at most
-    out = marked.join(fitted, ["_source", "_lang", "topic"], "left")
+    out = marked.join(fitted, ["__mix_source", "__mix_lang", "topic"], "left")
     prob = F.coalesce("prob", F.lit(1.0))
-    return out.select(*columns, "topic", "tokens", "weight", prob.alias("prob"), F.coalesce(F.col("_draw") < prob, F.lit(True)).alias("sampled"))
+    return out.select(*columns, "topic", "tokens", "weight", prob.alias("prob"), F.coalesce(F.col("__mix_draw") < prob, F.lit(True)).alias("sampled"))
 
 
 def mix_sql(keep: float = 0.7, seed: int = 17, sweeps: int = 8, temper: float = 0.7) -> str:

@@ -1,0 +1,51 @@
+"""Registered queries against their SQL, and the pipeline against a plain version."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from leafmill.llm import decontam, langid, simhash
+from leafmill.llm.queries import QUERIES, SQL
+
+DIR = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    return "null" if v is None else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = QUERIES[name](spark, DIR)
+    names = sorted(df.columns)
+    rel = c.sql(SQL[name])
+    assert sorted(rel.columns) == names
+    at = [rel.columns.index(n) for n in names]
+    assert sorted(tuple(plain(r[n]) for n in names) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    one = corpus_pipeline.language_id(spark, docs, DIR).collect()
+    assert {r.doc_id for r in one} == {r.doc_id for r in langid.identify(docs, langid.train(docs)).collect() if r.lang_pred != "und" and r.bits < corpus_pipeline.MOST_BITS}
+    assert all(rows[r.doc_id] == r for r in one)
+    base = spark.createDataFrame(one, docs.schema)
+    two = corpus_pipeline.near_dedup(spark, base, DIR).collect()
+    found = simhash.near_duplicates(base).collect()
+    assert sorted(r.doc_id for r in two) == sorted({r.component_id for r in found})
+    three = corpus_pipeline.decontaminate(spark, base, DIR).collect()
+    bench = [decontam.automaton(decontam.windows([(str(b.item_id), b.text) for b in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]))]
+    assert {r.doc_id for r in three} == {r.doc_id for r in one if not decontam.scan((r.text or "").encode(), bench)[1]}
+    four = corpus_pipeline.mix_sources(spark, base, DIR)
+    assert four.columns == docs.columns and 0.4 < four.count() / len(one) < 0.95
+    assert corpus_pipeline.shard(spark, base, DIR).count() == len(one)
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "alpha beta gamma delta", "en", "s", 1)] * 3 + [(2, "alpha beta gamma delta", "en", "s", 1), (None, "other words stand here", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, df, DIR).collect()) == [0, 1]
