@@ -44,7 +44,7 @@ def _doubled(nodes: DataFrame) -> list[DataFrame]:
         moved = at.where("anc is not null").join(up, on).select("tree", "node", F.col("_anc").alias("anc"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("sum") + F.col("_sum")).alias("sum"))
         at = stored(moved.union(at.where("anc is null")))  # what has reached its root isn't joined again
         levels.append(at)
-        if len(levels) > 64:
+        if len(levels) > 40:
             raise ValueError("the parents form a cycle")
     return levels
 

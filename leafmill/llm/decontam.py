@@ -128,4 +128,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kinds = [T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(span)]
     schema = T.StructType([*docs.select(*keep).schema, *map(T.StructField, added, kinds)])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)

@@ -238,4 +238,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*keep, *added])
 
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("_text"), F.col(text).rlike(r"\p{L}").alias("_letter")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__leafmill_text"), F.col(text).rlike(r"\p{L}").alias("__leafmill_letter")).mapInArrow(run, schema)

@@ -178,7 +178,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
 
     ``cluster`` is the smallest key of the paragraph's component and ``count`` its occurrences; ``kept`` is true for the first
     occurrence, by id (nulls last), row and number, and for paragraphs that occur once; ``first_id`` is the id of the first.
-    ``doc`` tells rows with equal ids apart.  Documents without a paragraph (null, empty or short lines only) have one row
+    ``doc`` (a hash of the text) tells rows with equal ids apart; rows equal in both are one document whose
+    figures add up, kept or removed together.  Documents without a paragraph (null, empty or short lines only) have one row
     with a null number.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
