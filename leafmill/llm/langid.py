@@ -44,6 +44,15 @@ def fold(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(kept, np.repeat(ends[:-1], pad), _START), ends + pad * np.arange(n + 1)
 
 
+def slices(ends: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes, each of one text at least."""
+    a, n = 0, len(ends) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)
+
+
 def grams(flat: np.ndarray, k: int, start: int, stop: int) -> np.ndarray:
     """The k-grams that end at positions start to stop - 1, first byte highest."""
     out = flat[start - k + 1 : stop - k + 1].astype(np.uint32)
@@ -115,7 +124,12 @@ class Model:
         return out
 
     def score(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Total bits of each text by language, and its symbols."""
+        """Total bits of each text by language, and its symbols; some megabytes of texts are unfolded at a time."""
+        parts = [self._score(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in slices(ends)]
+        bits = np.concatenate([np.zeros((0, len(self.langs))), *(b for b, _ in parts)])
+        return bits, np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+
+    def _score(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, at = fold(raw, ends)
         n, pad = len(ends) - 1, ORDER - 1
         bits = np.zeros((n, len(self.langs)))
@@ -141,6 +155,11 @@ def _counts(flat: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, int, np.
             yield int(lang), k, got, n
 
 
+def _rows(flat: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i, k, keys, n in _counts(flat, of):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "gram", "n"])
+
+
 def train(docs: DataFrame, sample_docs: int = 1500, min_count: int = 2, max_grams: int = 1 << 18, lang: str = "lang", text: str = "text") -> Model:
     """Trees from rows with both ``lang`` and ``text``.
 
@@ -162,11 +181,12 @@ def train(docs: DataFrame, sample_docs: int = 1500, min_count: int = 2, max_gram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = flat_bytes(batch.column(1))
-            flat, at = fold(raw, ends)
-            of = np.repeat(batch.column(0).to_numpy().astype(np.int64), np.diff(at))
-            of[flat == _START] = -1
-            for i, k, keys, n in _counts(flat, of):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "gram", "n"])
+            own = batch.column(0).to_numpy().astype(np.int64)
+            for a, b in slices(ends):
+                flat, at = fold(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                of = np.repeat(own[a:b], np.diff(at))
+                of[flat == _START] = -1
+                yield from _rows(flat, of)
 
     counted = taken.select(index[F.col("lang")].alias("lang"), "text").mapInArrow(run, "lang int, k int, gram bigint, n bigint")
     summed = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
