@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from leafmill.plans import accounts, layout, personal_data, text
+from leafmill.plans import accounts, documents, layout, personal_data, text
 
-FAMILIES = (personal_data, accounts, text, layout)
+FAMILIES = (personal_data, accounts, text, layout, documents)
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
