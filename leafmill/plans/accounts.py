@@ -39,15 +39,15 @@ def webhook_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy("kind", A.route(F.col("kind")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def _entitlement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grants(events: DataFrame) -> DataFrame:
     """Analogue: purchases under 20 grant a pass, others a month; errors end a subscription; signups use a pass."""
     kind = F.when((F.col("event_type") == "purchase") & (F.col("value") < 20), "one_time").when(F.col("event_type") == "purchase", "monthly").when(F.col("event_type") == "error", "ended").when(F.col("event_type") == "signup", "use")
-    e = _events(spark, sf_dir).select(F.col("user_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), F.col("event_id").cast("string").alias("event_id"))
+    e = events.select(F.col("user_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), F.col("event_id").cast("string").alias("event_id"))
     return e.where("kind is not null")
 
 
 def entitlement_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = A.entitlements(_entitlement_events(spark, sf_dir), "user_id")
+    r = A.entitlements(grants(_events(spark, sf_dir)), "user_id")
     s = A.status(r, F.lit(NOW).cast("timestamp"), [], "user_id")
     kept = r.select("user_id", F.col("passes").alias("stored_passes"), F.col("plan").alias("stored_plan"), F.size("seen").cast("long").alias("n_seen"))
     return s.join(kept, "user_id")
