@@ -6,6 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows of texts that one Arrow batch may hold; a worker's memory follows it, and texts can be long.
+ROWS = 1024
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``ROWS`` rows; a lower setting stays."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._arrow import byte_texts
+from leafmill.llm._arrow import bounded, byte_texts
 
 #: Bytes outside words become spaces and A-Z become a-z; digits, letters and everything above ASCII are words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -128,4 +128,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kinds = [T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(span)]
     schema = T.StructType([*docs.select(*keep).schema, *map(T.StructField, added, kinds)])
-    return docs.select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)
+    return bounded(docs).select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)

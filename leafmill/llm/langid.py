@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._arrow import flat_bytes
+from leafmill.llm._arrow import bounded, flat_bytes
 
 ORDER = 4  # bytes of the longest n-gram: three of context and the symbol
 _BLOCK = 1 << 18
@@ -188,7 +188,7 @@ def train(docs: DataFrame, sample_docs: int = 1500, min_count: int = 2, max_gram
                 of[flat == _START] = -1
                 yield from _rows(flat, of)
 
-    counted = taken.select(index[F.col("lang")].alias("lang"), "text").mapInArrow(run, "lang int, k int, gram bigint, n bigint")
+    counted = bounded(taken).select(index[F.col("lang")].alias("lang"), "text").mapInArrow(run, "lang int, k int, gram bigint, n bigint")
     summed = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     got = summed.orderBy(F.desc("n"), "k", "lang", "gram").limit(max_grams * ORDER * len(langs)).toArrow()
     columns = [got.column(c).to_numpy() for c in ("lang", "k", "gram", "n")]
@@ -258,4 +258,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*keep, *added])
 
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("__leafmill_text"), F.col(text).rlike(r"\p{L}").alias("__leafmill_letter")).mapInArrow(run, schema)
+    return bounded(docs).select(*keep, F.col(text).alias("__leafmill_text"), F.col(text).rlike(r"\p{L}").alias("__leafmill_letter")).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._arrow import byte_texts
+from leafmill.llm._arrow import bounded, byte_texts
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -312,7 +312,7 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, r
 
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("spans", kind), *(T.StructField(c, T.StringType()) for c in added[1:])])
-    return docs.select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)
+    return bounded(docs).select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list) -> str:

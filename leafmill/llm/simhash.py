@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._arrow import byte_texts
+from leafmill.llm._arrow import bounded, byte_texts
 from leafmill.llm._components import components
 from leafmill.llm._store import stored
 
@@ -69,7 +69,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*keep, out])
 
     schema = T.StructType([*docs.select(*keep).schema, T.StructField(out, T.LongType())])
-    return docs.select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)
+    return bounded(docs).select(*keep, F.col(text).alias("__leafmill_text")).mapInArrow(run, schema)
 
 
 def _flips(n: int, bits: list[int]) -> list[int]:

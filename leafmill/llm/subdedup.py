@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._arrow import byte_texts
+from leafmill.llm._arrow import bounded, byte_texts
 from leafmill.llm._components import components
 from leafmill.llm._store import stored
 
@@ -119,7 +119,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
             if held:
                 yield _batch(held, grams, hasher)
 
-    return docs.select("id", "doc", "text").mapInArrow(run, _PARAGRAPH)
+    return bounded(docs).select("id", "doc", "text").mapInArrow(run, _PARAGRAPH)
 
 
 def _batch(held: list[tuple], grams: list[list[bytes]], hasher: Hasher) -> pa.RecordBatch:
