@@ -17,13 +17,16 @@ from leafmill.sources.tables import table
 
 #: A text whose best language needs this many bits a symbol is no text of any learned language (8: nothing is predicted).
 MOST_BITS = 7.0
+#: So many bits beyond that are enough evidence: a short clean text around one key or number stays.
+EVIDENCE = 256.0
 SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those that no learned language's model predicts; keeps the rest unchanged."""
     named = langid.identify(docs, langid.train(docs))
-    return named.where((F.col("lang_pred") != "und") & (F.coalesce("bits", F.lit(8.0)) < MOST_BITS)).select(*docs.columns)
+    beyond = (F.coalesce("bits", F.lit(8.0)) - MOST_BITS) * F.length("text")
+    return named.where((F.col("lang_pred") != "und") & (beyond < EVIDENCE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
