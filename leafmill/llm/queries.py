@@ -89,9 +89,14 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs of every document: how many, which go, and the documents that keep them."""
-    out = subdedup.by_document(subdedup.repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return out.select(F.col("id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "removed", "first_ids")
+    """Repeated paragraphs and passages of every document: how many, which go, and the documents that keep them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines, runs = subdedup.by_document(subdedup.repeated(docs)).alias("l"), subdedup.passages(docs).alias("p")
+    out = lines.join(runs, F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.doc") == F.col("p.doc")), "left")
+    return out.select(
+        F.col("l.id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "removed", "first_ids",
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("passages", F.lit("")).alias("passages"), F.coalesce("passage_ids", F.array().cast("array<bigint>")).alias("passage_ids"),
+    )
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,11 @@ inside their bucket under two exact bounds (sizes, and a bitmap of shingle parit
 by at least the bits in which their bitmaps do), and what passes is verified too: no pair of a bucket
 that meets the similarity is lost from the components, while pairs that can't meet it, or that are linked
 already, are never made.  Each component keeps its first occurrence.
+
+A passage is a run of words that stands elsewhere word by word, wherever lines break: inside longer lines, or over several short
+ones.  Every ``MIN_WORDS`` words of a text have a rolling hash, and of each ``PASSAGE - MIN_WORDS + 1`` such hashes in
+a row the smallest is an anchor (winnowing).  Equal runs of ``PASSAGE`` words hold the same anchor, so none is missed, and
+what shares an anchor shares ``MIN_WORDS`` words at least.  The first place of each anchor stays.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ MIN_WORDS = 30
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
+#: Runs of so many equal words are always found, whatever lines they stand in.
+PASSAGE = 51
 #: Words of 64 bits of a paragraph's bitmap.
 MAP = 4
 _SLICE = 1 << 16
@@ -213,3 +220,84 @@ def by_document(rows: DataFrame) -> DataFrame:
         F.array_join(F.transform(spots, lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",").alias("removed"),
         F.array_sort(F.collect_set(F.when(F.col("count") > 1, F.col("first_id")))).alias("first_ids"),
     )
+
+
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def anchors(text: bytes, size: int = MIN_WORDS, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors of a text with A-Z lower-cased, and the place of each one's first word; none in fewer than ``passage`` words."""
+    w = text.lower().split()
+    n, reach = len(w) - size + 1, passage - size + 1
+    if n < reach:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter(map(digest, w), np.uint64, len(w))
+    powers = np.cumprod(np.full(len(w), _BASE, np.uint64))
+    back = np.cumprod(np.full(n, pow(_BASE, -1, _MASK + 1), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
+    h = (sums[size:] - sums[:-size]) * back
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, reach).argmin(axis=1) + np.arange(n - reach + 1))
+    v = h[at]
+    if (v[1:] == v[:-1]).any():  # words that go round and round: one anchor for each reach is enough
+        some: list[int] = []
+        for i, (x, a) in enumerate(zip(v.tolist(), at.tolist())):
+            if not some or v[some[-1]] != x or a - at[some[-1]] >= reach:
+                some.append(i)
+        v, at = v[some], at[some]
+    return v, at
+
+
+def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends, in code points."""
+    b = np.frombuffer(text, np.uint8)
+    held = np.concatenate([[False], (b != 32) & ((b < 9) | (b > 13)), [False]])
+    edges = np.flatnonzero(held[1:] != held[:-1])
+    if not text.isascii():
+        edges = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[edges]
+    return edges[::2], edges[1::2]
+
+
+def _anchored(docs: DataFrame, size: int, passage: int) -> DataFrame:
+    """Rows ``(id, doc, anchor, start, end)`` of the anchors of ``docs(id, doc, text)``, places in code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows = [], []
+            for i, text in enumerate(byte_texts(batch.column(2))):
+                v, at = anchors(text, size, passage)
+                if len(v):
+                    starts, ends = _word_places(text)
+                    found.append((v.view(np.int64), starts[at], ends[at + size - 1]))
+                    rows.append(np.full(len(v), i))
+            if found:
+                take = pa.array(np.concatenate(rows))
+                v, start, end = (pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), v, start, end], names=["id", "doc", "anchor", "start", "end"])
+
+    return bounded(docs).select("id", "doc", "text").mapInArrow(run, "id bigint, doc bigint, anchor bigint, start bigint, end bigint")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """Rows ``(id, doc, n_passages, passages, passage_ids)`` of the documents that hold an anchor of another place.
+
+    ``passages`` are the places ``start:end`` of the runs of words that stand earlier, by id (nulls last), row and place, comma-joined in
+    order: anchors that overlap are one run, which at either end may be up to ``passage - size`` words short of the equal words.
+    ``passage_ids`` are the distinct ids, in order, of the documents where repeated anchors stand first (its own among them).
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
+    spots = stored(_anchored(rows, size, passage))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start")
+    many = stored(spots.groupBy("anchor").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("anchor", "first"))
+    hits = spots.join(many.hint("merge"), "anchor").select("id", "doc", "start", "end", F.col("first.id").alias("first_id"), (~F.col("first").eqNullSafe(place)).alias("gone"))
+    found = hits.groupBy("id", "doc").agg(
+        F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("start", "end")))).alias("s"),  # at most the anchors of one document
+        F.array_sort(F.collect_set("first_id")).alias("passage_ids"),
+    )
+    starts = F.filter("s", lambda x, i: (i == 0) | (x.start > F.get("s", i - 1).end))
+    ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (x.end < F.get("s", i + 1).start))
+    runs = F.zip_with(starts, ends, lambda a, b: F.concat_ws(":", a.start.cast("string"), b.end.cast("string")))
+    return found.select("id", "doc", F.size(starts).cast("long").alias("n_passages"), F.array_join(runs, ",").alias("passages"), "passage_ids")
