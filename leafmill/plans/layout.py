@@ -102,9 +102,8 @@ def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of lines against all lines of their document."""
-    firsts = words(spark, sf_dir).where("word_seq % 100000 = 0")
-    out = L.nearest_style(firsts, text_lines(spark, sf_dir), ["doc_id"])
+    """Every word against all lines of its document."""
+    out = L.nearest_style(words(spark, sf_dir), text_lines(spark, sf_dir), ["doc_id"])
     return out.select("doc_id", "word_seq", "line_seq", F.round("score", 4).alias("score"))
 
 
