@@ -113,9 +113,8 @@ def smallest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glyph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The glyphs of each document's first words of lines."""
-    firsts = words(spark, sf_dir).where("word_seq % 100000 = 0")
-    return L.split_glyphs(firsts, ["doc_id", "word_seq"]).select("doc_id", "word_seq", "glyph", "text", F.round(F.col("x") + 1e-9, 4).alias("x"), F.round(F.col("width") + 1e-9, 4).alias("width"))
+    """The glyphs of every word of each document."""
+    return L.split_glyphs(words(spark, sf_dir), ["doc_id", "word_seq"]).select("doc_id", "word_seq", "glyph", "text", F.round(F.col("x") + 1e-9, 4).alias("x"), F.round(F.col("width") + 1e-9, 4).alias("width"))
 
 
 def upper_median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +155,9 @@ def vector_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of lines as glyphs, and back as lines of text."""
+    """All words as glyphs, and back as lines of text."""
     g = glyph_split(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    g = g.select("doc_id", (F.col("word_seq") + F.col("glyph")).alias("seq"), "x", (F.col("word_seq") / 100000).alias("y"), F.lit(12.0).alias("font_size"), F.col("text").alias("content"), F.col("lang").alias("style"))
+    g = g.select("doc_id", (F.col("word_seq").cast("long") * (1 << 32) + F.col("glyph")).alias("seq"), "x", F.floor(F.col("word_seq") / 100000).cast("double").alias("y"), F.lit(12.0).alias("font_size"), F.col("text").alias("content"), F.col("lang").alias("style"))
     return L.glyph_lines(g, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 

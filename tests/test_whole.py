@@ -46,3 +46,13 @@ def test_nearest_style_takes_every_word(spark, folder):
         want.append((str(w.doc_id), str(w.word_seq), str(line), f"{score:.4f}"))
     assert len(want) == sum(len(t.split()) for _, t in TEXTS)
     assert rows(layout.nearest_style(spark, folder)) == sorted(want)
+
+
+def test_glyphs_of_every_word(spark, folder):
+    got = layout.glyph_split(spark, folder)
+    names, want = whole_sql(folder, layout.SQL["glyph_split"], (" WHERE word_seq % 100000 = 0", ""))
+    assert rows(got.select(*names)) == want and len(want) == sum(len("".join(t.split())) for _, t in TEXTS)
+    lines = {r.doc_id: r for r in layout.glyph_lines(spark, folder).collect()}
+    # Each line's words come back with the spaces between them; lines that start further left begin a new one.
+    for i, text in TEXTS[1:2]:
+        assert lines[i].n == len(text.split("\n")) and lines[i].chars == sum(len(" ".join(n.split())) for n in text.split("\n"))
