@@ -41,8 +41,8 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def push_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of each document against two tables."""
-    n = text_lines(spark, sf_dir).where("line_seq < 12").select("doc_id", "line_seq", "y", "height")
+    """All lines of each document against two tables."""
+    n = text_lines(spark, sf_dir).select("doc_id", "line_seq", "y", "height")
     t = n.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("table_seq")).withColumn("y", F.col("table_seq") * 60.0 + 5).withColumn("height", F.lit(20.0))
     return D.pushed_down(n, t, ["doc_id"]).select("doc_id", "line_seq", "y")
 

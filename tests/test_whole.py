@@ -56,3 +56,16 @@ def test_glyphs_of_every_word(spark, folder):
     # Each line's words come back with the spaces between them; lines that start further left begin a new one.
     for i, text in TEXTS[1:2]:
         assert lines[i].n == len(text.split("\n")) and lines[i].chars == sum(len(" ".join(n.split())) for n in text.split("\n"))
+
+
+def test_push_down_folds_every_line(spark, folder):
+    want = []
+    for i, text in TEXTS:
+        cursor = 0.0
+        for seq, y in ((k, k * 4.0) for k, n in enumerate(text.split("\n")) if n):
+            for top in (5.0, 65.0):
+                y = top + 30 if y < top + 20 and y + 12 > top else y
+            y = max(y, cursor)
+            cursor = y + 16
+            want.append((str(i), str(seq), f"{y:.4f}"))
+    assert rows(documents.push_down(spark, folder)) == sorted(want)
