@@ -17,7 +17,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.headings(text_lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 60)), ["doc_id"])
+    out = D.headings(text_lines(spark, sf_dir), ["doc_id"])
     return out.select("doc_id", "title", "slogan")
 
 
@@ -29,7 +29,7 @@ def line_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lines of text are the spans of one."""
     n = text_lines(spark, sf_dir)
-    s = n.select("doc_id", F.expr("line_seq div 3").alias("line"), F.col("line_seq").alias("seq"), F.substring("text", 1, 40).alias("text"), (F.col("line_seq") % 4).cast("string").alias("font"), (F.col("line_seq") % 5 + 8.0).alias("size"), (F.col("line_seq") % 2 == 0).alias("bold"))
+    s = n.select("doc_id", F.expr("line_seq div 3").alias("line"), F.col("line_seq").alias("seq"), "text", (F.col("line_seq") % 4).cast("string").alias("font"), (F.col("line_seq") % 5 + 8.0).alias("size"), (F.col("line_seq") % 2 == 0).alias("bold"))
     return D.merged_spans(s, ["doc_id", "line"])
 
 

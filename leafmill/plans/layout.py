@@ -149,7 +149,7 @@ def inferred_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third line comes again, 5 units lower."""
-    n = text_lines(spark, sf_dir).withColumnRenamed("line_seq", "seq").withColumn("text", F.substring("text", 1, 12))
+    n = text_lines(spark, sf_dir).withColumnRenamed("line_seq", "seq")
     out = L.merge_recovered(n, n.where("seq % 3 = 0").withColumn("y", F.col("y") + 5), ["doc_id"])
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("recovered").alias("n_recovered"), F.round(F.sum("y"), 3).alias("sum_y"))
 

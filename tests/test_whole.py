@@ -69,3 +69,15 @@ def test_push_down_folds_every_line(spark, folder):
             cursor = y + 16
             want.append((str(i), str(seq), f"{y:.4f}"))
     assert rows(documents.push_down(spark, folder)) == sorted(want)
+
+
+def test_texts_reach_operators_whole(spark, folder):
+    for name, cut in (("doc_headings", "substr(text, 1, 60)"), ("span_merge", "substr(text, 1, 40)")):
+        names, want = whole_sql(folder, documents.SQL[name], (cut, "text"))
+        assert rows(documents.QUERIES[name](spark, folder).select(*names)) == want
+    # Lines 5 units below their first copies replace them only where the whole texts are equal.
+    n = [(i, k, t) for i, text in TEXTS for k, t in enumerate(text.split("\n")) if t]
+    got = {r.doc_id: r for r in layout.vector_line_merge(spark, folder).collect()}
+    assert {i: (r.n, r.n_recovered) for i, r in got.items()} == {i: (sum(x == i for x, _, _ in n), sum(x == i and k % 3 == 0 for x, k, _ in n)) for i in got}
+    assert got[5].sum_y == 9.0  # of two lines with one beginning, the first comes again next to the second
+    assert got[2].sum_y == sum(k * 4.0 + (5 if k % 3 == 0 else 0) for i, k, _ in n if i == 2)
