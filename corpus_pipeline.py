@@ -30,11 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: the first row of its smallest id."""
+    """Keeps one document of each near-duplicate component: the row of its smallest id (nulls last), of equal ids that of the smallest hash."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    found = simhash.near_duplicates(docs).where("id <=> component_id")
-    # Ids may repeat: of the rows with one id, one stays.
-    kept = stored(found.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__dedup_name")).agg(F.min("hash").alias("__dedup_hash")))
+    # Ids may repeat or be null in several components: the choice is made in each of them.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    found = simhash.near_duplicates(docs).groupBy("root").agg(first)
+    kept = stored(found.select(F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("__dedup_name"), F.col("first.hash").alias("__dedup_hash")))
     once = docs.withColumns({"__dedup_name": name, "__dedup_hash": F.xxhash64("text")}).join(kept, ["__dedup_name", "__dedup_hash"], "left_semi")
     return once.withColumn("__dedup_n", F.row_number().over(W.partitionBy("__dedup_name", "__dedup_hash").orderBy("source"))).where("__dedup_n = 1").select(*docs.columns)
 

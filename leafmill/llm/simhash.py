@@ -118,7 +118,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3) -> DataFrame:
-    """Rows ``(id, hash, fp, component_id)``, one for each row of ``docs``; hash is the XXH64 of the text.
+    """Rows ``(id, hash, fp, component_id, root)``, one for each row of ``docs``; hash is the XXH64 of the text, root a fingerprint that names the component.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` bits,
     itself included.  Rows with equal fingerprints are linked.  A null or empty text has
@@ -130,5 +130,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = components(links(nodes.select("fp"), radius))
     rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     crowd = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(crowd, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("id", "hash", "fp", "component_id")
+    named = stored(rooted.join(crowd, "root").select("fp", "component_id", "root"))
+    return prints.join(named, "fp").select("id", "hash", "fp", "component_id", "root")

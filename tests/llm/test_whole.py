@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from leafmill.llm import subdedup
 
 
@@ -42,3 +43,12 @@ def test_every_run_of_51_words_is_found():
             x, y = ({*subdedup.anchors(b" ".join(w))[0].tolist()} for w in (a, b))
             assert x & y
     assert not len(subdedup.anchors(b" ".join(run[:50]))[0])
+
+
+def test_near_dedup_keeps_one_document_of_each_component(spark):
+    r = random.Random(13)
+    one, two, three, four, five = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(5))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, three), (9, four), (None, four), (6, five), (7, five)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted((x.doc_id or 0, x.text) for x in got) == sorted([(0, one), (0, two), (7, three), (7, four), (6, five)])
