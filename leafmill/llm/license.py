@@ -1,7 +1,8 @@
 """License scans by exact set-similarity join, in DataFrame operations only.
 
 A text block (a line) gets a template's label if it holds at least ``THRESHOLD`` of the
-template's distinct words.  Words are ordered globally by the number of blocks that
+template's distinct words; so does a paragraph (a run of non-blank lines) where as many words in a row as the template
+has hold them, over line breaks.  Words are ordered globally by the number of blocks that
 hold them, rare ones first.  A block that meets the threshold must hold one of the template's first
 ``|T| - ceil(t|T|) + 1`` words (prefix filter), have at least ``ceil(t|T|)`` words
 (length filter), and its first shared word must leave enough of the template behind it
@@ -97,7 +98,7 @@ def scan(
 
     ``places`` are ``struct<label, at>`` of every place, in words from 0, where a phrase stands; ``matches`` are
     ``struct<block, label, score>`` of the blocks (from 0) that contain enough of a template, with the
-    share of the template's words.  ``score`` is 1 with a place, else the best match's share, else 0.
+    share of the template's words; after the lines, paragraphs (by their first line) whose score for a label is above that of all lines.  ``score`` is 1 with a place, else the best match's share, else 0.
     Null or empty texts have no words and no labels.  Columns of these names are replaced.
     """
     added = ["n_words", "places", "matches", "score"]
@@ -131,9 +132,32 @@ def scan(
 
         return F.when(F.size(w) >= need, _bound(F.array_intersect(wording, w), of))
 
+    lengths = {label_words: max(len(x.split()) for x in (templates or TEMPLATES) if sorted(set(x.split())) == list(label_words)) for label_words in (tuple(sorted(t)) for _, t, _ in ranked)}
+
+    def wrapped(lines: Column) -> Column:
+        """Paragraphs of several lines that hold a word of the prefixes, and their first lines."""
+        blank = lambda x: x.rlike(r"^\s*$")
+        starts = F.filter(F.transform(lines, lambda b, i: F.when(~blank(b) & ((i == 0) | blank(F.get(lines, i - 1))), i)), lambda i: i.isNotNull())
+        one_of = lambda st: F.transform(st, lambda i, k: F.struct(i.alias("block"), F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(st, k + 1), F.size(lines)) - i), "\n").alias("text")))
+        return F.filter(_bound(starts, one_of), lambda p: p.text.contains("\n") & p.text.rlike(_any_word(prefix)))
+
+    def over_breaks(p: Column) -> Column:
+        """A paragraph's matches: its best run of a template's length for each template that all its words could meet."""
+        return _bound(words(p.text), lambda w: F.filter(F.array(*(run(p, w, *t) for t in ranked)), lambda x: x.isNotNull()))
+
+    def run(p: Column, w: Column, label: str, t: list[str], need: int) -> Column:
+        wording, n = F.array(*map(F.lit, t)), lengths[tuple(sorted(t))]
+        shares = F.transform(w, lambda x, i: F.when(F.array_contains(wording, x), F.size(F.array_intersect(wording, F.slice(w, i + 1, n)))).otherwise(0))
+        best = lambda m: F.when(m >= need, F.struct(p.block.alias("block"), F.lit(label).alias("label"), (m / len(t)).alias("score")))
+        return F.when(F.size(F.array_intersect(wording, w)) >= need, _bound(F.array_max(shares), best))
+
+    def with_wrapped(found: Column) -> Column:
+        more = F.flatten(F.transform(_bound(blocks(body), wrapped), over_breaks))
+        return F.concat(found, F.filter(more, lambda m: ~F.exists(found, lambda f: (f.label == m.label) & (f.score >= m.score))))
+
     numbered = F.transform(blocks(body), lambda b, i: F.struct(i.alias("block"), b.alias("text")))
     candidates = F.filter(numbered, lambda b: b.text.rlike(_any_word(prefix)))
-    matches = F.when(body.rlike(_any_word(prefix)), F.flatten(F.transform(candidates, joined))).otherwise(F.from_json(F.lit("[]"), "array<struct<block:int,label:string,score:double>>"))
+    matches = F.when(body.rlike(_any_word(prefix)), _bound(F.flatten(F.transform(candidates, joined)), with_wrapped)).otherwise(F.from_json(F.lit("[]"), "array<struct<block:int,label:string,score:double>>"))
     out = docs.select(*keep, F.regexp_count(body, F.lit(f"{_WORD}+")).cast("long").alias("n_words"), places.alias("places"), matches.alias("matches"))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m.score)), F.lit(0.0))
     return out.withColumn("score", F.when(F.size("places") > 0, 1.0).otherwise(best))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from leafmill.llm import subdedup
+from leafmill.llm import license, subdedup
 
 
 def test_passages_are_found_wherever_lines_break(spark):
@@ -52,3 +52,14 @@ def test_near_dedup_keeps_one_document_of_each_component(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted((x.doc_id or 0, x.text) for x in got) == sorted([(0, one), (0, two), (7, three), (7, four), (6, five)])
+
+
+def test_wrapped_license_texts_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "x\n\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    narrow = "\n".join("licensed under the Mozilla public license version 2 0".split())
+    apart = "Redistribution and use in source and binary forms\n\nwith or without modification are permitted"
+    far = "released under the\n" + "other words " * 10 + "\nmit license"
+    texts = [mit, bsd, narrow, apart, far, mit.replace("\n", " ") + "\nmore"]
+    out = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [[(m.block, m.label, m.score) for m in out[i].matches] for i in range(6)] == [[(0, "mit", 1.0)], [(2, "bsd", 1.0)], [(0, "mpl-2.0", 1.0)], [], [], [(0, "mit", 1.0)]]
