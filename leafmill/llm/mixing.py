@@ -72,15 +72,15 @@ def probabilities(fitted: DataFrame, keep: float) -> DataFrame:
 
     Cells' chances are in proportion to weight over tokens, scaled so that the sample is expected
     to hold the share ``keep`` of all tokens; where that passes 1, the cell stays whole and
-    the rest are scaled up in its place (twice).
+    the rest are scaled up in its place, until no other passes 1.
     """
     everything = F.sum("tokens").over(W.partitionBy())
-    p = fitted.withColumn("_want", F.lit(keep) * everything).withColumn("_ratio", F.col("weight") / F.col("tokens")).withColumn("prob", F.least(F.lit(1.0), F.col("_want") * F.col("_ratio")))
-    for _ in range(2):
-        full = F.sum(F.when(F.col("prob") >= 1, F.col("tokens")).otherwise(0.0)).over(W.partitionBy())
-        rest = F.sum(F.when(F.col("prob") < 1, F.col("weight")).otherwise(0.0)).over(W.partitionBy())
-        p = p.withColumn("_scale", F.greatest(F.lit(0.0), F.col("_want") - full) / F.when(rest > 0, rest))
-        p = p.withColumn("prob", F.when(F.col("prob") >= 1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_scale") * F.col("_ratio"))))
+    p = fitted.withColumn("_want", F.lit(keep) * everything).withColumn("_ratio", F.col("weight") / F.col("tokens"))
+    # With the cells of higher ratio whole, each cell asks for a scale; it grows while cells pass 1 and falls after them, so the largest is the one.
+    above = F.sum("tokens").over(W.orderBy(F.col("_ratio").desc(), *DIMS).rowsBetween(W.unboundedPreceding, -1))
+    rest = F.sum("weight").over(W.orderBy("_ratio", *(F.col(d).desc() for d in DIMS)).rowsBetween(W.unboundedPreceding, 0))
+    p = p.withColumn("_scale", F.greatest(F.lit(0.0), F.col("_want") - F.coalesce(above, F.lit(0.0))) / F.when(rest > 0, rest))
+    p = p.withColumn("prob", F.coalesce(F.least(F.lit(1.0), F.max("_scale").over(W.partitionBy()) * F.col("_ratio")), F.lit(1.0)))
     return p.select(*DIMS, "tokens", "weight", "prob")
 
 

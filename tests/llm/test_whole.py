@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from leafmill.llm import license, subdedup
+from leafmill.llm import license, mixing, subdedup
 
 
 def test_passages_are_found_wherever_lines_break(spark):
@@ -63,3 +63,14 @@ def test_wrapped_license_texts_are_found(spark):
     texts = [mit, bsd, narrow, apart, far, mit.replace("\n", " ") + "\nmore"]
     out = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
     assert [[(m.block, m.label, m.score) for m in out[i].matches] for i in range(6)] == [[(0, "mit", 1.0)], [(2, "bsd", 1.0)], [(0, "mpl-2.0", 1.0)], [], [], [(0, "mit", 1.0)]]
+
+
+def test_probabilities_hold_the_share_however_many_cells_stay_whole(spark):
+    tokens = [1.5**k for k in range(9)]
+    total = sum(x**0.2 for x in tokens)
+    cells = spark.createDataFrame([(f"s{k}", "en", "prose", x, x**0.2 / total) for k, x in enumerate(tokens)], "source string, lang string, topic string, tokens double, weight double")
+    for keep in (0.05, 0.3, 0.7, 0.9, 0.95, 1.0):
+        got = mixing.probabilities(cells, keep).collect()
+        assert abs(sum(r.tokens * r.prob for r in got) - keep * sum(tokens)) < 1e-6 * sum(tokens)
+        part = [r.prob * r.tokens / r.weight for r in got if r.prob < 1]
+        assert not part or max(part) - min(part) < 1e-6 * max(part)
