@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._store import stored
+from leafmill.llm._store import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction: each round is a
     partially aggregated minimum and an equi-join, so a hub's rows can be
     split by the planner, and rounds grow with the logarithm of the longest
-    path.  Nothing is gathered on the driver but one digest a round.  An
-    empty edge list gives no rows; self-edges and repeated edges are allowed.
+    path.  Nothing is gathered on the driver but one digest a round, and each round's table
+    goes when the next is written.  An empty edge list gives no rows; self-edges and repeated edges are allowed.
     """
     kind = edges.schema["a"].dataType
     edges = stored(edges.select("a", F.col("b").cast(kind).alias("b")).distinct())
     digest = None
     while True:
-        edges = stored(_small_star(_large_star(edges.where("a <> b"))))
+        before, edges = edges, stored(_small_star(_large_star(edges.where("a <> b"))))
+        discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == digest:
             break

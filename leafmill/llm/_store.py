@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Where it is unset and all executors run inside this process (tests), a
-    temporary folder is used; on a cluster the setting is required, because a
-    machine-local folder would lose its rows with the machine.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     The copy survives lost executors, is never recomputed, and gives the
-    planner true sizes.  It is owned by the caller's job folder, which the
-    cluster cleans like any checkpoint folder.
+    planner true sizes.  Shuffle files of the write go when it ends.  The table stays until
+    :func:`discard`, or until the cluster cleans the folder like any checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/leafmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`stored` that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            spark: SparkSession = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

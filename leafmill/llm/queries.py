@@ -94,8 +94,11 @@ def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, runs = subdedup.by_document(subdedup.repeated(docs)).alias("l"), subdedup.passages(docs).alias("p")
     out = lines.join(runs, F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.doc") == F.col("p.doc")), "left")
     return out.select(
-        F.col("l.id").alias("doc_id"), "n_paragraphs", "n_repeated", "n_removed", "removed", "first_ids",
+        F.col("l.id").alias("doc_id"),
+        ((F.col("n_repeated") > 0) | F.col("n_passages").isNotNull()).alias("repeats"),
+        "n_repeated", "n_removed", "removed", "first_ids",
         F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("passages", F.lit("")).alias("passages"), F.coalesce("passage_ids", F.array().cast("array<bigint>")).alias("passage_ids"),
+        "n_paragraphs",
     )
 
 

@@ -1,13 +1,16 @@
 """Substring dedup: repeated paragraphs by MinHash banding.
 
-A paragraph is a line of at least ``MIN_WORDS`` words.  Equal paragraphs collapse by hash first.  Each
-distinct one gets a MinHash of its word shingles, cut into bands that are tuned for high recall at
-the wanted similarity.  In each band's bucket all members are verified against the bucket's smallest
-key by exact Jaccard similarity.  Members that are then still in different components are joined
-inside their bucket under two exact bounds (sizes, and a bitmap of shingle parities: sets differ
-by at least the bits in which their bitmaps do), and what passes is verified too: no pair of a bucket
-that meets the similarity is lost from the components, while pairs that can't meet it, or that are linked
-already, are never made.  Each component keeps its first occurrence.
+A paragraph is a line of at least ``MIN_WORDS`` words, or a run of shorter lines, up to a blank or a long one, that has
+as many together.  Equal paragraphs collapse by hash first.  Each distinct one gets a MinHash of its word shingles, cut into
+bands that are tuned for high recall at the wanted similarity.  Tables hold keys, places and bands only; texts are cut
+again for those keys that share a bucket with another.
+
+Members of a bucket are linked in rounds.  In each, some of its members become hubs, and every member of another component that
+may meet the similarity by two exact bounds (sizes, and a bitmap of shingle parities: sets differ by at least the bits in which
+their bitmaps do) is verified against them by exact Jaccard similarity; then the hubs leave the bucket.  Hubs are
+taken only from members for which a semi-join still finds such a partner, and the rounds end when it finds none: no pair of
+a bucket that meets the similarity is lost from the components, while a crowd of near copies makes a few rows a member and
+not its pairs.  Each component keeps its first occurrence.
 
 A passage is a run of words that stands elsewhere word by word, wherever lines break: inside longer lines, or over several short
 ones.  Every ``MIN_WORDS`` words of a text have a rolling hash, and of each ``PASSAGE - MIN_WORDS + 1`` such hashes in
@@ -22,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm._arrow import bounded, byte_texts
 from leafmill.llm._components import components
-from leafmill.llm._store import stored
+from leafmill.llm._store import discard, stored
 
 MIN_WORDS = 30
 SHINGLE = 5
@@ -36,7 +41,7 @@ RECALL = 0.99
 #: Runs of so many equal words are always found, whatever lines they stand in.
 PASSAGE = 51
 #: Words of 64 bits of a paragraph's bitmap.
-MAP = 4
+MAP = 8
 _SLICE = 1 << 16
 
 
@@ -49,19 +54,43 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, far: float = 0
     raise ValueError("no banding tells these similarities apart")
 
 
-def shingles(line: bytes, size: int = SHINGLE) -> list[bytes]:
-    """Word shingles of a line with A-Z lower-cased; of fewer words, the whole sequence."""
-    w = line.lower().split()
-    return [b" ".join(x) for x in zip(*(w[i:] for i in range(size)))] or [b" ".join(w)] * bool(w)
+def shingles(words: list[bytes], size: int = SHINGLE) -> list[bytes]:
+    """Shingles of words; of fewer, the whole sequence."""
+    return [b" ".join(x) for x in zip(*(words[i:] for i in range(size)))] or [b" ".join(words)] * bool(words)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = set(shingles(a)), set(shingles(b))
+    """Similarity of the shingle sets of two paragraphs, A-Z lower-cased."""
+    x, y = set(shingles(a.lower().split())), set(shingles(b.lower().split()))
     return len(x & y) / max(1, len(x | y))
 
 
+def cut(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(first line, start, end, words with A-Z lower-cased) of each paragraph of a text, places in code points."""
+    ascii_ = text.isascii()
+    run: list[bytes] = []
+    first = start = end = at = 0
+    for number, line in enumerate(text.split(b"\n")):
+        chars = len(line) if ascii_ else len(line.decode())
+        w = line.lower().split()
+        if 0 < len(w) < min_words:
+            if not run:
+                first, start = number, at
+            run += w
+            end = at + chars
+        else:
+            if len(run) >= min_words:
+                yield first, start, end, run
+            run = []
+            if w:
+                yield number, at, at + chars, w
+        at += chars + 1
+    if len(run) >= min_words:
+        yield first, start, end, run
+
+
 class Hasher:
-    """MinHash bands of many lines at once."""
+    """MinHash bands of many paragraphs at once."""
 
     def __init__(self, bands: int, rows: int, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -69,144 +98,204 @@ class Hasher:
         self.a = rng.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, bands * rows, np.uint64)
 
-    def bands_of(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """For each line's shingles (at least one): band hashes, a bitmap of shingle parities, and the number of distinct shingles."""
+    def bands_of(self, paragraphs: list[list[bytes]]) -> np.ndarray:
+        """A row of band hashes for each paragraph's shingles (at least one)."""
         digest = xxhash.xxh3_64_intdigest
-        lines = [list(dict.fromkeys(line)) for line in lines]
-        h = np.fromiter((digest(s) for line in lines for s in line), np.uint64)
-        sizes = np.fromiter(map(len, lines), np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out = np.full((len(lines), self.bands), np.uint64(0x9E3779B97F4A7C15))
+        h = np.fromiter((digest(s) for p in paragraphs for s in p), np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in paragraphs])[:-1]]).astype(np.int64)
+        out = np.full((len(paragraphs), self.bands), np.uint64(0x9E3779B97F4A7C15))
         for k in range(self.bands * self.rows):
             low = np.minimum.reduceat((h * self.a[k] + self.b[k]) >> np.uint64(16), starts)
             j = k // self.rows
             out[:, j] = (out[:, j] ^ low) * np.uint64(0xFF51AFD7ED558CCD)
             out[:, j] ^= out[:, j] >> np.uint64(33)
-        bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(MAP)
-        maps = np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), starts) for w in range(MAP)], axis=1)
         names = np.arange(self.bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (out ^ names).view(np.int64), maps.view(np.int64), sizes.tolist()
+        return (out ^ names).view(np.int64)
+
 
+def bitmap(grams: list[bytes]) -> tuple[int, np.ndarray]:
+    """The number of distinct shingles, and the parities of their hashes in ``64 * MAP`` bits."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, set(grams)), np.uint64)
+    odd = np.bincount((h % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return len(h), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-_PARAGRAPH = "id bigint, doc bigint, number int, start bigint, end bigint, key bigint, line string, bands array<bigint>, map array<bigint>, size int"
+
+def _fields(docs: DataFrame, *columns: str) -> list[T.StructField]:
+    return [docs.schema[c] for c in columns]
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Rows of paragraphs of ``docs(id, doc, text)``: number, place in code points, key (a hash of the folded words), line and bands.
+    """Rows of paragraphs of ``docs(id, doc, text)``: first line, place in code points, key (a hash of the words) and bands ``b0``, ``b1`` and so on.
 
-    A document without such a paragraph has one row with a null number.
+    A document without such a paragraph has one row with a null key.
     """
     bands, rows = tuned(similarity, recall)
+    names = ["number", "start", "end", "key", *(f"b{i}" for i in range(bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bands, rows)
+
+        def flushed(batch: pa.RecordBatch, held: list[tuple], grams: list[list[bytes]]) -> pa.RecordBatch:
+            at, *places = zip(*held)
+            at = pa.array(at, pa.int32())
+            full = np.fromiter((bool(g) for g in grams), bool)
+            b = np.zeros((len(held), bands), np.int64)
+            if full.any():
+                b[full] = hasher.bands_of([g for g in grams if g])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [pa.array(c, k) for c, k in zip(places, kinds)] + [pa.array(b[:, i], mask=~full) for i in range(bands)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *arrays], names=["id", "doc", *names])
+
         for batch in batches:
-            ids, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held: list[tuple] = []
             grams: list[list[bytes]] = []
             n = 0
             for i, text in enumerate(byte_texts(batch.column(2))):
-                any_, at = False, 0
-                for number, line in enumerate(text.split(b"\n")):
-                    chars = len(line) if line.isascii() else len(line.decode())
-                    w = line.lower().split()
-                    if len(w) >= min_words:
-                        key = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(w), 7)).view(np.int64))
-                        held.append((ids[i], docs_[i], number, at, at + chars, key, line.decode()))
-                        grams.append(shingles(line))
-                        n += len(w)
-                        any_ = True
-                    at += chars + 1
+                any_ = False
+                for number, start, end, w in cut(text, min_words):
+                    key = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(w), 7)).view(np.int64))
+                    held.append((i, number, start, end, key))
+                    grams.append(shingles(w))
+                    n += len(w)
+                    any_ = True
                     if n >= _SLICE:
-                        yield _batch(held, grams, hasher)
+                        yield flushed(batch, held, grams)
                         held, grams, n = [], [], 0
                 if not any_:
-                    held.append((ids[i], docs_[i], None, None, None, None, None))
+                    held.append((i, None, None, None, None))
                     grams.append([])
             if held:
-                yield _batch(held, grams, hasher)
+                yield flushed(batch, held, grams)
 
-    return bounded(docs).select("id", "doc", "text").mapInArrow(run, _PARAGRAPH)
+    kinds = [T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), *[T.LongType()] * bands]
+    schema = T.StructType([*_fields(docs, "id", "doc"), *map(T.StructField, names, kinds)])
+    return bounded(docs).select("id", "doc", "text").mapInArrow(run, schema)
 
 
-def _batch(held: list[tuple], grams: list[list[bytes]], hasher: Hasher) -> pa.RecordBatch:
-    full = [i for i, g in enumerate(grams) if g]
-    bands, maps, sizes = ([None] * len(held) for _ in range(3))
-    if full:
-        for i, *row in zip(full, *hasher.bands_of([grams[i] for i in full])):
-            bands[i], maps[i], sizes[i] = row
-    columns = list(zip(*held))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "doc", "number", "start", "end", "key", "line", "bands", "map", "size"])
+def _facts(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """Rows ``(key, size, m0, m1, ..., body)`` of ``spots(key, id, doc, start, end)``, cut out of ``docs(id, doc, text)``: one for each key."""
+    asked = spots.groupBy("id", "doc").agg(F.collect_list(F.struct("key", "start", "end")).alias("spots"))  # at most one document's paragraphs
+    on = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.doc") == F.col("s.doc"))
+    texts = docs.alias("d").join(asked.alias("s"), on).select("s.spots", "d.text")
+    names = ["key", "size", *(f"m{i}" for i in range(MAP)), "body"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for spots_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for s in spots_:
+                    body = text[s["start"] : s["end"]]
+                    size, parities = bitmap(shingles(body.encode().lower().split()))
+                    rows.append((s["key"], size, *parities.tolist(), body))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * MAP, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    kinds = ["bigint", "int", *["bigint"] * MAP, "string"]
+    found = bounded(texts).mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
+    return found.dropDuplicates(["key"])  # repeated rows of documents give a key again
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """``pairs(a, b)`` with ``near``: whether the lines' exact Jaccard similarity meets ``similarity``."""
+
+def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b, x, y)`` whose exact Jaccard similarity meets ``similarity``, as ``(x, y)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [jaccard(x, y) >= similarity for x, y in zip(byte_texts(batch.column(2)), byte_texts(batch.column(3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
-
-    left = lines.select(F.col("key").alias("a"), F.col("line").alias("la"))
-    right = lines.select(F.col("key").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a bigint, b bigint, near boolean")
-
-
-def links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges ``(a, b)`` between keys of ``distinct(key, line, bands, map, size)`` whose components are those of all verified colliding pairs."""
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = distinct.select("key", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket", "low")
-    crowd = stored(members.join(buckets.hint("merge"), "bucket"))
-    facts = stored(distinct.select("key", "line", "map", "size").join(crowd.select("key").distinct(), "key", "left_semi"))
-    lines = facts.select("key", "line")
-    stars = crowd.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    first = stored(_verified(stars.repartition(n, "a", "b"), lines, similarity).where("near").select("a", "b"))
-    # Members of buckets that are still in more than one component, against those of another one.
-    roots = components(first)
-    known = facts.select("key", "map", "size").join(roots, facts.key == roots.node, "left").select("key", "map", "size", F.coalesce("root", "key").alias("root"))
-    placed = stored(crowd.select("bucket", "key").join(known, "key"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    placed = stored(placed.join(mixed, "bucket", "left_semi"))
-    a, b = placed.alias("a"), placed.alias("b")
-    apart = sum((F.bit_count(F.get("a.map", F.lit(i)).bitwiseXOR(F.get("b.map", F.lit(i)))) for i in range(1, MAP)), F.bit_count(F.get("a.map", F.lit(0)).bitwiseXOR(F.get("b.map", F.lit(0)))))
-    both = F.col("a.size") + F.col("b.size")
-    can = (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-6) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-6)
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & can
-    pairs = a.hint("merge").join(b, on).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    second = _verified(pairs.repartition(n, "a", "b"), lines, similarity).where("near").select("a", "b")
-    return stored(first.union(second))
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+
+    left = bodies.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
+    right = bodies.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
+    return pairs.join(left, "a").join(right, "b").select("x", "y", "body_a", "body_b").mapInArrow(run, "x bigint, y bigint")
+
+
+def _may_meet(similarity: float) -> Column:
+    """Whether members ``a`` and ``b`` of a bucket are in different components and may meet the similarity, by exact bounds."""
+    apart = F.lit(0)
+    for i in range(MAP):
+        apart = apart + F.bit_count(F.col(f"a.m{i}").bitwiseXOR(F.col(f"b.m{i}")))
+    bound = apart <= (F.col("a.size") + F.col("b.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-6
+    return (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & sizes & bound
+
+
+def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows ``(key, root)`` of the keys of ``facts``: root names the component of all verified pairs that share a bucket of ``crowd(bucket, key)``."""
+    n = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bodies = facts.select("key", "body")
+    roots = stored(facts.select("key", F.col("key").alias("root")))
+    live = stored(crowd.join(facts.drop("body").withColumn("root", F.col("key")), "key"))
+    hubs_a_bucket, turn = 1, 0
+    while True:
+        mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        a, b = live.alias("a"), live.alias("b")
+        # The first round needs no proof that a partner is left: one hub a bucket.
+        able = live.join(mixed, "bucket", "left_semi") if not turn else a.hint("merge").join(b, _may_meet(similarity), "left_semi")
+        order = W.partitionBy("bucket").orderBy(F.xxhash64("key", F.lit(turn)), "key")
+        hubs = stored(able.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_a_bucket).drop("place"))
+        if hubs.isEmpty():
+            discard(hubs, live)
+            return roots
+        pairs = hubs.alias("a").hint("merge").join(b, _may_meet(similarity)).select(
+            F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"), F.col("a.root").alias("x"), F.col("b.root").alias("y")
+        ).dropDuplicates(["a", "b"])
+        merged = components(stored(_verified(pairs.repartition(n, "a", "b"), bodies, similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        merged = stored(merged.select(F.col("node").alias("root"), F.col("root").alias("above")))
+        done = hubs.select("bucket", "key")
+        rooted = lambda df: df.join(merged, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
+        before = live, roots, hubs
+        roots = stored(rooted(roots).select("key", "root"))
+        live = stored(rooted(live.join(mixed, "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti")))
+        discard(*before, merged)
+        hubs_a_bucket, turn = hubs_a_bucket * 4, turn + 1
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Rows of every paragraph ``(id, doc, number, start, end, cluster, count, first_id, kept)``.
 
     ``cluster`` is the smallest key of the paragraph's component and ``count`` its occurrences; ``kept`` is true for the first
-    occurrence, by id (nulls last), row and number, and for paragraphs that occur once; ``first_id`` is the id of the first.
+    occurrence, by id (nulls last), row and place, and for paragraphs that occur once; ``first_id`` is the id of the first.
+    ``number`` is the paragraph's first line.  Ids may have any type that has an order.
     ``doc`` (a hash of the text) tells rows with equal ids apart; rows equal in both are one document whose
-    figures add up, kept or removed together.  Documents without a paragraph (null, empty or short lines only) have one row
-    with a null number.
+    figures add up, kept or removed together.  Documents without a paragraph (null, empty, or of fewer than ``min_words`` words between blank
+    lines) have one row with a null number.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
+    bands, _ = tuned(similarity, recall)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
     found = stored(paragraphs(rows, min_words, similarity, recall))
-    distinct = found.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("line", "bands", "map", "size")))
-    roots = components(links(stored(distinct), similarity))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "number")
-    spots = stored(found.select("id", "doc", "number", "start", "end", "key"))
-    keys = spots.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    named = keys.join(roots, keys.key == roots.node, "left").select("key", "n", "at", F.coalesce("root", "key").alias("cluster"))
-    named = stored(named)
-    crowds = named.groupBy("cluster").agg(F.sum("n").alias("count"), F.min("at").alias("first")).where("count > 1")
-    many = stored(named.select("key", "cluster").join(crowds, "cluster"))
-    out = spots.join(many, "key", "left")
-    same = F.col("first").eqNullSafe(place)
-    return out.select("id", "doc", "number", "start", "end", F.coalesce("cluster", "key").alias("cluster"), F.when(F.col("key").isNotNull(), F.coalesce("count", F.lit(1))).alias("count"), F.col("first.id").alias("first_id"), (F.col("count").isNull() | same).alias("kept"))
+    full = found.where("key is not null")
+    distinct = stored(full.groupBy("key").agg(F.count("*").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(bands))))
+    members = distinct.select("key", F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    crowd = stored(members.join(shared, "bucket", "left_semi"))
+    keys = stored(distinct.select("key", "n"))
+    discard(distinct)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start", "end")
+    spots = full.join(crowd.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(place).alias("at"))
+    spots = stored(spots.select("key", "at.id", "at.doc", "at.start", "at.end"))
+    facts = stored(_facts(rows, spots))
+    discard(spots)
+    roots = linked(crowd, facts, similarity)
+    discard(crowd, facts)
+    named = keys.join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("cluster"))
+    crowds = named.groupBy("cluster").agg(F.sum("n").alias("count"))
+    many = stored(named.join(crowds.where("count > 1"), "cluster").select("key", "cluster", "count"))
+    discard(keys, roots)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start")
+    first = full.join(many, "key").groupBy("cluster").agg(F.min(place).alias("first"))
+    headed = stored(many.join(first, "cluster"))
+    out = found.join(headed, "key", "left").select(
+        "id", "doc", "number", "start", "end", F.coalesce("cluster", "key").alias("cluster"), F.when(F.col("key").isNotNull(), F.coalesce("count", F.lit(1))).alias("count"),
+        F.col("first.id").alias("first_id"), (F.col("count").isNull() | F.col("first").eqNullSafe(place)).alias("kept"),
+    )
+    out = stored(out)
+    discard(found, many, headed)
+    return out
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    """One row for each document: ``id, n_paragraphs, n_repeated, n_removed, removed, first_ids``.
+    """One row for each document: ``id, doc, n_paragraphs, n_repeated, n_removed, removed, first_ids``.
 
     ``removed`` are the places ``start:end`` of the paragraphs that go, comma-joined in order; ``first_ids`` are the distinct ids, in
     order, of the documents where its repeated paragraphs stand first (its own among them).
@@ -278,7 +367,8 @@ def _anchored(docs: DataFrame, size: int, passage: int) -> DataFrame:
                 v, start, end = (pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), v, start, end], names=["id", "doc", "anchor", "start", "end"])
 
-    return bounded(docs).select("id", "doc", "text").mapInArrow(run, "id bigint, doc bigint, anchor bigint, start bigint, end bigint")
+    schema = T.StructType([*_fields(docs, "id", "doc"), *(T.StructField(c, T.LongType()) for c in ("anchor", "start", "end"))])
+    return bounded(docs).select("id", "doc", "text").mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
@@ -288,11 +378,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     order: anchors that overlap are one run, which at either end may be up to ``passage - size`` words short of the equal words.
     ``passage_ids`` are the distinct ids, in order, of the documents where repeated anchors stand first (its own among them).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
     spots = stored(_anchored(rows, size, passage))
+    again = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    hits = stored(spots.join(again, "anchor", "left_semi"))
+    discard(spots)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start")
-    many = stored(spots.groupBy("anchor").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("anchor", "first"))
-    hits = spots.join(many.hint("merge"), "anchor").select("id", "doc", "start", "end", F.col("first.id").alias("first_id"), (~F.col("first").eqNullSafe(place)).alias("gone"))
+    first = hits.groupBy("anchor").agg(F.min(place).alias("first"))
+    hits = hits.join(first, "anchor").select("id", "doc", "start", "end", F.col("first.id").alias("first_id"), (~F.col("first").eqNullSafe(place)).alias("gone"))
     found = hits.groupBy("id", "doc").agg(
         F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("start", "end")))).alias("s"),  # at most the anchors of one document
         F.array_sort(F.collect_set("first_id")).alias("passage_ids"),

@@ -74,3 +74,40 @@ def test_probabilities_hold_the_share_however_many_cells_stay_whole(spark):
         assert abs(sum(r.tokens * r.prob for r in got) - keep * sum(tokens)) < 1e-6 * sum(tokens)
         part = [r.prob * r.tokens / r.weight for r in got if r.prob < 1]
         assert not part or max(part) - min(part) < 1e-6 * max(part)
+
+
+def test_crowds_of_near_copies_and_wrapped_paragraphs(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    texts = {}
+    for i in range(150):  # every copy changes a word or two at other places, so many pairs are just under the similarity
+        w = list(base)
+        for _ in range(r.choice((1, 2, 2))):
+            w[r.randrange(60)] = word()
+        texts[i] = " ".join(w)
+    short = [word() for _ in range(40)]
+    fold = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts |= {200: fold(short, 9), 201: fold([*short[:20], word(), *short[21:]], 11), 202: "one two\n\n" + fold(short, 7), 203: "\n\n".join(" ".join(short[i : i + 8]) for i in range(0, 40, 8))}
+    rows = subdedup.repeated(spark.createDataFrame([(f"d{i}", t) for i, t in texts.items()], "doc_id string, text string")).collect()
+    root = {i: i for i in range(150)}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(150):
+        for j in range(i):
+            if subdedup.jaccard(texts[i].encode(), texts[j].encode()) >= 0.8:
+                root[top(i)] = top(j)
+    mine = {}
+    for x in rows:
+        if int(x.id[1:]) < 150:
+            mine.setdefault(x.cluster, set()).add(int(x.id[1:]))
+    whole = {}
+    for i in range(150):
+        whole.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, whole.values()))
+    late = {x.id: x for x in rows if int(x.id[1:]) >= 200}
+    assert late["d200"].cluster == late["d201"].cluster == late["d202"].cluster and late["d202"].number == 2 and late["d203"].number is None
