@@ -240,15 +240,15 @@ def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -
         pairs = hubs.alias("a").hint("merge").join(b, _may_meet(similarity)).select(
             F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"), F.col("a.root").alias("x"), F.col("b.root").alias("y")
         ).dropDuplicates(["a", "b"])
-        merged = components(stored(_verified(pairs.repartition(n, "a", "b"), bodies, similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        merged = stored(merged.select(F.col("node").alias("root"), F.col("root").alias("above")))
+        near = stored(_verified(pairs.repartition(n, "a", "b"), bodies, similarity).distinct())
+        merged = stored(components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("above")))
         done = hubs.select("bucket", "key")
         rooted = lambda df: df.join(merged, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
-        before = live, roots, hubs
+        before = live, roots, hubs, near
         roots = stored(rooted(roots).select("key", "root"))
         live = stored(rooted(live.join(mixed, "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti")))
         discard(*before, merged)
-        hubs_a_bucket, turn = hubs_a_bucket * 4, turn + 1
+        hubs_a_bucket, turn = hubs_a_bucket * 16, turn + 1
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -267,10 +267,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     full = found.where("key is not null")
     distinct = stored(full.groupBy("key").agg(F.count("*").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(bands))))
     members = distinct.select("key", F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    shared = stored(members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket"))
     crowd = stored(members.join(shared, "bucket", "left_semi"))
     keys = stored(distinct.select("key", "n"))
-    discard(distinct)
+    discard(distinct, shared)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start", "end")
     spots = full.join(crowd.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(place).alias("at"))
     spots = stored(spots.select("key", "at.id", "at.doc", "at.start", "at.end"))
@@ -380,11 +380,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
     spots = stored(_anchored(rows, size, passage))
-    again = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Both sides of a join are stored tables: then the planner can split an anchor that a third of all texts hold.
+    again = stored(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     hits = stored(spots.join(again, "anchor", "left_semi"))
-    discard(spots)
+    discard(spots, again)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start")
-    first = hits.groupBy("anchor").agg(F.min(place).alias("first"))
+    first = stored(hits.groupBy("anchor").agg(F.min(place).alias("first")))
     hits = hits.join(first, "anchor").select("id", "doc", "start", "end", F.col("first.id").alias("first_id"), (~F.col("first").eqNullSafe(place)).alias("gone"))
     found = hits.groupBy("id", "doc").agg(
         F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("start", "end")))).alias("s"),  # at most the anchors of one document
