@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from leafmill.llm import license, mixing, subdedup
+from leafmill.llm import ann, license, mixing, subdedup
 
 
 def test_passages_are_found_wherever_lines_break(spark):
@@ -111,3 +114,22 @@ def test_crowds_of_near_copies_and_wrapped_paragraphs(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, whole.values()))
     late = {x.id: x for x in rows if int(x.id[1:]) >= 200}
     assert late["d200"].cluster == late["d201"].cluster == late["d202"].cluster and late["d202"].number == 2 and late["d203"].number is None
+
+
+def test_repeated_queries_and_the_probing_radius(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist()), (100, x[7].tolist()), (7, x[7].tolist())]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert sorted(o["rank"] for o in out if o.query_id == 50) == [1, 2, 3, 4, 5]
+    assert sorted(o["rank"] for o in out if o.query_id == 100) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]  # two queries of one id
+    assert [(o["rank"], o.vec_id) for o in out if o.query_id == 100 and o.score > 0.999999] == [(1, 7), (2, 7)]
+    text = spark.createDataFrame([("0", [1.0, 0.0]), ("x", [1.0, 0.1]), ("2", [1.0, 1.0])], "vec_id string, embedding array<double>")
+    assert [(o.query_id, o.vec_id) for o in ann.search(text, F.col("id") == 0).collect()] == [(0, 2)]
+
+    coder = ann.learn(ann.unit(x))
+    codes = coder.codes(ann.unit(x))
+    index, near = ann.Index(codes, coder.size), ann.flips(coder.size, coder.most)
+    for n in range(0, 400, 40):
+        apart = ann._POP[codes ^ codes[n]]
+        assert set(np.flatnonzero(apart.sum(1) <= coder.radius)) <= set(index.probe(codes[n], near)) == set(np.flatnonzero((apart <= coder.most).any(1)))
