@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,7 +191,8 @@ def train(docs: DataFrame, sample_docs: int = 1500, min_count: int = 2, max_gram
 
     counted = bounded(taken).select(index[F.col("lang")].alias("lang"), "text").mapInArrow(run, "lang int, k int, gram bigint, n bigint")
     summed = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    got = summed.orderBy(F.desc("n"), "k", "lang", "gram").limit(max_grams * ORDER * len(langs)).toArrow()
+    first = F.row_number().over(W.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))  # limited before it is shuffled, as each row count is bounded
+    got = summed.withColumn("first", first).where(F.col("first") <= max_grams).select("lang", "k", "gram", "n").toArrow()
     columns = [got.column(c).to_numpy() for c in ("lang", "k", "gram", "n")]
     return freeze(langs, *columns, max_grams=max_grams)
 
