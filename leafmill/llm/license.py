@@ -1,13 +1,14 @@
 """License scans by exact set-similarity join, in DataFrame operations only.
 
-A text block (a line) gets a template's label if it holds at least ``THRESHOLD`` of the
-template's distinct words; so does a paragraph (a run of non-blank lines) where as many words in a row as the template
-has hold them, over line breaks.  Words are ordered globally by the number of blocks that
-hold them, rare ones first.  A block that meets the threshold must hold one of the template's first
-``|T| - ceil(t|T|) + 1`` words (prefix filter), have at least ``ceil(t|T|)`` words
-(length filter), and its first shared word must leave enough of the template behind it
-(positional filter).  The templates are a fixed list, so their side of the join is an
-inlined constant and no row is shuffled: no label or source can become a hot key.
+A block is a run of as many consecutive words as a template has, over any line breaks; a text shorter than that is one block.
+A block gets a template's label if it holds at least ``THRESHOLD`` of the template's distinct words.
+
+Texts are cut into words once; of each document only the words of the templates' vocabulary and their places stay.  These are ordered
+globally by how often they occur, rare ones first.  A block that meets the threshold must hold one of the template's first
+``|T| - ceil(t|T|) + 1`` words, so those words of the documents are joined with the table of the templates' prefixes (prefix
+filter).  A pair goes on if the vocabulary words around it are enough (length filter), and if those of them that
+aren't rarer than the shared word are (positional filter: the rarest shared word has all others behind it, on both sides).  What is
+left is verified.  The templates' tables are as small as their list and are joined like any other table; long lists make no long plans.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm._store import stored
+
 #: The phrases that are always reported, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Wordings of license lines and their labels.
@@ -37,55 +40,68 @@ THRESHOLD = 0.9
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_HITS = "array<struct<at:int,w:string>>"
 
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; everything above ASCII is a letter."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-
-
-def _spelled(word: str) -> str:
-    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
-
-
-def _any_word(vocabulary: list[str]) -> str:
-    """A pattern for text that holds one of these whole words, whatever the case of A-Z."""
-    return rf"(?<!{_WORD})(?:{'|'.join(map(_spelled, vocabulary))})(?!{_WORD})"
-
+    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), f"{_GAP}+"), lambda w: w != "")
 
-def _any_phrase(phrases: list[str]) -> str:
-    spelled = "|".join(f"{_GAP}+".join(map(_spelled, p.split())) for p in phrases)
-    return rf"(?<!{_WORD})(?:{spelled})(?!{_WORD})"
 
+def vocabulary_places(docs: DataFrame, text: str, vocabulary: list[str], keep: list[str]) -> DataFrame:
+    """``docs``' columns ``keep``, ``n_words``, and ``hits``: every place, in words from 0, of a word of ``vocabulary``."""
+    cut = docs.select(*(F.col(f"`{c}`") for c in keep), F.split(F.coalesce(F.col(text), F.lit("")), f"{_GAP}+").alias("__words"))
+    first = F.get("__words", F.lit(0)) == ""  # a text may begin and end with a gap
+    w = F.col("__words")
+    # Words above ASCII may fold into it, but are as long in bytes only if they are ASCII.
+    known = lambda x: F.lower(x).isin(vocabulary) & (F.octet_length(x) == F.length(x))
+    at = F.transform(w, lambda x, i: F.when(known(x), F.struct((i - F.when(first, 1).otherwise(0)).alias("at"), F.lower(x).alias("w"))))
+    n = F.size(w) - F.when(first, 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+    return cut.select(*(F.col(f"`{c}`") for c in keep), n.cast("long").alias("n_words"), F.filter(at, lambda x: x.isNotNull()).alias("hits"))
 
-def _bound(value: Column, make) -> Column:
-    """``make(value)`` with the value computed once, however often it stands in what is made."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
 
-
-def blocks(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def frequencies(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> dict[str, int]:
-    """The number of blocks of all documents that hold each word of the templates."""
-    vocabulary = sorted({w for t in templates or TEMPLATES for w in t.split()})
-    vocab = F.array(*map(F.lit, vocabulary))
-    held = F.transform(F.filter(blocks(F.col(text)), lambda b: b.rlike(_any_word(vocabulary))), lambda b: F.array_intersect(words(b), vocab))
-    counted = docs.select(F.explode(F.flatten(held)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+def frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How often each word of the templates occurs in all documents."""
+    counted = rows.select(F.explode("hits.w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in counted.collect()}  # a row for each word of the templates
 
 
-def ordered_templates(freq: dict[str, int], templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, list[str], int]]:
-    """(label, distinct words with the rarest first, words needed) of each template."""
+def ordered_templates(freq: dict[str, int], templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, list[str], int, int]]:
+    """(label, distinct words with the rarest first, words needed, words in all) of each template."""
     out = []
     for wording, label in (templates or TEMPLATES).items():
         w = sorted(set(wording.split()), key=lambda x: (freq.get(x, 0), x))
-        out.append((label, w, math.ceil(threshold * len(w) - 1e-9)))
+        out.append((label, w, math.ceil(threshold * len(w) - 1e-9), len(wording.split())))
     return out
 
 
+def contained(rows: DataFrame, ranked: list[tuple[str, list[str], int, int]], freq: dict[str, int]) -> DataFrame:
+    """Rows ``(id, template, label, at, score)`` of ``rows(id, hits)``: a document's best block for each template that one meets, the first of equals."""
+    spark = rows.sparkSession
+    order = sorted(freq, key=lambda x: (freq[x], x))
+    rank = {w: i for i, w in enumerate(order)}
+    longest = max(n for *_, n in ranked)
+    prefixes = spark.createDataFrame(
+        [(w, rank[w], t, label, words_, need, n) for t, (label, words_, need, n) in enumerate(ranked) for w in words_[: len(words_) - need + 1]],
+        "w string, rank int, template int, label string, words array<string>, need int, n int",
+    )
+    rare = sorted({w for _, words_, need, _ in ranked for w in words_[: len(words_) - need + 1]})
+    # Each probe takes along the vocabulary words around it: hits are in order, so a slice as long as the longest template on each side holds all.
+    near = lambda k: F.slice("hits", F.greatest(k - longest + 2, F.lit(1)), F.lit(2 * longest - 1))
+    probes = F.filter(F.transform("hits", lambda h, k: F.when(h.w.isin(rare), F.struct(h.at.alias("at"), h.w.alias("w"), near(k).alias("near")))), lambda x: x.isNotNull())
+    pairs = rows.where(F.size("hits") > 0).select("id", F.explode(probes).alias("p")).select("id", "p.*").join(prefixes, "w")
+    window = F.filter("near", lambda h: (h.at > F.col("at") - F.col("n")) & (h.at < F.col("at") + F.col("n")) & F.array_contains("words", h.w))
+    pairs = pairs.select("id", "template", "label", "words", "need", "n", "rank", window.alias("near")).where(F.size("near") >= F.col("need"))
+    # The table of ranks is the words in order: a word's place in its template tells which are rarer.
+    behind = F.slice("words", F.array_position("words", F.element_at(F.lit(order), F.col("rank") + 1)).cast("int"), F.size("words"))
+    pairs = pairs.where(F.size(F.array_intersect(behind, F.transform("near", lambda h: h.w))) >= F.col("need"))
+    inside = lambda s: F.size(F.array_distinct(F.transform(F.filter("near", lambda h: (h.at >= s.at) & (h.at < s.at + F.col("n"))), lambda h: h.w)))
+    best = F.array_max(F.transform("near", lambda s: F.struct(inside(s).alias("held"), (-s.at).alias("back"))))
+    found = pairs.withColumn("best", best).where(F.col("best.held") >= F.col("need"))
+    whole = found.groupBy("id", "template").agg(F.first("label").alias("label"), F.max("best").alias("best"), F.first(F.size("words")).alias("size"))
+    return whole.select("id", "template", "label", (-F.col("best.back")).alias("at"), (F.col("best.held") / F.col("size")).alias("score"))
+
+
 def scan(
     docs: DataFrame,
     text: str = "text",
@@ -97,74 +113,36 @@ def scan(
     """``docs``' columns ``keep`` (all by default) with ``n_words``, ``places``, ``matches`` and ``score``.
 
     ``places`` are ``struct<label, at>`` of every place, in words from 0, where a phrase stands; ``matches`` are
-    ``struct<block, label, score>`` of the blocks (from 0) that contain enough of a template, with the
-    share of the template's words; after the lines, paragraphs (by their first line) whose score for a label is above that of all lines.  ``score`` is 1 with a place, else the best match's share, else 0.
-    Null or empty texts have no words and no labels.  Columns of these names are replaced.
+    ``struct<at, label, score>`` of the best block for each template that one meets: the first word of the template in it, and the
+    share of the template's words that it holds.  ``score`` is 1 with a place, else the best match's share, else 0.
+    Null or empty texts have no words and no labels; an empty table gives no rows; repeated rows are scanned each; of equal
+    blocks the first counts.  Columns of these names are replaced.
     """
     added = ["n_words", "places", "matches", "score"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     phrases = PHRASES if phrases is None else phrases
-    ranked = ordered_templates(frequencies(docs, text, templates), templates, threshold)
-    prefix = sorted({w for _, t, need in ranked for w in t[: len(t) - need + 1]})
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def stands(w: Column, phrase: str, label: str) -> Column:
+    names = [f"__keep_{i}" for i in range(len(keep))]
+    vocabulary = sorted({w for t in [*(templates or TEMPLATES), *phrases] for w in t.split()})
+    held = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col(text).alias("__text"))
+    rows = stored(vocabulary_places(held, "__text", vocabulary, names).withColumn("id", F.monotonically_increasing_id()))
+    freq = frequencies(rows, vocabulary)
+    found = contained(rows, ordered_templates(freq, templates, threshold), freq)
+    matches = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "label", "score"))).alias("matches"))  # at most one a template
+
+    def stands(phrase: str, label: str) -> Column:
         parts = phrase.split()
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.coalesce(_all([F.get(w, i + k) == p for k, p in enumerate(parts)]), F.lit(False)))
-        return F.transform(at, lambda i: F.struct(F.lit(label).alias("label"), i.alias("at")))
 
-    def standing(w: Column) -> Column:
-        return F.array_sort(F.concat(*(stands(w, phrase, label) for phrase, label in phrases.items())))
+        def here(h: Column, k: Column) -> Column:
+            test = h.w == parts[0]
+            for i, part in enumerate(parts[1:], 1):
+                other = F.get("hits", k + i)
+                test = test & (other.w == part) & (other.at == h.at + i)
+            return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(label).alias("label"), h.at.alias("at")))
 
-    places = F.when(body.rlike(_any_phrase(list(phrases))), _bound(words(body), standing)).otherwise(F.from_json(F.lit("[]"), "array<struct<label:string,at:int>>"))
+        return F.filter(F.transform("hits", here), lambda x: x.isNotNull())
 
-    def joined(b: Column) -> Column:
-        """A block's matches: its distinct words against each template."""
-        return _bound(F.array_distinct(words(b.text)), lambda w: F.filter(F.array(*(one(b, w, *t) for t in ranked)), lambda x: x.isNotNull()))
-
-    def one(b: Column, w: Column, label: str, t: list[str], need: int) -> Column:
-        wording = F.array(*map(F.lit, t))
-
-        def of(shared: Column) -> Column:
-            first = F.array_position(wording, F.get(shared, F.lit(0))) - 1  # place of the rarest shared word in the template
-            enough = (first <= len(t) - need) & (F.size(shared) >= need)
-            return F.when(enough, F.struct(b.block.alias("block"), F.lit(label).alias("label"), (F.size(shared) / len(t)).alias("score")))
-
-        return F.when(F.size(w) >= need, _bound(F.array_intersect(wording, w), of))
-
-    lengths = {label_words: max(len(x.split()) for x in (templates or TEMPLATES) if sorted(set(x.split())) == list(label_words)) for label_words in (tuple(sorted(t)) for _, t, _ in ranked)}
-
-    def wrapped(lines: Column) -> Column:
-        """Paragraphs of several lines that hold a word of the prefixes, and their first lines."""
-        blank = lambda x: x.rlike(r"^\s*$")
-        starts = F.filter(F.transform(lines, lambda b, i: F.when(~blank(b) & ((i == 0) | blank(F.get(lines, i - 1))), i)), lambda i: i.isNotNull())
-        one_of = lambda st: F.transform(st, lambda i, k: F.struct(i.alias("block"), F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(st, k + 1), F.size(lines)) - i), "\n").alias("text")))
-        return F.filter(_bound(starts, one_of), lambda p: p.text.contains("\n") & p.text.rlike(_any_word(prefix)))
-
-    def over_breaks(p: Column) -> Column:
-        """A paragraph's matches: its best run of a template's length for each template that all its words could meet."""
-        return _bound(words(p.text), lambda w: F.filter(F.array(*(run(p, w, *t) for t in ranked)), lambda x: x.isNotNull()))
-
-    def run(p: Column, w: Column, label: str, t: list[str], need: int) -> Column:
-        wording, n = F.array(*map(F.lit, t)), lengths[tuple(sorted(t))]
-        shares = F.transform(w, lambda x, i: F.when(F.array_contains(wording, x), F.size(F.array_intersect(wording, F.slice(w, i + 1, n)))).otherwise(0))
-        best = lambda m: F.when(m >= need, F.struct(p.block.alias("block"), F.lit(label).alias("label"), (m / len(t)).alias("score")))
-        return F.when(F.size(F.array_intersect(wording, w)) >= need, _bound(F.array_max(shares), best))
-
-    def with_wrapped(found: Column) -> Column:
-        more = F.flatten(F.transform(_bound(blocks(body), wrapped), over_breaks))
-        return F.concat(found, F.filter(more, lambda m: ~F.exists(found, lambda f: (f.label == m.label) & (f.score >= m.score))))
-
-    numbered = F.transform(blocks(body), lambda b, i: F.struct(i.alias("block"), b.alias("text")))
-    candidates = F.filter(numbered, lambda b: b.text.rlike(_any_word(prefix)))
-    matches = F.when(body.rlike(_any_word(prefix)), _bound(F.flatten(F.transform(candidates, joined)), with_wrapped)).otherwise(F.from_json(F.lit("[]"), "array<struct<block:int,label:string,score:double>>"))
-    out = docs.select(*keep, F.regexp_count(body, F.lit(f"{_WORD}+")).cast("long").alias("n_words"), places.alias("places"), matches.alias("matches"))
+    places = F.array_sort(F.concat(*(stands(p, label) for p, label in phrases.items()))) if phrases else F.from_json(F.lit("[]"), "array<struct<label:string,at:int>>")
+    out = rows.select(*names, "n_words", "id", places.alias("places")).join(matches, "id", "left")
+    out = out.withColumn("matches", F.coalesce("matches", F.from_json(F.lit("[]"), "array<struct<at:int,label:string,score:double>>")))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m.score)), F.lit(0.0))
-    return out.withColumn("score", F.when(F.size("places") > 0, 1.0).otherwise(best))
-
-
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "n_words", "places", "matches", F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"))

@@ -149,10 +149,10 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
 def _op8_sql() -> str:
-    """Brute force: every line against every template, every word place against every phrase."""
+    """Brute force: every run of a template's length that begins with one of its words, every word place against every phrase."""
     quoted = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license.PHRASES.items())
-    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, '{label}')" for t, label in license.TEMPLATES.items())
+    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, {len(t.split())}, '{label}')" for t, label in license.TEMPLATES.items())
     words = lambda x: f"regexp_extract_all(translate({x}, '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -160,9 +160,9 @@ w AS (SELECT r, doc_id, {words('text')} AS w FROM d),
 p AS (SELECT * FROM (VALUES {phrases}) v(p, label)),
 pl AS (SELECT r, label, pos FROM (SELECT r, w, p, label, unnest(generate_series(0, len(w) - len(p))) AS pos FROM w, p) WHERE list_slice(w, pos + 1, pos + len(p)) = p),
 b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY r),
-l AS (SELECT r, {words('line')} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-t AS (SELECT * FROM (VALUES {templates}) v(t, label)),
-m AS (SELECT r, label, len(list_intersect(t, w)) / len(t) AS score FROM l, t WHERE len(list_intersect(t, w)) >= ceil({license.THRESHOLD} * len(t) - 1e-9)),
+t AS (SELECT * FROM (VALUES {templates}) v(t, n, label)),
+l AS (SELECT r, list_slice(w, s, s + n - 1) AS block, t, label FROM (SELECT r, w, t, n, label, unnest(generate_series(1, len(w))) AS s FROM w, t) WHERE list_contains(t, w[s])),
+m AS (SELECT r, label, len(list_intersect(t, block)) / len(t) AS score FROM l WHERE len(list_intersect(t, block)) >= ceil({license.THRESHOLD} * len(t) - 1e-9)),
 s AS (SELECT r, max(score) AS score FROM m GROUP BY r),
 a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM pl) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -310,7 +310,7 @@ def test_recall_ties_and_scores(spark):
 def test_license_blocks(spark):
     texts = ["Released under the MIT license.\nAll rights, RESERVED", "released under no license", None, "", "cc by cc-by x", "x" * 100_000]
     out = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("score", F.lit("s"))).collect()}
-    assert [(m.block, m.label, m.score) for m in out[0].matches] == [(0, "mit", 1.0)]
+    assert [(m.at, m.label, m.score) for m in out[0].matches] == [(0, "mit", 1.0)]
     assert [(p.label, p.at) for p in out[0].places] == [("reserved", 5)] and out[0].score == 1.0
     assert out[1].matches == [] and out[2].n_words == 0 and out[3].score == 0.0 and [p.at for p in out[4].places] == [0, 2]
     assert license.scan(empty(spark)).count() == 0 and license.scan(odd(spark)).count() == len(ODD)

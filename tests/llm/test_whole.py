@@ -63,9 +63,16 @@ def test_wrapped_license_texts_are_found(spark):
     narrow = "\n".join("licensed under the Mozilla public license version 2 0".split())
     apart = "Redistribution and use in source and binary forms\n\nwith or without modification are permitted"
     far = "released under the\n" + "other words " * 10 + "\nmit license"
-    texts = [mit, bsd, narrow, apart, far, mit.replace("\n", " ") + "\nmore"]
+    bag = "public license version under the word word word word word word mozilla 2 0 licensed"
+    kelvin = "thi\u212a wor\u212a is licensed under cc by nc 4 \uff10"  # letters that fold into ASCII are no ASCII
+    texts = [mit, bsd, narrow, apart, far, mit.replace("\n", " ") + "\nmore", bag, kelvin, None, "", ".released UNDER the mit license."]
     out = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
-    assert [[(m.block, m.label, m.score) for m in out[i].matches] for i in range(6)] == [[(0, "mit", 1.0)], [(2, "bsd", 1.0)], [(0, "mpl-2.0", 1.0)], [], [], [(0, "mit", 1.0)]]
+    found = [[(m.at, m.label, m.score) for m in out[i].matches] for i in range(len(texts))]
+    assert found == [[(0, "mit", 1.0)], [(1, "bsd", 1.0)], [(0, "mpl-2.0", 1.0)], [(0, "bsd", 1.0)], [], [(0, "mit", 1.0)], [], [], [], [], [(0, "mit", 1.0)]]
+    assert [out[i].n_words for i in (7, 8, 9, 10)] == [10, 0, 0, 5]
+    many = {f"word{i} of the list {i} stands here {i * 7}": f"label{i}" for i in range(400)}
+    some = spark.createDataFrame([(0, "x word17 of the list 17 stands here 119 x"), (1, "word17 of the list 18 stands there 119")], "doc_id int, text string")
+    assert {r.doc_id: [m.label for m in r.matches] for r in license.scan(some, templates=many, phrases={}).collect()} == {0: ["label17"], 1: []}
 
 
 def test_probabilities_hold_the_share_however_many_cells_stay_whole(spark):
