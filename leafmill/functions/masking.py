@@ -47,18 +47,20 @@ def mask_phone(text: Column) -> Column:
 
 
 def mask_email(text: Column) -> Column:
-    """First and last character of a local part over two characters, stars between; else the first and three stars."""
-    local, rest = F.substring_index(text, "@", 1), F.substr(text, F.locate("@", text))
-    stars = F.concat(F.substring(local, 1, 1), F.expr("repeat('*', 1)"))
+    """First and last character of a local part over two characters, stars between; else the first and three stars. No domain: unchanged."""
+    parts = F.split(text, "@", -1)
+    local, domain = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     n = F.length(local)
-    long = F.concat(F.substring(local, 1, 1), F.repeat(F.lit("*"), F.greatest(n - 2, F.lit(0))), F.substr(local, n))
-    return F.when(n > 2, F.concat(long, rest)).otherwise(F.concat(F.substring(stars, 1, 1), F.lit("***"), rest))
+    first = F.substring(local, 1, 1)
+    long = F.concat(first, F.repeat(F.lit("*"), F.greatest(n - 2, F.lit(0))), F.substr(local, n))
+    return F.when(F.coalesce(domain, F.lit("")) == "", text).otherwise(F.concat(F.when(n > 2, long).otherwise(F.concat(first, F.lit("***"))), F.lit("@"), domain))
 
 
 def mask_account(text: Column) -> Column:
-    """The part after the last dash becomes four stars."""
-    parts = F.split(text, "-")
-    return F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "-"), F.lit("-****"))
+    """The part after the last dash becomes four stars; without a dash the last four characters do."""
+    parts = F.split(text, "-", -1)
+    dashed = F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "-"), F.lit("-****"))
+    return F.when(F.size(parts) > 1, dashed).otherwise(F.concat(F.substr(text, F.lit(1), F.greatest(F.length(text) - 4, F.lit(0))), F.lit("****")))
 
 
 def mask_card(text: Column) -> Column:
@@ -100,19 +102,18 @@ def date_shaped(text: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as ``array<struct<start, text>>``, start from 0 in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """All matches of a pattern as ``array<struct<start, text>>``, start from 0 in code points; texts without a match are looked at once."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,text:string>>")
-    walked = F.aggregate(
-        F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.when(x.m.isNull(), acc).otherwise(
-            F.struct((acc.at + F.length(x.g) + F.length(x.m)).alias("at"), F.array_append(acc.out, F.struct((acc.at + F.length(x.g)).alias("start"), x.m.alias("text"))).alias("out"))
-        ),
-        lambda acc: acc.out,
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+
+    def placed(z: Column) -> Column:
+        ends = F.transform(z, lambda x: F.length(x["0"]) + F.length(x["1"]))
+        # A text holds few matches: each start is a sum over those before it, with no array copied.
+        before = lambda i: F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda n, x: n + x)
+        return F.transform(z, lambda x, i: F.struct((before(i) + F.length(x["0"])).alias("start"), x["1"].alias("text")))
+
+    both = F.filter(F.arrays_zip(gaps.alias("0"), found.alias("1")), lambda x: x["1"].isNotNull())
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(both), placed), F.lit(0))).otherwise(empty)
 
 
 def business_number(text: Column, start: Column, length: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from leafmill.functions.masking import WS
 
 
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once, however often it stands in what is made."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def trim_ws(s: Column) -> Column:
     return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
 

@@ -11,7 +11,7 @@ from leafmill.functions import masking as M
 KINDS = tuple(M.PRIORITY)
 
 
-def _kept(kind: str, text: Column, spaceless: bool) -> Column:
+def _kept(kind: str, text: Column) -> Column:
     """A kind's accepted matches in ``text`` as ``array<struct<type, start, length, text, masked_text, verified>>``."""
     if kind in ("rrn", "phone"):
         hits = F.filter(M.located(text, M.PATTERNS[kind]), lambda m: ~M.business_number(text, m.start, F.length(m.text)))
@@ -30,11 +30,13 @@ def _kept(kind: str, text: Column, spaceless: bool) -> Column:
     )
 
 
-def matches(raw: Column, kinds: tuple[str, ...] = KINDS, everywhere_spaceless: bool = False) -> Column:
-    """All accepted matches, in the order rrn, phone, email, account, card."""
-    plain = M.no_space(raw)
+def matches(plain: Column, raw: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """All accepted matches, in the order rrn, phone, email, account, card; the first two are looked for in ``plain``.
+
+    Both are columns, not expressions: the lambdas inside name them again and again.
+    """
     order = [k for k in ("rrn", "phone", "email", "account", "card") if k in kinds]
-    return F.concat(*(_kept(k, plain if everywhere_spaceless or k in ("rrn", "phone") else raw, True) for k in order))
+    return F.concat(*(_kept(k, plain if k in ("rrn", "phone") else raw) for k in order))
 
 
 def detect_preview(docs: DataFrame, keys: list[str], text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -42,7 +44,8 @@ def detect_preview(docs: DataFrame, keys: list[str], text: str = "text", kinds:
 
     rrn and phone are looked for in the text without white space, the others as it stands.
     """
-    found = docs.select(*keys, F.posexplode(matches(F.col(text), kinds)).alias("seq", "m")).select(*keys, "seq", "m.*")
+    plain = docs.select(*keys, F.col(text).alias("__raw"), M.no_space(F.col(text)).alias("__plain"))
+    found = plain.select(*keys, F.posexplode(matches(F.col("__plain"), F.col("__raw"), kinds)).alias("seq", "m")).select(*keys, "seq", "m.*")
     # The window's rows are one document's: its key is whatever tells documents apart.
     rank = F.element_at(F.create_map(*(x for k, v in M.PRIORITY.items() for x in (F.lit(k), F.lit(v)))), F.col("type"))
     first = F.row_number().over(W.partitionBy(*keys, "text").orderBy(rank.desc(), "seq"))
@@ -79,7 +82,7 @@ def detect_positioned(items: DataFrame, keys: list[str], kinds: tuple[str, ...]
     All kinds are looked for in the page's text without white space. A detection goes if more than half of its own area lies in one
     that was kept before it, strongest kind first; kinds outside ``shown`` are dropped only after that.
     """
-    hits = matches(F.col("plain"), kinds, everywhere_spaceless=True)
+    hits = matches(F.col("plain"), F.col("plain"), kinds)
     # Only pages with a match need their characters' boxes; the filters run before these are built.
     pages = characters(items, keys).withColumn("hits", hits).where(F.size("hits") > 0)
 

@@ -68,13 +68,13 @@ def rules_under_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (page_text, doc_headings, line_gaps, span_merge, interleave, push_down, export_geometry, rules_under_tables)}
 SQL = {
     "page_text": "WITH p AS (SELECT conv_id, turn // 2 AS page, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS t FROM p GROUP BY 1) SELECT conv_id, md5(t) AS md5, len(t) AS chars FROM d",
-    "doc_headings": f"""WITH {_LINES}, r AS (SELECT doc_id, floor(y / 3 + 0.5) AS b, min(line_seq) AS seq, trim(string_agg(substr(text, 1, 60), '' ORDER BY x, line_seq)) AS t FROM ln GROUP BY 1, 2),
+    "doc_headings": f"""WITH {_LINES}, r AS (SELECT doc_id, floor(y / 3 + 0.5) AS b, min(line_seq) AS seq, trim(string_agg(text, '' ORDER BY x, line_seq)) AS t FROM ln GROUP BY 1, 2),
       t AS (SELECT doc_id, t AS title FROM r WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(t) DESC, seq) = 1),
       s AS (SELECT r.doc_id, t AS slogan FROM r JOIN t ON r.doc_id = t.doc_id WHERE t <> '' AND t <> title QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY seq) = 1) SELECT doc_id, title, slogan FROM t LEFT JOIN s USING (doc_id)""",
     "line_gaps": f"WITH {_LINES}, g AS (SELECT doc_id, greatest(0, y * 4 - coalesce(lag(y * 4 + height) OVER (PARTITION BY doc_id ORDER BY y, line_seq), 0)) AS gap FROM ln) SELECT doc_id, sum(gap) AS gap, max(gap) AS largest FROM g GROUP BY 1",
-    "span_merge": f"WITH {_LINES}, s AS (SELECT doc_id, line_seq // 3 AS line, line_seq, substr(text, 1, 40) AS text FROM ln), a AS (SELECT doc_id, line, trim(string_agg(text, '' ORDER BY line_seq)) AS t, arg_max(line_seq, len(text) * 100000 - line_seq) AS k FROM s GROUP BY 1, 2) SELECT doc_id, CAST(line AS BIGINT) AS line, t AS text, CAST(k % 4 AS VARCHAR) AS font, k % 5 + 8.0::DOUBLE AS size, k % 2 = 0 AS bold FROM a WHERE t <> ''",
+    "span_merge": f"WITH {_LINES}, s AS (SELECT doc_id, line_seq // 3 AS line, line_seq, text FROM ln), a AS (SELECT doc_id, line, trim(string_agg(text, '' ORDER BY line_seq)) AS t, arg_max(line_seq, len(text) * 100000 - line_seq) AS k FROM s GROUP BY 1, 2) SELECT doc_id, CAST(line AS BIGINT) AS line, t AS text, CAST(k % 4 AS VARCHAR) AS font, k % 5 + 8.0::DOUBLE AS size, k % 2 = 0 AS bold FROM a WHERE t <> ''",
     "interleave": f"WITH {_LINES}, b AS (SELECT doc_id, 1 AS kind, line_seq AS seq, y FROM ln UNION ALL SELECT doc_id, 0, line_seq, y FROM ln WHERE line_seq % 5 = 0) SELECT doc_id, kind, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, kind, seq) - 1 AS INT) AS place FROM b",
-    "push_down": f"""WITH RECURSIVE {_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_seq) AS n FROM ln WHERE line_seq < 12),
+    "push_down": f"""WITH RECURSIVE {_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_seq) AS n FROM ln),
       a AS (SELECT doc_id, n, line_seq, height, CASE WHEN y < 25 AND y + height > 5 THEN 35 ELSE y END AS y1 FROM o), b AS (SELECT doc_id, n, line_seq, height, CASE WHEN y1 < 85 AND y1 + height > 65 THEN 95 ELSE y1 END AS y2 FROM a),
       f AS (SELECT doc_id, n, line_seq, greatest(y2, 0)::DOUBLE AS y, height FROM b WHERE n = 1 UNION ALL SELECT b.doc_id, b.n, b.line_seq, greatest(b.y2, f.y + f.height + 4)::DOUBLE, b.height FROM f JOIN b ON b.doc_id = f.doc_id AND b.n = f.n + 1) SELECT doc_id, line_seq, y FROM f""",
     "export_geometry": f"""WITH {_LINES}, v AS (SELECT *, len(text) * (line_seq % 7 + 3.0::DOUBLE) AS nat, x + line_seq % 30 AS v FROM ln) SELECT doc_id, line_seq, CAST(CASE WHEN nat > 0.5 AND width > 0.5 AND len(text) > 1 THEN greatest(-50, least(50, round((width / nat - 1) * 100))) ELSE 0 END AS INT) AS spacing,

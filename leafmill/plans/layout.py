@@ -6,11 +6,13 @@ units wide, words are 12 high; 50 lines make a page where pages are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout as L
 from leafmill.operators import pages as P
+from leafmill.operators import tables as B
 from leafmill.sources.tables import table
 
 
@@ -21,16 +23,21 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, line_seq, word_seq, text, x, y, width, height`` of all words of all documents."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    starts = F.aggregate(
-        F.split("s", " "),
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<at:int,t:string>>").alias("out")),
-        lambda acc, t: F.struct((acc.at + F.length(t) + 1).alias("at"), F.array_append(acc.out, F.struct(acc.at.alias("at"), t.alias("t"))).alias("out")),
-        lambda acc: acc.out,
-    )
-    w = lines.select("doc_id", "line", F.posexplode(starts).alias("i", "w")).where("w.t <> ''")
-    return w.select("doc_id", F.col("line").alias("line_seq"), (F.col("line") * 100000 + F.col("i")).alias("word_seq"), F.col("w.t").alias("text"), (F.col("w.at") * 6.0).alias("x"), (F.col("line") * 14.0).alias("y"), (F.length("w.t") * 6.0).alias("width"), F.lit(12.0).alias("height"))
+    """``doc_id, line_seq, word_seq, text, x, y, width, height`` of all words of all documents.
+
+    Texts are dealt by document once; the running sums inside lines, and what joins or groups by document after them, need no
+    further exchange.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    tokens = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "line", F.posexplode(F.split("s", " ")).alias("i", "t"))
+    before = W.partitionBy("doc_id", "line").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    w = tokens.withColumn("at", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0))).where("t <> ''")
+    return w.select("doc_id", F.col("line").alias("line_seq"), _word_seq("line", "i").alias("word_seq"), F.col("t").alias("text"), (F.col("at") * 6.0).alias("x"), (F.col("line") * 14.0).alias("y"), (F.length("t") * 6.0).alias("width"), F.lit(12.0).alias("height"))
+
+
+def _word_seq(line: str, i: str) -> Column:
+    """Words in order over all lines of a document, of any length."""
+    return F.col(line).cast("long") * (1 << 32) + F.col(i)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +114,16 @@ def nearest_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "word_seq", "line_seq", F.round("score", 4).alias("score"))
 
 
+def nested_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve overlapping cells a document, of six sizes; those of equal size lie over each other."""
+    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("cell_seq", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    k = F.col("cell_seq") * 5 % 6
+    return d.select("doc_id", "cell_seq", (k % 3 * 60.0).alias("x"), (k * 11.0).alias("y"), (360.0 - k * 50).alias("width"), (90.0 - k * 12).alias("height"))
+
+
 def smallest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = words(spark, sf_dir).withColumn("glyph_seq", F.col("word_seq"))
-    return L.smallest_cell(g, grid_cells(spark, sf_dir), ["doc_id"])
+    return L.smallest_cell(g, nested_cells(spark, sf_dir), ["doc_id"])
 
 
 def glyph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,16 +149,36 @@ def erase_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "line_seq", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents on three kinds of pages by id: starts in three columns, in two, or anywhere."""
+    n = text_lines(spark, sf_dir).withColumn("kind", F.col("doc_id") % 3)
+    two = F.when(F.col("line_seq") % 2 == 0, 50.0).otherwise(180.0)
+    x = F.when(F.col("kind") == 1, F.col("line_seq") % 3 * 120.0).when(F.col("kind") == 2, two).otherwise(F.col("line_seq") * 37 % 400 * 1.0)
+    y = F.when(F.col("kind") == 1, F.expr("line_seq div 3") * 20.0).when(F.col("kind") == 2, F.expr("line_seq div 2") * 24.0 + 12).otherwise(F.col("line_seq") * 9.0 + 5)
+    return n.select("doc_id", "kind", "line_seq", "text", x.alias("x"), y.alias("y"), F.least(F.col("width"), F.lit(110.0)).alias("width"), "height", y.alias("baseline"))
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes for :func:`page_lines`: ruled grids (a rule ends early; every second has filled cells), and stacks of row boxes."""
+    box = lambda seq, x, y, w, h, fill=None: F.struct(F.lit(seq).alias("box_seq"), *(F.lit(float(v)).alias(k) for k, v in zip(("x", "y", "width", "height"), (x, y, w, h))), F.lit("#000000").alias("stroke"), F.lit(fill).cast("string").alias("fill"))
+    rules = F.array(*(box(i, 0, y, 400, 1) for i, y in enumerate((0, 40, 80, 120))), box(4, 0, 0, 1, 121), box(5, 150, 0, 1, 81), box(6, 400, 0, 1, 121))
+    fills = F.concat(rules, F.array(box(7, 0, 0, 150, 40, "#EEEEEE"), box(8, 150, 0, 250, 80, "#DDDDDD"), box(9, 0, 40, 150, 40, "#EEEEEE")))
+    stack = F.array(*(box(i, 40, 24 * i, 260, 24) for i in range(6)), box(6, 600, 0, 10, 10))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("kind"))
+    boxes = F.when(F.col("kind") == 2, stack).when((F.col("kind") == 0) & (F.col("doc_id") % 2 == 0), fills).when(F.col("kind") == 0, rules)
+    return d.select("doc_id", F.explode(boxes).alias("b")).select("doc_id", "b.*")
+
+
 def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that the lines of each document form, the texts digested."""
-    n = text_lines(spark, sf_dir).withColumn("baseline", F.col("y") * 4)
-    none = spark.createDataFrame([], "doc_id bigint, x double, y double, width double, height double, stroke string, fill string")
-    out = L.tables(none, n.drop("line_seq", "y").withColumn("y", F.col("baseline")), ["doc_id"])
+    """Table cells of every document's page: ruled, aligned or stacked; the texts digested. Tested against plain loops."""
+    out = B.tables(page_boxes(spark, sf_dir), page_lines(spark, sf_dir).drop("kind"), ["doc_id"])
     return out.withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def inferred_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.inferred_boxes(text_lines(spark, sf_dir), ["doc_id"])
+    """Boxes of tables that only text shows; tested against a plain loop."""
+    n = page_lines(spark, sf_dir).where("kind <> 0").withColumn("x", F.col("x") + F.col("line_seq") % 2)
+    return B.inferred_boxes(n, ["doc_id"])
 
 
 def vector_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +191,8 @@ def vector_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words as glyphs, and back as lines of text."""
     g = glyph_split(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    g = g.select("doc_id", (F.col("word_seq").cast("long") * (1 << 32) + F.col("glyph")).alias("seq"), "x", F.floor(F.col("word_seq") / 100000).cast("double").alias("y"), F.lit(12.0).alias("font_size"), F.col("text").alias("content"), F.col("lang").alias("style"))
-    return L.glyph_lines(g, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    g = g.select("doc_id", "word_seq", "glyph", "x", F.shiftright("word_seq", 32).cast("double").alias("y"), F.lit(12.0).alias("font_size"), F.col("text").alias("content"), F.col("lang").alias("style"))
+    return L.glyph_lines(g, ["doc_id"], ["word_seq", "glyph"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 _PAGES = """p AS (SELECT doc_id, CAST(i AS INT) AS page_index, CAST(least(5, n - i * 5) AS INT) AS n_lines, CAST(doc_id % 4 * 90 AS INT) AS rotation FROM (SELECT doc_id, n, unnest(generate_series(0, (n - 1) // 5)) AS i FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)))"""
@@ -167,8 +201,9 @@ _LINES = """ln AS (SELECT doc_id, CAST(line_seq AS INT) AS line_seq, text, line_
 _WORDS = """l0 AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line, unnest(a) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 w0 AS (SELECT doc_id, line, a, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS t FROM (SELECT doc_id, line, string_split(s, ' ') AS a FROM l0)),
 w1 AS (SELECT doc_id, line, i, t, coalesce(sum(len(t) + 1) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w0),
-w AS (SELECT doc_id, CAST(line AS INT) AS line_seq, CAST(line * 100000 + i AS INT) AS word_seq, t AS text, pos * 6.0::DOUBLE AS x, line * 14.0::DOUBLE AS y, len(t) * 6.0::DOUBLE AS width, 12.0::DOUBLE AS height FROM w1 WHERE t <> '')"""
+w AS (SELECT doc_id, CAST(line AS INT) AS line_seq, CAST(line * 4294967296 + i AS BIGINT) AS word_seq, t AS text, pos * 6.0::DOUBLE AS x, line * 14.0::DOUBLE AS y, len(t) * 6.0::DOUBLE AS width, 12.0::DOUBLE AS height FROM w1 WHERE t <> '')"""
 _CELLS = """c AS (SELECT doc_id, CAST(k AS INT) AS cell_seq, k % 3 * 120.0::DOUBLE AS x, k // 3 * 21.0::DOUBLE AS y, 120.0::DOUBLE AS width, 21.0::DOUBLE AS height FROM (SELECT doc_id, unnest(range(12)) AS k FROM documents))"""
+_NESTED = """c AS (SELECT doc_id, CAST(s AS INT) AS cell_seq, k % 3 * 60.0::DOUBLE AS x, k * 11.0::DOUBLE AS y, 360.0::DOUBLE - k * 50 AS width, 90.0::DOUBLE - k * 12 AS height FROM (SELECT doc_id, s, s * 5 % 6 AS k FROM (SELECT doc_id, unnest(range(12)) AS s FROM documents)))"""
 _IN = "w.doc_id = c.doc_id AND w.x + w.width / 2 BETWEEN c.x - 1 AND c.x + c.width + 1 AND w.y + w.height / 2 BETWEEN c.y - 1 AND c.y + c.height + 1"
 _WEIGHT = "CASE WHEN ascii(t) > 127 THEN 1.0::DOUBLE WHEN regexp_matches(t, '[ilI.,:;!''`|]') THEN 0.28 WHEN contains('fjt[]()', t) THEN 0.36 WHEN regexp_matches(t, '[MW@#%&]') THEN 0.9 WHEN regexp_matches(t, '[A-Z0-9]') THEN 0.62 ELSE 0.52 END"
 
@@ -195,13 +230,21 @@ SQL = {
     "outside_tables": f"WITH {_WORDS}, {_CELLS} SELECT doc_id, count(*) AS n, min(word_seq) AS first_word FROM w ANTI JOIN c ON {_IN} GROUP BY 1",
     "nearest_style": f"""WITH {_WORDS}, {_LINES}, s AS (SELECT w.doc_id, word_seq, ln.line_seq, abs(w.y + w.height / 2 - ln.y - ln.height / 2) * 4 + abs(w.x + w.width / 2 - ln.x - ln.width / 2) * 0.15::DOUBLE
       + CASE WHEN contains(lower(ln.text), lower(w.text)) THEN 0 ELSE 200 END + CASE WHEN w.y + w.height / 2 BETWEEN ln.y - ln.height AND ln.y + ln.height * 2 THEN 0 ELSE 100 END
-      + CASE WHEN w.x + w.width / 2 BETWEEN ln.x - ln.height AND ln.x + ln.width + ln.height THEN 0 ELSE 50 END AS score FROM w JOIN ln ON w.doc_id = ln.doc_id WHERE word_seq % 100000 = 0)
+      + CASE WHEN w.x + w.width / 2 BETWEEN ln.x - ln.height AND ln.x + ln.width + ln.height THEN 0 ELSE 50 END AS score FROM w JOIN ln ON w.doc_id = ln.doc_id)
       SELECT doc_id, word_seq, line_seq, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, word_seq ORDER BY score, line_seq) = 1""",
-    "smallest_cell": f"WITH {_WORDS}, {_CELLS} SELECT w.doc_id, word_seq AS glyph_seq, min(cell_seq) AS cell_seq FROM w JOIN c ON w.doc_id = c.doc_id AND w.x BETWEEN c.x - 1 AND c.x + c.width + 1 AND w.y BETWEEN c.y - 40 AND c.y + c.height + 40 GROUP BY 1, 2",
-    "glyph_split": f"""WITH {_WORDS}, g AS (SELECT doc_id, word_seq, x AS wx, width AS ww, len(text) AS n, generate_subscripts(a, 1) - 1 AS glyph, unnest(a) AS t FROM (SELECT *, string_split(text, '') AS a FROM w WHERE word_seq % 100000 = 0)),
+    "smallest_cell": f"WITH {_WORDS}, {_NESTED} SELECT w.doc_id, word_seq AS glyph_seq, arg_min(cell_seq, c.width * c.height * 100 + cell_seq) AS cell_seq FROM w JOIN c ON w.doc_id = c.doc_id AND w.x BETWEEN c.x - 1 AND c.x + c.width + 1 AND w.y BETWEEN c.y - 40 AND c.y + c.height + 40 GROUP BY 1, 2",
+    "glyph_split": f"""WITH {_WORDS}, g AS (SELECT doc_id, word_seq, x AS wx, width AS ww, len(text) AS n, generate_subscripts(a, 1) - 1 AS glyph, unnest(a) AS t FROM (SELECT *, string_split(text, '') AS a FROM w)),
       k AS (SELECT *, {_WEIGHT} AS k FROM g), r AS (SELECT *, ww * k / sum(k) OVER (PARTITION BY doc_id, word_seq) AS raw FROM k),
       q AS (SELECT *, wx + coalesce(sum(raw) OVER (PARTITION BY doc_id, word_seq ORDER BY glyph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM r)
       SELECT doc_id, word_seq, CAST(glyph AS INT) AS glyph, t AS text, round(x + 1e-9, 4) AS x, round(greatest(0.2, CASE WHEN glyph = n - 1 THEN wx + ww - x ELSE raw END) + 1e-9, 4) AS width FROM q""",
+    "glyph_lines": f"""WITH {_WORDS}, g AS (SELECT doc_id, word_seq, x AS wx, width AS ww, generate_subscripts(a, 1) - 1 AS glyph, unnest(a) AS t FROM (SELECT *, string_split(text, '') AS a FROM w)),
+      k AS (SELECT *, {_WEIGHT} AS k FROM g), r AS (SELECT *, ww * k / sum(k) OVER (PARTITION BY doc_id, word_seq) AS raw FROM k),
+      q AS (SELECT doc_id, word_seq, glyph, t, round(wx + coalesce(sum(raw) OVER (PARTITION BY doc_id, word_seq ORDER BY glyph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1e-9, 4) AS x FROM r),
+      s AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id ORDER BY word_seq, glyph) AS step, lag(t) OVER (PARTITION BY doc_id ORDER BY word_seq, glyph) AS behind FROM q),
+      u AS (SELECT *, sum(CASE WHEN step IS NULL OR step < -0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY word_seq, glyph ROWS UNBOUNDED PRECEDING) AS run, step IS NULL OR step < -0.01 AS opens FROM s),
+      f AS (SELECT doc_id, run, list_sort(list(step)) AS a FROM u WHERE step > 0 AND NOT opens GROUP BY 1, 2), m AS (SELECT doc_id, run, a[len(a) // 2 + 1] AS med FROM f),
+      v AS (SELECT u.doc_id, u.run, len(t) + CASE WHEN NOT opens AND (step >= greatest(coalesce(med, 6.6::DOUBLE) * 1.35::DOUBLE, 5.4::DOUBLE) OR behind IN (',', ';', ':') AND step >= coalesce(med, 6.6::DOUBLE) * 0.9::DOUBLE) THEN 1 ELSE 0 END AS c FROM u LEFT JOIN m USING (doc_id, run))
+      SELECT doc_id, count(DISTINCT run) AS n, CAST(sum(c) AS BIGINT) AS chars FROM v GROUP BY 1""",
     "upper_median_gap": f"WITH {_WORDS}, d AS (SELECT doc_id, line_seq, x - lag(x) OVER (PARTITION BY doc_id, line_seq ORDER BY word_seq) AS d FROM w), a AS (SELECT doc_id, line_seq, list_sort(list(d)) AS a FROM d WHERE d > 0 GROUP BY 1, 2) SELECT doc_id, line_seq, a[len(a) // 2 + 1] AS median, len(a) AS n FROM a",
     "dictionary_encode": "SELECT source, first_seq, row_number() OVER (ORDER BY first_seq) - 1 AS code FROM (SELECT source, min(doc_id) AS first_seq FROM documents GROUP BY 1)",
     "scaled_boxes": f"WITH {_CELLS} SELECT doc_id, cell_seq, x * (doc_id % 3 + 1) / 2 AS x, y * 1.5 AS y, width * (doc_id % 3 + 1) / 2 AS width, height * 1.5 AS height FROM c",

@@ -46,7 +46,12 @@ def pii_phone_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RRN = ["900101-1234567", "900101-1234568", "9001011234568", "12345"]
-_ACCOUNT = ["110-234-567890", "352-1234-5678-93", "123-45-678", "2026-05-2217"]
+_ACCOUNT = ["110-234-567890", "352-1234-5678-93", "123-45-678", "2026-05-2217", "11023456789", "123", ""]
+_EMAILS = ["someone@example.org", "ab@c.de", "a@b.kr", "noat", "", "x@y@z.com", "who@"]
+
+
+#: Some of the labels that make a number a registration number, and what doesn't.
+_LABELS = ["등록번호 ", "발급 번 호:", "발급번호", "전화 ", "구직등록번호  ", "tel ", "x", "등록 번호", ""]
 
 
 def _inline(spark: SparkSession, values: list[str]) -> DataFrame:
@@ -63,6 +68,39 @@ def pii_fixture_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inline(spark, _ACCOUNT).select("s", M.mask_account(s).alias("masked"), F.length(M.digits_of(s)).cast("long").alias("n_digits"), F.coalesce(M.date_shaped(s), F.lit(False)).alias("date_shaped"))
 
 
+def pii_fixture_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inline(spark, _EMAILS).select("s", M.mask_email(F.col("s")).alias("masked"))
+
+
+def labelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's phone behind a label, by its key one that names a registration number, one that doesn't, a letter, or nothing."""
+    s = table(spark, sf_dir, "supplier")
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("s_suppkey") % len(_LABELS) + 1).cast("int"))
+    digits = F.lpad(F.col("s_suppkey").cast("string"), 8, "0")
+    text = F.concat(label, F.lit("010-"), F.substring(digits, 1, 4), F.lit("-"), F.substr(digits, F.lit(5)), F.lit(" "), F.col("s_name"))
+    return s.select("s_suppkey", text.alias("text"))
+
+
+def pii_label_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in labelled numbers: registration labels and letters right before a number suppress it."""
+    return P.detect_preview(labelled_numbers(spark, sf_dir), ["s_suppkey"])
+
+
+def conversation_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a contact line of their own behind them, as people sign messages."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.lpad(((F.col("conv_id") * 7919 + F.col("turn") * 104729) % 100000000).cast("string"), 8, "0")
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\nphone 010 "), F.substring(n, 1, 4), F.lit(" "), F.substr(n, F.lit(5)), F.lit("!")))
+    line = line.when(F.col("turn") % 3 == 1, F.concat(F.lit("\nmail u"), n, F.lit("@mail"), F.col("turn").cast("string"), F.lit(".example.org now")))
+    line = line.otherwise(F.concat(F.lit("\naccount 110-234-"), n, F.lit(" card "), F.substring(n, 1, 4), F.lit("-4111-1111-1111")))
+    return c.select("conv_id", "turn", F.concat("text", line).alias("text"))
+
+
+def pii_signed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in signed conversation turns."""
+    return P.detect_preview(conversation_contacts(spark, sf_dir), ["conv_id", "turn"])
+
+
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as positioned text: a line of text is one item, 14 units below the last; 50 lines a page."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "str"))
@@ -71,14 +109,16 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds in documents laid out as pages."""
+    """All kinds in documents laid out as pages; tested against a plain loop."""
     return P.detect_positioned(text_items(spark, sf_dir), ["doc_id", "page_index"], shown=P.KINDS)
 
 
 _WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: The patterns once more, as DuckDB spells them.
 _PHONE = r"(?:01[016789]-?\d{3,4}-?\d{4})|(?:0[2-6][1-5]?-?\d{3,4}-?\d{4})"
 _EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 _CARD = rf"\d{{4}}(?:-|{_WS})?\d{{4}}(?:-|{_WS})?\d{{4}}(?:-|{_WS})?\d{{4}}"
+_LABEL = r"(?:구직\s*등록\s*번\s*호|구직등록번호|발급\s*번\s*호|발급번호|등록\s*번\s*호|등록번호)$"
 _LUHN = """list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, 17 - i, 1) AS INT) * 2
    - CASE WHEN CAST(substr(d, 17 - i, 1) AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, 17 - i, 1) AS INT) END)) % 10 = 0"""
 
@@ -93,7 +133,7 @@ rrn AS (SELECT {keys}, replace(unnest(regexp_extract_all(regexp_replace(' ' || n
 ph0 AS (SELECT {keys}, n, regexp_extract_all(n, '{_PHONE}') AS m, string_split_regex(n, '{_PHONE}') AS g FROM src),
 ph1 AS (SELECT {keys}, n, m, g, unnest(range(1, len(m) + 1)) AS k FROM ph0 WHERE len(m) > 0),
 ph2 AS (SELECT {keys}, n, k, m[k] AS t, CAST(list_sum(list_transform(g[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: len(x))), 0) AS BIGINT) AS pos FROM ph1),
-ph AS (SELECT *, regexp_matches(substr(n, greatest(pos - 29, 1), least(pos, 30)), '[A-Za-z]$') OR regexp_matches(substr(n, pos + len(t) + 1, 1), '^[A-Za-z0-9]') AS bad, replace(t, '-', '') AS d FROM ph2),
+ph AS (SELECT *, regexp_matches(substr(n, greatest(pos - 29, 1), least(pos, 30)), '[A-Za-z]$|{_LABEL}') OR regexp_matches(substr(n, pos + len(t) + 1, 1), '^[A-Za-z0-9]') AS bad, replace(t, '-', '') AS d FROM ph2),
 em AS (SELECT {keys}, unnest(regexp_extract_all(text, '{_EMAIL}')) AS t FROM src),
 ac AS (SELECT {keys}, unnest(regexp_extract_all(text, '\\d{{2,6}}-\\d{{2,6}}-\\d{{2,6}}(?:-\\d{{1,3}})?')) AS t FROM src),
 cd AS (SELECT {keys}, t, regexp_replace(t, '[^0-9]', '', 'g') AS d FROM (SELECT {keys}, unnest(regexp_extract_all(text, '{_CARD}')) AS t FROM src)),
@@ -115,7 +155,7 @@ _DOCS = "WITH" + _detections("documents", "doc_id")
 _RRN_SQL = ", ".join(f"('{v}')" for v in _RRN)
 _ACCOUNT_SQL = ", ".join(f"('{v}')" for v in _ACCOUNT)
 
-QUERIES = {f.__name__: f for f in (pii_preview, pii_counts, pii_counts_by_lang, pii_conversations, pii_email_mask, pii_card_luhn_mask, pii_phone_context, pii_fixture_rrn, pii_fixture_account, pii_positioned)}
+QUERIES = {f.__name__: f for f in (pii_preview, pii_counts, pii_counts_by_lang, pii_conversations, pii_email_mask, pii_card_luhn_mask, pii_phone_context, pii_label_context, pii_signed_turns, pii_fixture_rrn, pii_fixture_account, pii_fixture_email, pii_positioned)}
 SQL = {
     "pii_preview": _DOCS + " SELECT doc_id, type, text, masked_text, verified FROM kept",
     "pii_counts": _DOCS + " SELECT v.type, count(kept.type) AS n FROM (VALUES ('rrn'), ('phone'), ('card'), ('account'), ('email')) v(type) LEFT JOIN kept ON kept.type = v.type GROUP BY v.type",
@@ -127,7 +167,12 @@ SQL = {
     "pii_fixture_rrn": f"""WITH v AS (SELECT s, replace(s, '-', '') AS d FROM (VALUES {_RRN_SQL}) t(s))
       SELECT s, CASE WHEN len(d) < 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7,1) || '******' END AS masked, CASE WHEN len(d) <> 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7) END AS formatted,
       coalesce(len(d) = 13 AND (11 - list_sum(list_transform(range(1, 13), lambda i: TRY_CAST(substr(d, i, 1) AS INT) * [2,3,4,5,6,7,8,9,2,3,4,5][i])) % 11) % 10 = TRY_CAST(substr(d, 13, 1) AS INT), false) AS valid FROM v""",
-    "pii_fixture_account": f"""SELECT s, regexp_replace(s, '-[^-]*$', '-****') AS masked, len(replace(s, '-', '')) AS n_digits,
-      len(split_part(s,'-',1)) = 4 AND CAST(split_part(s,'-',1) AS INT) BETWEEN 1900 AND 2099 AND CAST(split_part(s,'-',2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(split_part(s,'-',3),1,2) AS INT) BETWEEN 1 AND 31 AS date_shaped
+    "pii_label_context": "WITH l AS (SELECT s_suppkey, s_name, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS d, [" + ", ".join(f"'{x}'" for x in _LABELS) + f"][s_suppkey % {len(_LABELS)} + 1] AS label FROM supplier), labelled AS (SELECT s_suppkey, label || '010-' || substr(d, 1, 4) || '-' || substr(d, 5) || ' ' || s_name AS text FROM l)," + _detections("labelled", "s_suppkey") + " SELECT s_suppkey, type, text, masked_text, verified FROM kept",
+    "pii_signed_turns": r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, lpad(CAST((conv_id * 7919 + turn * 104729) % 100000000 AS VARCHAR), 8, '0') AS n FROM conversations),
+      signed AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN chr(10) || 'phone 010 ' || substr(n, 1, 4) || ' ' || substr(n, 5) || '!' WHEN turn % 3 = 1 THEN chr(10) || 'mail u' || n || '@mail' || turn || '.example.org now'
+        ELSE chr(10) || 'account 110-234-' || n || ' card ' || substr(n, 1, 4) || '-4111-1111-1111' END AS text FROM c),""" + _detections("signed", "conv_id, turn") + " SELECT conv_id, turn, type, text, masked_text, verified FROM kept",
+    "pii_fixture_email": "SELECT s, CASE WHEN split_part(s, '@', 2) = '' THEN s WHEN len(split_part(s, '@', 1)) > 2 THEN substr(s, 1, 1) || repeat('*', len(split_part(s, '@', 1)) - 2) || substr(split_part(s, '@', 1), -1) || '@' || split_part(s, '@', 2) ELSE substr(s, 1, 1) || '***@' || split_part(s, '@', 2) END AS masked FROM (VALUES " + ", ".join(f"('{v}')" for v in _EMAILS) + ") t(s)",
+    "pii_fixture_account": f"""SELECT s, CASE WHEN contains(s, '-') THEN regexp_replace(s, '-[^-]*$', '-****') ELSE substr(s, 1, greatest(len(s) - 4, 0)) || '****' END AS masked, len(replace(s, '-', '')) AS n_digits,
+      coalesce(len(split_part(s,'-',1)) = 4 AND TRY_CAST(split_part(s,'-',1) AS INT) BETWEEN 1900 AND 2099 AND TRY_CAST(split_part(s,'-',2) AS INT) BETWEEN 1 AND 12 AND TRY_CAST(substr(split_part(s,'-',3),1,2) AS INT) BETWEEN 1 AND 31, false) AS date_shaped
       FROM (VALUES {_ACCOUNT_SQL}) t(s)""",
 }
