@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import ann, license, mixing, subdedup
+from leafmill.llm import ann, license, mixing, pii, subdedup
 
 
 def test_passages_are_found_wherever_lines_break(spark):
@@ -140,3 +140,22 @@ def test_repeated_queries_and_the_probing_radius(spark):
     for n in range(0, 400, 40):
         apart = ann._POP[codes ^ codes[n]]
         assert set(np.flatnonzero(apart.sum(1) <= coder.radius)) <= set(index.probe(codes[n], near)) == set(np.flatnonzero((apart <= coder.most).any(1)))
+
+
+def test_trees_decide_on_personal_data_and_secrets(spark):
+    trees = pii.trained()
+    assert len({round(t, 6) for t in trees.threshold.values()}) == len(pii.ALL_KINDS)  # calibrated, each on its own
+    for kind, (precision, recall) in pii.quality(trees).items():
+        assert precision >= 0.93 and recall >= 0.93, kind
+    found = lambda t: [(k, t[a:b]) for k, a, b, *_ in pii.find(t, trees)]
+    key = "AKIA" + "PTDW4XUFB63SMKLH"
+    assert found(f'und token = "2b0cb261201f091f991b2c1144c292e775ffe40a" thly') == [("secret", "2b0cb261201f091f991b2c1144c292e775ffe40a")]
+    assert found(f"the {key} thly") == [("secret", key)]
+    assert found("die 9807915762804490 raie") == [("account", "9807915762804490")]
+    for clean in ("see commit 2b0cb261201f091f991b2c1144c292e775ffe40a of it", "password: required", "order 980791576280 shipped", "Version 2.0 of 2024-01-02", "ANSHHA!! ERAN!! THTHLYEA!!"):
+        assert not found(clean), clean
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.detect(docs.select("doc_id", "text"), keep=["doc_id"]).where("size(spans) > 0").collect()
+    assert sum(not s.base for r in rows for s in r.spans) > 10
+    twice = pii.detect(docs.limit(3).union(docs.limit(3)), keep=["doc_id"]).collect()
+    assert len(twice) == 6 and pii.detect(docs.limit(0)).count() == 0
