@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from leafmill.llm._store import stored
 
 DIMS = ("source", "lang", "topic")
-#: Cells up to this number are fitted in one task; more are dealt by the marginal's key.
-ONE_TASK = 100_000
 TOKEN = r"[^\x09-\x0D\x20]+"
 
 
@@ -67,6 +65,26 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], s
     return w.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy())).select(*DIMS, "tokens", "weight")
 
 
+def residuals(cells: DataFrame, fitted: DataFrame, targets: Mapping[str, Mapping[str, float] | float]) -> DataFrame:
+    """Rows ``(dim, value, target, share)``: the target of every value of each marginal and the weight that it has in ``fitted``.
+
+    They agree for the marginal that was fitted last; for the others they tell how far the sweeps are from the end.
+    """
+    parts = []
+    for d in DIMS:
+        goal = targets.get(d, 1.0)
+        own = cells.groupBy(d).agg(F.sum("tokens").alias("own"))
+        everything = F.sum("own").over(W.partitionBy())
+        if isinstance(goal, Mapping):
+            named = F.coalesce(*(F.when(F.col(d) == k, F.lit(float(v))) for k, v in goal.items()), F.col("own") / everything)
+        else:
+            named = F.pow("own", F.lit(float(goal)))
+        own = own.withColumn("target", named).withColumn("target", F.col("target") / F.sum("target").over(W.partitionBy()))
+        have = fitted.groupBy(d).agg(F.sum("weight").alias("share"))
+        parts.append(own.join(have, d).select(F.lit(d).alias("dim"), F.col(d).alias("value"), "target", "share"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def probabilities(fitted: DataFrame, keep: float) -> DataFrame:
     """``fitted`` with ``prob``: the chance of each document of a cell.
 
@@ -99,7 +117,7 @@ def mix(
 
     ``docs`` needs ``source`` and ``lang``.  Null source, language or topic count as ``unknown``; a text
     that is null or has no token has no cell: weight null, prob 1 and sampled, as it takes no tokens.  Rows with
-    equal ids are drawn alike.  Columns of the added names are replaced.  Default targets temper
+    equal ids are drawn alike, and so are rows with null ids.  Columns of the added names are replaced.  Default targets temper
     each marginal by the power 0.7.
     """
     targets = {d: 0.7 for d in DIMS} if targets is None else targets
@@ -114,13 +132,9 @@ def mix(
         draw(F.col(id_col), seed).alias("__mix_draw"),
     )
     wide = marked.select("__mix_source", "__mix_lang", "topic", "tokens").withColumnsRenamed({"__mix_source": "source", "__mix_lang": "lang"})
-    cells = stored(cells_of(wide))
-    if (n := cells.count()) <= ONE_TASK:
-        cells = cells.repartition(1)
-    fitted = probabilities(rake(cells, targets, sweeps), keep)
+    # Cells are statistics, a row for each combination that occurs: they don't grow with the documents, and are fitted together.
+    fitted = probabilities(rake(stored(cells_of(wide)).repartition(1), targets, sweeps), keep)
     fitted = stored(fitted.select(F.col("source").alias("__mix_source"), F.col("lang").alias("__mix_lang"), "topic", "weight", "prob"))
-    if n <= ONE_TASK:
-        fitted = F.broadcast(fitted)  # a few MB at most
     out = marked.join(fitted, ["__mix_source", "__mix_lang", "topic"], "left")
     prob = F.coalesce("prob", F.lit(1.0))
     return out.select(*columns, "topic", "tokens", "weight", prob.alias("prob"), F.coalesce(F.col("__mix_draw") < prob, F.lit(True)).alias("sampled"))
@@ -134,7 +148,7 @@ def mix_sql(keep: float = 0.7, seed: int = 17, sweeps: int = 8, temper: float =
     steps = [
         f"""d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, {topic} AS topic,
   CAST(coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')), 0) AS BIGINT) AS tokens,
-  CAST(CAST('0x' || substr(md5('{seed}:' || doc_id), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents)""",
+  CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR))), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents)""",
         "c0 AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0)",
         *(f"g_{x} AS (SELECT {x}, pow(sum(tokens), {temper}) / sum(pow(sum(tokens), {temper})) OVER () AS goal FROM c0 GROUP BY {x})" for x in DIMS),
         "w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c0)",
@@ -145,17 +159,16 @@ def mix_sql(keep: float = 0.7, seed: int = 17, sweeps: int = 8, temper: float =
             steps.append(f"w{at + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * goal / sum(w.weight) OVER (PARTITION BY w.{x}) AS weight FROM w{at} w JOIN g_{x} USING ({x}))")
             at += 1
     steps.append(f"f AS (SELECT source, lang, topic, tokens, weight / sum(weight) OVER () AS weight FROM w{at})")
-    steps.append(f"p0 AS (SELECT *, {keep} * sum(tokens) OVER () AS want, weight / tokens AS ratio, least(1.0, {keep} * sum(tokens) OVER () * weight / tokens) AS prob FROM f)")
-    for i in range(2):
-        steps.append(
-            f"""p{i + 1} AS (SELECT source, lang, topic, tokens, weight, want, ratio,
-  CASE WHEN prob >= 1 THEN 1.0 ELSE least(1.0, greatest(0.0, want - sum(CASE WHEN prob >= 1 THEN tokens ELSE 0.0 END) OVER ())
-    / sum(CASE WHEN prob < 1 THEN weight ELSE 0.0 END) OVER () * ratio) END AS prob FROM p{i})"""
-        )
+    steps += [
+        f"p AS (SELECT *, {keep} * sum(tokens) OVER () AS want, weight / tokens AS ratio FROM f)",
+        """s AS (SELECT *, greatest(0.0, want - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / nullif(sum(weight) OVER (ORDER BY ratio, source DESC, lang DESC, topic DESC ROWS UNBOUNDED PRECEDING), 0) AS scale FROM p)""",
+        "q AS (SELECT *, coalesce(least(1.0, max(scale) OVER () * ratio), 1.0) AS prob FROM s)",
+    ]
     return (
         "WITH "
         + ",\n".join(steps)
         + """
 SELECT doc_id, topic, d.tokens, round(weight, 9) AS weight, round(coalesce(prob, 1.0), 6) AS prob, u < coalesce(prob, 1.0) AS sampled
-FROM d LEFT JOIN p2 USING (source, lang, topic)"""
+FROM d LEFT JOIN q USING (source, lang, topic)"""
     )

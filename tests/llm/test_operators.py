@@ -149,6 +149,10 @@ def test_raked_marginals_meet_their_targets(spark):
         got = {r[0]: r[1] for r in out.groupBy(d).agg(F.sum("weight")).collect()}
         for k, v in (want or {"p": 0.5, "q": 0.5}).items():
             assert got[k] == pytest.approx(v, abs=1e-6)
+    left = {(r.dim, r.value): r.target - r.share for r in mixing.residuals(cells, out, goal).collect()}
+    assert len(left) == 7 and all(abs(v) < 1e-6 for v in left.values())
+    early = [abs(r.target - r.share) for r in mixing.residuals(cells, mixing.rake(cells, goal, sweeps=1), goal).collect() if r.dim != "topic"]
+    assert max(early) > 1e-4
 
 
 def test_mixing_odd_rows(spark):
