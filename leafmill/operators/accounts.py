@@ -41,6 +41,22 @@ def route(kind: Column) -> Column:
     return F.when(kind.isin(*GRANT), "grant").when(kind.isin(*CANCEL), "cancel").when(kind.isin(*LIFECYCLE), "lifecycle").otherwise("ignored")
 
 
+def granted(product: Column, monthly: list[str], one_time: list[str]) -> Column:
+    """What a product grants: ``monthly``, ``one_time``, or null for products that aren't on either list."""
+    known = lambda ids: product.isin(*ids) if ids else F.lit(False)
+    return F.when(known(monthly), "monthly").when(known(one_time), "one_time")
+
+
+def is_uuid(value: Column) -> Column:
+    return F.trim(value).rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+
+
+def is_placeholder(value: Column, examples: tuple[str, ...] = ()) -> Column:
+    """Whether a setting is empty, an example, the zero UUID, or text that says to replace it."""
+    v = F.trim(value)
+    return (v == "") | v.isin(*examples, "00000000-0000-0000-0000-000000000000") | v.rlike("(?i)x{6,}") | v.contains("your-") | v.contains("replace-with-")
+
+
 def daily_quota(uses: DataFrame, key: str, at: str, seq: str, limit: int = DAILY_LIMIT) -> DataFrame:
     """Each use with its UTC ``day``, its number ``n`` in the key's day, and the outcomes of both routes.
 

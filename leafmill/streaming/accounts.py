@@ -29,27 +29,31 @@ def daily_uses(events: DataFrame, key: str, at: str, late: str = "1 day") -> Dat
     return n.select(key, F.to_date("window.start").alias("day"), "n", F.least("n", F.lit(LIMIT)).alias("used"), F.greatest(F.lit(0), LIMIT - F.col("n")).alias("remaining"))
 
 
-def quota(events: DataFrame, key: str, at: str, seq: str) -> DataFrame:
-    """Each use with its number in the key's day; the state is one count and one day for each key."""
+def quota(events: DataFrame, key: str, at: str, seq: str, days: int = 7) -> DataFrame:
+    """Each use with its number in the key's UTC day; the state is the counts of a key's latest ``days`` days.
+
+    A late use counts in its own day, as long as that is among these; later still it begins its day anew.
+    """
     kind = dict(events.dtypes)
 
     def step(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, n = state.get if state.exists else ("", 0)
+        counts = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(parts)).sort_values([at, seq], kind="stable")
         out = []
         for s, t in zip(rows[seq], rows[at]):
-            today = t.strftime("%Y-%m-%d")
-            day, n = (today, 1) if today != day else (day, n + 1)
-            out.append((who[0], s, today, n, n < LIMIT, n <= LIMIT))
-        state.update((day, n))
+            day = t.strftime("%Y-%m-%d")
+            n = counts[day] = counts.get(day, 0) + 1
+            out.append((who[0], s, day, n, n < LIMIT, n <= LIMIT))
+        kept = sorted(counts)[-days:]
+        state.update((kept, [counts[d] for d in kept]))
         yield pd.DataFrame(out, columns=[key, seq, "day", "n", "consume_allowed", "checked_allowed"])
 
     schema = f"{key} {kind[key]}, {seq} {kind[seq]}, day string, n bigint, consume_allowed boolean, checked_allowed boolean"
-    return events.select(key, at, seq).groupBy(key).applyInPandasWithState(step, schema, "day string, n bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, at, seq).groupBy(key).applyInPandasWithState(step, schema, "day array<string>, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def entitlements(events: DataFrame, key: str, days: int = 30) -> DataFrame:
-    """Each key's record after its events so far: ``passes, expires_at, plan``; input as for the batch fold, ordered by ``seq`` in a micro-batch."""
+    """Each key's record after its events so far: ``passes, expires_at, plan``; input and kinds as for the batch fold, ordered by ``seq`` in a micro-batch."""
     kind = dict(events.dtypes)
 
     def step(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,6 +71,14 @@ def entitlements(events: DataFrame, key: str, days: int = 30) -> DataFrame:
                 known, expires, plan = True, given if pd.notna(given) else r["at"] + pd.Timedelta(days=days), "monthly"
             elif what == "ended" and known:
                 expires, plan = r["at"], "unknown" if plan == "monthly" else plan
+            elif what == "admin_one_time":
+                given = r.get("passes")
+                known, passes, plan = True, max(1, int(given) if pd.notna(given) else 1), "one_time"
+            elif what == "admin_monthly":
+                given = r.get("expires_at")
+                known, expires, plan = True, given if pd.notna(given) else r["at"] + pd.Timedelta(days=days), "monthly"
+            elif what == "admin_revoke":
+                known, passes, expires, plan = True, 0, None, "unknown"
             elif what == "use":
                 if known and passes > 0 and not (expires is not None and expires > r["at"]):
                     passes -= 1

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from leafmill.plans import accounts, documents, layout, personal_data, streams, text
+from leafmill.plans import accounts, documents, drawing, layout, personal_data, streams, text
 
-FAMILIES = (personal_data, accounts, text, layout, documents, streams)
+FAMILIES = (personal_data, accounts, text, layout, drawing, documents, streams)
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
