@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators import layout as L
 
 
 def _tags(df: DataFrame, keys: list[str], column: str, pattern: str, seq: str, groups: int = 1) -> DataFrame:
@@ -22,13 +24,19 @@ def _number(attrs: Column, name: str, default: float) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (v == 0), F.lit(float(default))).otherwise(v)
 
 
+#: A4 at 96 dpi, and the kinds of images that a picture may embed.
+A4_PX = (793.7066666666667, 1122.5066666666667)
+IMAGE_KINDS = "png|jpe?g|gif|webp"
+
+
 def svg_size(svg: Column) -> tuple[Column, Column]:
-    """Width and height: the attributes, else the view box, else A4 at 96 dpi."""
-    one = lambda n: F.nullif(F.regexp_extract(svg, rf'(?i)<svg[^>]*\b{n}="([0-9.]+)(?:px)?"', 1), F.lit("")).try_cast("double")
-    box = r'(?i)<svg[^>]*\bviewBox="\s*[-0-9.]+\s+[-0-9.]+\s+([0-9.]+)\s+([0-9.]+)\s*"'
-    view = lambda i: F.nullif(F.regexp_extract(svg, box, i), F.lit("")).try_cast("double")
-    both = one("width").isNotNull() & one("height").isNotNull()
-    return F.coalesce(F.when(both, one("width")), view(1), F.lit(793.7066666666667)), F.coalesce(F.when(both, one("height")), view(2), F.lit(1122.5066666666667))
+    """Width and height: both attributes, else the view box, else A4."""
+    tag = X.attributes(F.regexp_extract(svg, r"(?i)<svg\b([^>]*)>", 1))
+    pixels = lambda name: F.regexp_replace(tag[name], "(?i)px$", "").try_cast("double")
+    box = F.split(F.trim(tag["viewBox"]), r"\s+")
+    both = pixels("width").isNotNull() & pixels("height").isNotNull()
+    side = lambda name, i: F.coalesce(F.when(both, pixels(name)), F.get(box, F.lit(2 + i)).try_cast("double"), F.lit(A4_PX[i]))
+    return side("width", 0), side("height", 1)
 
 
 def svg_glyphs(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:
@@ -46,8 +54,9 @@ def svg_rects(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:
 
 def svg_images(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:
     """Embedded images, numbered from 1, with their kind and bytes."""
-    t = _tags(df, keys, svg, r"""(?i)\b(?:xlink:)?href=['"]data:image/(png|jpe?g|gif|webp);base64,([^'"]+)['"]""", "seq", 2)
-    return t.select(*keys, (F.col("seq") + 1).alias("number"), F.when(F.lower("g1") == "jpeg", "jpg").otherwise(F.lower("g1")).alias("kind"), F.expr("try_to_binary(regexp_replace(g2, '\\\\s+', ''), 'base64')").alias("content"))
+    t = _tags(df, keys, svg, rf"""(?i)\bhref=["']data:image/({IMAGE_KINDS});base64,([^"']+)["']""", "seq", 2)
+    kind = F.regexp_replace(F.lower("g1"), "^jpeg$", "jpg")
+    return t.select(*keys, (F.col("seq") + 1).alias("number"), kind.alias("kind"), F.expr("try_to_binary(regexp_replace(g2, '\\\\s+', ''), 'base64')").alias("content"))
 
 
 def xml_pages(df: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
@@ -99,3 +108,85 @@ def styled(rows: DataFrame, styles: DataFrame, keys: list[str], size: float = 12
     """Rows with their style's properties, or the defaults where the style is unknown."""
     j = rows.join(styles.drop("parent"), [*keys, "style"], "left")
     return j.withColumns({"font_family": F.coalesce("font_family", F.lit(X.DEFAULT_FONT)), "font_size": F.coalesce("font_size", F.lit(size)), "bold": F.coalesce("bold", F.lit(False)), "color": F.coalesce("color", F.lit("#000000"))})
+
+
+def odf_paragraph_lines(df: DataFrame, keys: list[str], styles: DataFrame, xml: str = "xml", start: float = 72.0) -> DataFrame:
+    """Paragraphs outside tables with their style and a running ``y``: each stands under the last by 1.4 of its own font size, 12 at least."""
+    bare = df.withColumn(xml, F.regexp_replace(xml, r"(?s)<table:table(?!-)\b.*?</table:table>", ""))
+    p = styled(odf_paragraphs(bare, keys, xml), styles, keys)
+    p = p.withColumn("height", F.greatest(F.lit(12.0), F.col("font_size") * 1.4))
+    before = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    return p.withColumn("y", F.lit(start) + F.coalesce(F.sum("height").over(before), F.lit(0.0)))
+
+
+def odf_properties(df: DataFrame, keys: list[str], family: str, xml: str = "xml") -> DataFrame:
+    """``keys, style, p``: the properties of a family's styles as maps, the last of equal names."""
+    t = _tags(df, keys, xml, r"(?s)<style:style\b([^>]*)>(.*?)</style:style>", "i", 2).withColumn("a", X.attributes(F.col("g1")))
+    t = t.where((F.col("a")["style:family"] == family) & F.col("a")["style:name"].isNotNull())
+    return t.groupBy(*keys, F.col("a")["style:name"].alias("style")).agg(F.max_by(X.attributes(F.col("g2")), "i").alias("p"))
+
+
+#: Sizes of table parts without a style, in pixels, and where the first table stands.
+COLUMN_PX, ROW_PX, LEAST_ROW_PX, FIRST_TABLE, TABLE_GAP, MARGINS = 96.0, 28.0, 18.0, 72.0, 10.0, 144.0
+
+
+def odf_tables(df: DataFrame, keys: list[str], page_width: float, xml: str = "xml") -> DataFrame:
+    """Cells ``keys, table_seq, row, col, row_span, col_span, x, y, width, height, text, stroke, fill`` of the tables of ODF texts, laid out under each other.
+
+    Covered cells have no row but take a column, besides those that the spanning cell takes; a table is centred on the page; a repeated column counts as
+    often as it says.
+    """
+    sizes = lambda family, name: odf_properties(df, keys, family, xml).select(*keys, "style", X.odf_px(F.col("p")[name]).alias("px"))
+    body = _tags(df, keys, xml, r"(?s)<table:table(?!-)\b([^>]*)>(.*?)</table:table>", "table_seq", 2).select(*keys, "table_seq", F.col("g2").alias("body"))
+    on = [*keys, "table_seq"]
+    count = lambda a, name: F.greatest(F.lit(1), F.coalesce(a[name].try_cast("int"), F.lit(1)))
+    named = lambda t, styles, name: t.withColumn("style", F.col("a")["table:style-name"]).join(styles, [*keys, "style"], "left").withColumn(name, F.nullif("px", F.lit(0.0))).drop("px", "style")
+    c = _tags(body, on, "body", r"<table:table-column\b([^>]*?)/>", "i").withColumn("a", X.attributes(F.col("g1")))
+    c = named(c, sizes("table-column", "style:column-width"), "w").select(*on, "i", F.array_repeat(F.coalesce("w", F.lit(COLUMN_PX)), count(F.col("a"), "table:number-columns-repeated")).alias("w"))
+    widths = c.groupBy(*on).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s.w)).alias("widths"))
+    r = _tags(body, on, "body", r"(?s)<table:table-row\b([^>]*)>(.*?)</table:table-row>", "row", 2).withColumn("a", X.attributes(F.col("g1")))
+    rows = named(r, sizes("table-row", "style:row-height"), "h").select(*on, "row", "g2", F.greatest(F.lit(LEAST_ROW_PX), F.coalesce("h", F.lit(ROW_PX))).alias("height"))
+    t = body.select(*on).join(widths, on, "left").withColumn("widths", F.coalesce("widths", F.array(F.lit(max(1.0, page_width - MARGINS)))))
+    t = t.join(rows.groupBy(*on).agg(F.sum("height").alias("tall")), on, "left").withColumn("tall", F.coalesce("tall", F.lit(0.0)))
+    above = W.partitionBy(*keys).orderBy("table_seq").rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("top", F.lit(FIRST_TABLE) + F.coalesce(F.sum(F.col("tall") + TABLE_GAP).over(above), F.lit(0.0)))
+    t = t.withColumn("left", F.greatest(F.lit(0.0), (F.lit(page_width) - _total(F.col("widths"))) / 2))
+    rows = rows.withColumn("down", F.coalesce(F.sum("height").over(W.partitionBy(*on).orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    cells = _tags(rows, [*on, "row", "height", "down"], "g2", r"(?s)<table:(table-cell|covered-table-cell)\b((?:[^>/]|/(?!>))*)(?:/>|>(.*?)</table:table-cell>)", "i", 3).withColumn("a", X.attributes(F.col("g2")))
+    covered = F.col("g1") == "covered-table-cell"
+    cells = cells.withColumn("col_span", F.when(covered, 1).otherwise(count(F.col("a"), "table:number-columns-spanned")))
+    cells = cells.withColumn("col", F.coalesce(F.sum("col_span").over(W.partitionBy(*on, "row").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(~covered)
+    looks = odf_properties(df, keys, "table-cell", xml).select(*keys, "style", F.col("p")["fo:background-color"].alias("fill"))
+    cells = cells.withColumn("style", F.col("a")["table:style-name"]).join(looks, [*keys, "style"], "left").join(t, on)
+    paragraphs = F.transform(F.regexp_extract_all(F.coalesce("g3", F.lit("")), F.lit(r"(?s)<text:p\b[^>]*>(.*?)</text:p>"), F.lit(1)), X.decode_odf)
+    text = X.trim_ws(F.array_join(F.filter(paragraphs, lambda s: s != ""), "\n"))
+    wide = F.nullif(_total(F.slice("widths", F.col("col") + 1, F.col("col_span"))), F.lit(0.0))
+    return cells.select(
+        *on, "row", "col", count(F.col("a"), "table:number-rows-spanned").alias("row_span"), "col_span", (F.col("left") + _total(F.slice("widths", F.lit(1), F.col("col")))).alias("x"), (F.col("top") + F.col("down")).alias("y"),
+        F.coalesce(wide, F.get("widths", "col"), F.lit(COLUMN_PX)).alias("width"), "height", text.alias("text"), F.lit("#000000").alias("stroke"), F.col("fill"),
+    )
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def overlay(df: DataFrame, keys: list[str], lines: DataFrame, xml: str = "xml") -> DataFrame:
+    """Glyphs of word boxes with the style of the nearest line of their page: ``keys, page_index, word_seq, glyph, text, x, y, width, height, font_size``.
+
+    ``df`` holds word boxes by page, ``lines`` the pages' lines in their own space, of ``page_width`` and ``page_height``; sizes follow the pages' widths.
+    """
+    pages = xml_pages(df, keys, xml)
+    on = [*keys, "page_index"]
+    words = word_boxes(pages.select(*on, "body"), on, "body")
+    size = lines.groupBy(*on).agg(F.first("page_width").alias("w"), F.first("page_height").alias("h"))
+    ratio = pages.join(size, on).select(*on, (F.col("width") / F.col("w")).alias("sx"), (F.col("height") / F.col("h")).alias("sy"))
+    scaled = lines.join(ratio, on)
+    for c, s in (("x", "sx"), ("y", "sy"), ("width", "sx"), ("height", "sy")):
+        scaled = scaled.withColumn(c, F.col(c) * F.col(s))
+    best = L.nearest_style(words, scaled, on)
+    styled_ = words.join(best.join(scaled.select(*on, "line_seq", (F.col("font_size") * F.col("sx")).alias("size")), [*on, "line_seq"]).select(*on, "word_seq", "size"), [*on, "word_seq"], "left")
+    glyphs = L.split_glyphs(styled_, [*on, "word_seq"])
+    sizes = styled_.select(*on, "word_seq", "y", "height", F.greatest(F.lit(1.0), F.coalesce("size", F.col("height") * 0.9)).alias("font_size"))
+    return glyphs.join(sizes, [*on, "word_seq"])
+

@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

@@ -20,6 +20,50 @@ def auth_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"sessions": part("sessions", "id"), "premium": part("premiumByEmail", "email"), "webhook_events": part("processedEvents", "delivery_id")}
 
 
+def usage_store(spark: SparkSession, path: str) -> DataFrame:
+    """``key, count, date`` of a usage store's JSON object; an unreadable file counts as empty."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<count:int,date:string>>").alias("s"))
+    return raw.select(F.explode("s").alias("key", "r")).select("key", "r.count", "r.date")
+
+
+def replace_store(rows: DataFrame, path: str) -> None:
+    """A store's rows, written whole in place of the last ones."""
+    rows.write.mode("overwrite").json(path)
+
+
+_LINE = "struct<text:string,x:double,y:double,width:double,height:double,baseline:double,natural_width:double,font_family:string,font_size:double,bold:boolean,color:string>"
+_BOX = "struct<x:double,y:double,width:double,height:double,stroke:string,fill:string,stroke_width:double>"
+_IMAGE = "struct<id:string,x:double,y:double,width:double,height:double,natural_w:int,natural_h:int>"
+_CELL = "struct<row:int,col:int,row_span:int,col_span:int,text:string,font_family:string,font_size:double,bold:boolean,color:string,style:struct<stroke:string,fill:string>>"
+_TABLE = f"struct<x:double,y:double,width:double,height:double,columns:array<double>,row_heights:array<double>,cells:array<{_CELL}>>"
+#: The nested layout of documents: one JSON object a document, pages inside.
+LAYOUT = f"doc_id bigint, unit string, pages array<struct<width:double,height:double,lines:array<{_LINE}>,boxes:array<{_BOX}>,images:array<{_IMAGE}>,tables:array<{_TABLE}>>>"
+
+
+def layouts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Layout JSON as tables ``pages``, ``lines``, ``boxes``, ``images`` and ``cells``, by ``doc_id`` and ``page_index``; a column that no caller asks for isn't parsed."""
+    pages = spark.read.schema(LAYOUT).json(path).select("doc_id", "unit", F.posexplode("pages").alias("page_index", "p"))
+    on = ["doc_id", "page_index"]
+    part = lambda name, seq: pages.select(*on, F.posexplode(f"p.{name}").alias(seq, "r")).select(*on, seq, "r.*")
+    tables = part("tables", "table_seq")
+    cells = tables.select(*on, "table_seq", F.explode("cells").alias("c")).select(*on, "table_seq", "c.*")
+    return {"pages": pages.select(*on, "unit", "p.width", "p.height"), "lines": part("lines", "line_seq"), "boxes": part("boxes", "box_seq"), "images": part("images", "image_seq"), "tables": tables.drop("cells"), "cells": cells}
+
+
+def write_layouts(pages: DataFrame, path: str) -> None:
+    """Documents ``(doc_id, unit, pages)`` as layout JSON, one object a line; files follow the partitions."""
+    pages.write.mode("overwrite").json(path)
+
+
+#: An envelope of a webhook delivery; the body stays as it came, for its signature.
+DELIVERY = "delivery_id string, sent string, signature string, body string"
+
+
+def deliveries(spark: SparkSession, path: str) -> DataFrame:
+    """Webhook envelopes as a stream of JSON lines in a folder."""
+    return spark.readStream.schema(DELIVERY).json(path)
+
+
 def _fields(store: DataFrame, name: str) -> list[str]:
     return store.schema["s"].dataType[name].dataType.valueType.names
 
