@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,20 +9,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.plans import accounts
-from leafmill.sources.scratch import shared_dir
+from leafmill.sources.scratch import scratch_path
+from leafmill.sources.tables import table
 from leafmill.streaming import accounts as S
 
 
+#: Micro-batches that a query's input comes in.
+BATCHES = 4
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    # A pattern, as a stream takes no path of a single file.
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    """All events as a stream of ``BATCHES`` micro-batches in order of time, so that state passes from one to the next."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = scratch_path(spark, "events")
+    ends = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (ends[1] - ends[0]) / BATCHES
+    for i in range(BATCHES):
+        part = events if i == BATCHES - 1 else events.where(F.col("ts") < F.lit(ends[0] + step * (i + 1)))
+        part = part if i == 0 else part.where(F.col("ts") >= F.lit(ends[0] + step * i))
+        part.coalesce(1).write.mode("append").parquet(folder)  # a file a batch; a real stream's files come by themselves
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The stream's rows with ``batch``, after all its input; a batch that is run again replaces its own files."""
-    base = f"{shared_dir(spark).rstrip('/')}/leafmill/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
@@ -57,10 +67,23 @@ def stream_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(out, ["user_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_quota, stream_daily_uses, stream_deliveries, stream_entitlements)}
+def stream_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analogue: records that operators grant and revoke too: views set two passes, logouts clear all."""
+    e = _events(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "purchase", "one_time").when(F.col("event_type") == "signup", "use").when(F.col("event_type") == "click", "admin_one_time").when(F.col("event_type") == "error", "admin_revoke")
+    g = e.select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), F.col("event_id").cast("string").alias("event_id"), F.lit(2).alias("passes")).where("kind is not null")
+    return _latest(_run(spark, S.entitlements(g, "user_id"), "update"), ["user_id"]).select("user_id", "passes", "plan")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_quota, stream_daily_uses, stream_deliveries, stream_entitlements, stream_admin)}
 SQL = {
     "stream_quota": "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, n, n < 3 AS consume_allowed, n <= 3 AS checked_allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)",
     "stream_daily_uses": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, least(count(*), 3) AS used, greatest(0, 3 - count(*)) AS remaining FROM events GROUP BY 1, 2",
+    "stream_admin": """WITH RECURSIVE e AS (SELECT user_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'signup', 'click', 'error')),
+      f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, false AS known, 0 AS passes, CAST(NULL AS VARCHAR) AS plan FROM e UNION ALL
+        SELECT f.user_id, e.n, known OR k <> 'signup', CASE k WHEN 'purchase' THEN passes + 1 WHEN 'click' THEN 2 WHEN 'error' THEN 0 ELSE passes - CASE WHEN known AND passes > 0 THEN 1 ELSE 0 END END,
+          CASE k WHEN 'signup' THEN plan WHEN 'error' THEN 'unknown' ELSE 'one_time' END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+      SELECT user_id, passes, plan FROM f WHERE known QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
     "stream_deliveries": "SELECT DISTINCT props FROM events",
     "stream_entitlements": f"SELECT user_id, stored_passes AS passes, ex AS expires_at, stored_plan AS plan FROM ({accounts._FOLD.format(now=accounts.NOW).rstrip().replace('plan AS stored_plan,', 'plan AS stored_plan, ex,')})",
 }
