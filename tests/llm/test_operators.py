@@ -282,6 +282,15 @@ def test_hits_point_into_the_original(spark):
     assert decontam.contamination(empty(spark), bench).count() == 0
 
 
+def test_passes_find_what_one_automaton_finds(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    key = lambda r: (r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple((h.start, h.end) for h in r.hits))
+    whole = sorted(map(key, decontam.contamination(docs, bench, keep=["doc_id"]).collect()))
+    monkeypatch.setattr(decontam, "MAX_CHARS", bench.agg(F.sum(F.length("text"))).first()[0] // 3)
+    assert sorted(map(key, decontam.contamination(docs, bench, keep=["doc_id"]).collect())) == whole and any(r[2] for r in whole)
+
+
 # Nearest neighbours
 
 

@@ -38,7 +38,7 @@ def test_pipeline_stages(spark):
     found = simhash.near_duplicates(base).collect()
     assert sorted(r.doc_id for r in two) == sorted({r.component_id for r in found})
     three = corpus_pipeline.decontaminate(spark, base, DIR).collect()
-    bench = [decontam.automaton(decontam.windows([(str(b.item_id), b.text) for b in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]))]
+    bench = decontam.automaton(decontam.windows([(str(b.item_id), b.text) for b in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]))
     assert {r.doc_id for r in three} == {r.doc_id for r in one if not decontam.scan((r.text or "").encode(), bench)[1]}
     four = corpus_pipeline.mix_sources(spark, base, DIR)
     assert four.columns == docs.columns and 0.4 < four.count() / len(one) < 0.95
