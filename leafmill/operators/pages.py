@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.operators.ranks import before
+
 RANGES = r"^\s*\d+\s*(?:-\s*\d+\s*)?(?:,\s*\d+\s*(?:-\s*\d+\s*)?)*\s*$"
 
 
@@ -51,10 +53,10 @@ def split_by_ranges(pages: DataFrame, ranges: str) -> DataFrame:
 def merge(pages: DataFrame, order: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Pages of the documents of ``order(doc, file_seq)`` as one document: ``page_no`` from 0 by file, then page.
 
-    Numbers come from each file's count of pages before it, not from one window over all pages.
+    Numbers come from the pages before each file, summed by ranges of files: no task sees all pages or all files.
     """
     sizes = pages.groupBy(doc).agg(F.count("*").alias("_n")).join(order, doc)
-    first = sizes.select(doc, "file_seq", F.coalesce(F.sum("_n").over(W.orderBy("file_seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    first = before(sizes, ["file_seq", doc], F.col("_n"), "_first").select(doc, "file_seq", "_first")
     own = F.row_number().over(W.partitionBy(doc, "file_seq").orderBy("page_index")) - 1
     return pages.join(first, doc).withColumn("page_no", (F.col("_first") + own).cast("long")).drop("_first")
 

@@ -59,7 +59,7 @@ def stream_daily_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery keys, each once."""
-    return _run(spark, S.first_deliveries(_events(spark, sf_dir), "props"), "append").select("props")
+    return _run(spark, S.first_deliveries(_events(spark, sf_dir), "props", "ts", "60 days"), "append").select("props")
 
 
 def stream_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:

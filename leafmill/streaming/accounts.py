@@ -16,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LIMIT = 3
 
 
-def first_deliveries(events: DataFrame, key: str, at: str | None = None, bound: str | None = None) -> DataFrame:
-    """Each delivery key once. Without a bound the state keeps all keys ever seen; with one, keys within the watermark only."""
+def first_deliveries(events: DataFrame, key: str, at: str, bound: str | None = "30 days") -> DataFrame:
+    """Each delivery key once. The state holds the keys of the last ``bound`` of event time; without a bound it keeps all keys ever seen."""
     if bound is None:
         return events.dropDuplicates([key])
     return events.withWatermark(at, bound).dropDuplicatesWithinWatermark([key])

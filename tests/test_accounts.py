@@ -24,6 +24,23 @@ def test_fold(spark):
     assert records(spark, [(1, "one_time", "a", None), (1, "admin_revoke", None, None)]) == {1: (0, "unknown")}
 
 
+def test_settings_and_products(spark):
+    df = spark.createDataFrame([("p1",), ("p9",), (None,)], "p string")
+    assert [r[0] for r in df.select(A.granted(F.col("p"), ["p1"], [])).collect()] == ["monthly", None, None]
+
+
+def test_late_days_keep_their_counts(spark, tmp_path):
+    at = ["2024-01-01 10:00", "2024-01-02 10:00", "2024-01-01 23:00", "2024-01-02 11:00"]
+    src = str(tmp_path / "late")
+    schema = "user_id int, at timestamp, seq int"
+    for i, t in enumerate(at):  # one file and one micro-batch each
+        spark.createDataFrame([(1, i)], "user_id int, seq int").select("user_id", F.lit(t).cast("timestamp").alias("at"), "seq").coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = S.quota(s, "user_id", "at", "seq").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "late-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.seq, r.n) for r in spark.table("late").collect()} == {(0, 1), (1, 1), (2, 2), (3, 2)}
+
+
 def test_quota_routes(spark):
     e = spark.createDataFrame([("k", i) for i in range(4)], "key string, seq int").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     got = A.daily_quota(e, "key", "at", "seq").orderBy("seq").collect()
@@ -53,5 +70,5 @@ def test_streams_match_batch(spark, tmp_path):
     assert {(r.seq, r.n, r.consume_allowed) for r in got.collect()} == {(r.seq, r.n, r.consume_allowed) for r in want.collect()}
 
     twice = uses.union(uses).withColumn("key", F.col("seq").cast("string"))
-    assert _streamed(spark, tmp_path, twice, lambda s: S.first_deliveries(s, "key"), "append", "once").count() == uses.count()
+    assert _streamed(spark, tmp_path, twice, lambda s: S.first_deliveries(s, "key", "at"), "append", "once").count() == uses.count()
     assert _streamed(spark, tmp_path, uses, lambda s: S.daily_uses(s, "user_id", "at"), "update", "uses").count() == 3
