@@ -24,9 +24,9 @@ def topic_of(text: Column) -> Column:
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
         .when(text.contains(" | "), "list")
-        .when(text.rlike(r"(###|\$\$\$|%%%|&&&|\*\*\*)"), "noisy")
-        .when(text.rlike("[A-Z]!!"), "shouted")
-        .when(text.rlike("[0-9A-Za-z]@[0-9A-Za-z]"), "contact")
+        .when(text.contains("###") | text.contains("$$$") | text.contains("%%%") | text.contains("&&&") | text.contains("***"), "noisy")
+        .when(text.contains("!!") & text.rlike("[A-Z]!!"), "shouted")
+        .when(text.contains("@") & text.rlike("[0-9A-Za-z]@[0-9A-Za-z]"), "contact")
         .otherwise("prose")
     )
 
