@@ -230,10 +230,11 @@ def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -
     while True:
         mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
         a, b = live.alias("a"), live.alias("b")
-        # The first round needs no proof that a partner is left: one hub a bucket.
-        able = live.join(mixed, "bucket", "left_semi") if not turn else a.hint("merge").join(b, _may_meet(similarity), "left_semi")
+        # The first round needs no proof that a partner is left: one hub a bucket.  Later ones write it, as a join before a window can't split a hot bucket.
+        able = live.join(mixed, "bucket", "left_semi") if not turn else stored(a.hint("merge").join(b, _may_meet(similarity), "left_semi"))
         order = W.partitionBy("bucket").orderBy(F.xxhash64("key", F.lit(turn)), "key")
         hubs = stored(able.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_a_bucket).drop("place"))
+        discard(able)
         if hubs.isEmpty():
             discard(hubs, live)
             return roots
