@@ -32,6 +32,32 @@ def gaps(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return lines.withColumn("gap", F.greatest(F.lit(0.0), F.col("y") - F.coalesce(before, F.lit(0.0))))
 
 
+def placed_gaps(lines: DataFrame, tables: DataFrame, keys: list[str], start: float = 0.0) -> DataFrame:
+    """Texts and tables of a page in the order in which a document takes them, with the ``gap`` above each: ``keys, kind, seq, place, gap``.
+
+    Lines ``(keys, line_seq, y, size)`` above the first table come first, by y; then all tables ``(keys, table_seq, y, bottom)``; then the other
+    lines. A gap is counted from the end of what was placed last, so from the last table's bottom for the first line under it, and never below 0.
+    """
+    first = tables.groupBy(*keys).agg(F.min_by("y", "table_seq").alias("top"))
+    part = F.when(F.col("top").isNull() | (F.col("y") < F.col("top")), 0).otherwise(2)
+    n = lines.join(first, keys, "left").select(*keys, F.lit("text").alias("kind"), F.col("line_seq").alias("seq"), part.alias("part"), F.col("y").alias("at"), "y", (F.col("y") + F.col("size")).alias("end"))
+    t = tables.select(*keys, F.lit("table").alias("kind"), F.col("table_seq").alias("seq"), F.lit(1).alias("part"), F.col("table_seq").cast("double").alias("at"), "y", F.col("bottom").alias("end"))
+    w = W.partitionBy(*keys).orderBy("part", "at", "seq")
+    gap = F.greatest(F.lit(0.0), F.col("y") - F.coalesce(F.lag("end").over(w), F.lit(start)))
+    return n.union(t).select(*keys, "kind", "seq", (F.row_number().over(w) - 1).alias("place"), gap.alias("gap"))
+
+
+def absent_texts(paragraphs: DataFrame, lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Paragraphs whose trimmed text none of their page's lines has; equal paragraphs stay side by side."""
+    mark = lambda df: df.withColumn("_t", X.trim_ws(F.col(text)))
+    return mark(paragraphs).join(mark(lines).select(*keys, "_t"), [*keys, "_t"], "left_anti").drop("_t")
+
+
+def zipped_pages(pages: DataFrame, others: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Pages with what another reader found on the page of the same place; pages that it lacks stay with nulls."""
+    return pages.join(others, [doc, "page_index"], "left")
+
+
 def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of spans ``(keys, seq, text, font, size, bold)``: their texts joined, with the style of the longest span, the first of equals; blank lines go."""
     style = F.max_by(F.struct("font", "size", "bold"), F.struct(F.length("text"), -F.col("seq")))

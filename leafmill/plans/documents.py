@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import corner
 from leafmill.operators import documents as D
-from leafmill.plans.layout import _LINES, text_lines
+from leafmill.plans.layout import _LINES, _PAGES, doc_pages, text_lines
 from leafmill.sources.tables import table
 
 
@@ -65,7 +66,38 @@ def rules_under_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.without_table_rules(b, t, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_seq").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (page_text, doc_headings, line_gaps, span_merge, interleave, push_down, export_geometry, rules_under_tables)}
+def placed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document around two tables; every third document has none."""
+    n = text_lines(spark, sf_dir).select("doc_id", "line_seq", "y", (F.col("line_seq") % 3 + 1.0).alias("size"))
+    t = n.where("doc_id % 3 > 0").select("doc_id").distinct().withColumn("table_seq", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    t = t.select("doc_id", "table_seq", (F.col("table_seq") * 50 + 21.0).alias("y"), (F.col("table_seq") * 50 + 44.0).alias("bottom"))
+    return D.placed_gaps(n, t, ["doc_id"], 10.0)
+
+
+def absent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second line against the lines before the tenth."""
+    n = text_lines(spark, sf_dir)
+    out = D.absent_texts(n.where("line_seq % 2 = 0").withColumn("text", F.concat(F.lit(" "), "text")), n.where("line_seq < 10"), ["doc_id"])
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_seq").alias("first"))
+
+
+def zipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents with pictures of the first two of them."""
+    p = doc_pages(spark, sf_dir)
+    images = p.where("page_index < 2 and doc_id % 2 = 0").select("doc_id", "page_index", F.concat(F.lit("p"), F.col("page_index").cast("string"), F.lit(".png")).alias("image"))
+    return D.zipped_pages(p.select("doc_id", "page_index", "n_lines"), images)
+
+
+def stamp_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stamp of each part's size at every named place of a page."""
+    s = F.col("p_size").cast("double")
+    place = F.explode(F.array(*map(F.lit, ("top-left", "top-right", "bottom-left", "bottom-right", "centre"))))
+    p = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"), place.alias("place"))
+    x, y = corner(F.col("place"), F.lit(595.0), F.lit(842.0), F.col("s"), F.col("s") / 2)
+    return p.select("p_partkey", "place", x.alias("x"), y.alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (page_text, doc_headings, line_gaps, span_merge, interleave, push_down, export_geometry, rules_under_tables, placed_gaps, absent_texts, zipped_pages, stamp_corners)}
 SQL = {
     "page_text": "WITH p AS (SELECT conv_id, turn // 2 AS page, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY 1, 2), d AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS t FROM p GROUP BY 1) SELECT conv_id, md5(t) AS md5, len(t) AS chars FROM d",
     "doc_headings": f"""WITH {_LINES}, r AS (SELECT doc_id, floor(y / 3 + 0.5) AS b, min(line_seq) AS seq, trim(string_agg(text, '' ORDER BY x, line_seq)) AS t FROM ln GROUP BY 1, 2),
@@ -81,4 +113,10 @@ SQL = {
       CAST(round(greatest(0, CASE WHEN line_seq % 2 = 0 THEN y + 9 - 0.85::DOUBLE * (1200.0::DOUBLE / 75) ELSE y END) * 75) AS BIGINT) AS top,
       CASE WHEN v <= 20 THEN 0 WHEN v <= 60 THEN 1 WHEN v <= 140 THEN 2 ELSE 3 END AS edge, CASE WHEN line_seq % 10 = 0 THEN 'center' WHEN x / 90 > 0.3 AND x / 90 < 0.7 THEN 'center' WHEN x / 90 > 0.8 THEN 'right' ELSE 'left' END AS align FROM v""",
     "rules_under_tables": f"WITH {_LINES} SELECT doc_id, count(*) AS n, min(line_seq) AS first FROM ln WHERE NOT (width >= 475 AND x <= 2 AND y > 20 AND y - 20 < 25) GROUP BY 1",
+    "placed_gaps": f"""WITH {_LINES}, n AS (SELECT doc_id, 'text' AS kind, line_seq AS seq, CASE WHEN doc_id % 3 = 0 OR y < 21 THEN 0 ELSE 2 END AS part, y AS a, y, y + line_seq % 3 + 1 AS e FROM ln),
+      t AS (SELECT DISTINCT doc_id, 'table' AS kind, CAST(k AS INT) AS seq, 1 AS part, CAST(k AS DOUBLE) AS a, k * 50 + 21.0::DOUBLE AS y, k * 50 + 44.0::DOUBLE AS e FROM ln, range(2) r(k) WHERE doc_id % 3 > 0), u AS (SELECT * FROM n UNION ALL SELECT * FROM t)
+      SELECT doc_id, kind, seq, CAST(row_number() OVER w - 1 AS INT) AS place, greatest(0.0::DOUBLE, y - coalesce(lag(e) OVER w, 10)) AS gap FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY part, a, seq)""",
+    "absent_texts": f"WITH {_LINES} SELECT doc_id, count(*) AS n, min(line_seq) AS first FROM ln WHERE line_seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ln o WHERE o.doc_id = ln.doc_id AND o.line_seq < 10 AND trim(o.text) = trim(ln.text)) GROUP BY 1",
+    "zipped_pages": f"WITH {_PAGES} SELECT doc_id, page_index, n_lines, CASE WHEN page_index < 2 AND doc_id % 2 = 0 THEN 'p' || page_index || '.png' END AS image FROM p",
+    "stamp_corners": "SELECT p_partkey, place, CASE WHEN place LIKE '%left' THEN 50.0::DOUBLE WHEN place LIKE '%right' THEN 545 - p_size ELSE (595 - p_size) / 2.0::DOUBLE END AS x, CASE WHEN place LIKE 'top%' THEN 792 - p_size / 2.0::DOUBLE WHEN place LIKE 'bottom%' THEN 50.0::DOUBLE ELSE (842 - p_size / 2.0::DOUBLE) / 2 END AS y FROM part, (VALUES ('top-left'), ('top-right'), ('bottom-left'), ('bottom-right'), ('centre')) v(place)",
 }
