@@ -16,7 +16,7 @@ comparing pairs:
    group becomes a star around ``a`` rather than all its pairs.
 4. components of the stars, then the smallest document of each.
 
-Every group is reduced by partial aggregation, so no hot variant meets one task.
+A variant holds a fingerprint once at most, and equal texts are one fingerprint, so one variant's rows are as many as different near copies share it.
 """
 
 from __future__ import annotations
