@@ -228,7 +228,7 @@ def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -
     live = stored(crowd.join(facts.drop("body").withColumn("root", F.col("key")), "key"))
     hubs_a_bucket, turn = 1, 0
     while True:
-        mixed = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        mixed = stored(live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket"))
         a, b = live.alias("a"), live.alias("b")
         # The first round needs no proof that a partner is left: one hub a bucket.  Later ones write it, as a join before a window can't split a hot bucket.
         able = live.join(mixed, "bucket", "left_semi") if not turn else stored(a.hint("merge").join(b, _may_meet(similarity), "left_semi"))
@@ -236,7 +236,7 @@ def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -
         hubs = stored(able.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_a_bucket).drop("place"))
         discard(able)
         if hubs.isEmpty():
-            discard(hubs, live)
+            discard(hubs, live, mixed)
             return roots
         pairs = hubs.alias("a").hint("merge").join(b, _may_meet(similarity)).select(
             F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"), F.col("a.root").alias("x"), F.col("b.root").alias("y")
@@ -248,7 +248,7 @@ def linked(crowd: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -
         before = live, roots, hubs, near
         roots = stored(rooted(roots).select("key", "root"))
         live = stored(rooted(live.join(mixed, "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti")))
-        discard(*before, merged)
+        discard(*before, merged, mixed)
         hubs_a_bucket, turn = hubs_a_bucket * 16, turn + 1
 
 
