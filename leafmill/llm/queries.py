@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import ann, chat, decontam, langid, license, mixing, pii, sharding, simhash, subdedup
+from leafmill.llm import ann, chat, decontam, langid, license, mixing, pii, sharding, simhash, structure_queries, subdedup
 from leafmill.llm._store import stored
 from leafmill.sources.tables import table
 
@@ -196,10 +196,12 @@ QUERIES: dict[str, Query] = {
     "op8_license": op8_license,
     "op9_paragraphs": op9_paragraphs,
     "op10_chat": op10_chat,
+    **structure_queries.QUERIES,
 }
 SQL: dict[str, str] = {
     "op3_mixing": mixing.mix_sql(),
     "op6_decontamination": OP6_SQL,
     "op8_license": _op8_sql(),
     "op10_chat": OP10_SQL,
+    **structure_queries.SQL,
 }

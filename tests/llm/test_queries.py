@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = QUERIES[name](spark, DIR)
     names = sorted(df.columns)
