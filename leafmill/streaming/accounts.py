@@ -1,4 +1,4 @@
-"""Keyed state over streams: idempotent deliveries, daily quotas and entitlements.
+"""Keyed state that the engine ends by the watermark: idempotent deliveries and daily counts.
 
 Each takes a streaming DataFrame and returns one; the caller chooses the sink and the
 checkpoint folder, from which a lost query resumes.
@@ -6,12 +6,8 @@ checkpoint folder, from which a lost query resumes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT = 3
 
@@ -27,69 +23,3 @@ def daily_uses(events: DataFrame, key: str, at: str, late: str = "1 day") -> Dat
     """Uses of each key and UTC day, up to date; days behind the watermark are dropped from the state."""
     n = events.withWatermark(at, late).groupBy(F.window(at, "1 day"), key).agg(F.count("*").alias("n"))
     return n.select(key, F.to_date("window.start").alias("day"), "n", F.least("n", F.lit(LIMIT)).alias("used"), F.greatest(F.lit(0), LIMIT - F.col("n")).alias("remaining"))
-
-
-def quota(events: DataFrame, key: str, at: str, seq: str, days: int = 7) -> DataFrame:
-    """Each use with its number in the key's UTC day; the state is the counts of a key's latest ``days`` days.
-
-    A late use counts in its own day, as long as that is among these; later still it begins its day anew.
-    """
-    kind = dict(events.dtypes)
-
-    def step(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat(list(parts)).sort_values([at, seq], kind="stable")
-        out = []
-        for s, t in zip(rows[seq], rows[at]):
-            day = t.strftime("%Y-%m-%d")
-            n = counts[day] = counts.get(day, 0) + 1
-            out.append((who[0], s, day, n, n < LIMIT, n <= LIMIT))
-        kept = sorted(counts)[-days:]
-        state.update((kept, [counts[d] for d in kept]))
-        yield pd.DataFrame(out, columns=[key, seq, "day", "n", "consume_allowed", "checked_allowed"])
-
-    schema = f"{key} {kind[key]}, {seq} {kind[seq]}, day string, n bigint, consume_allowed boolean, checked_allowed boolean"
-    return events.select(key, at, seq).groupBy(key).applyInPandasWithState(step, schema, "day array<string>, n array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
-def entitlements(events: DataFrame, key: str, days: int = 30) -> DataFrame:
-    """Each key's record after its events so far: ``passes, expires_at, plan``; input and kinds as for the batch fold, ordered by ``seq`` in a micro-batch."""
-    kind = dict(events.dtypes)
-
-    def step(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, passes, expires, plan, seen = state.get if state.exists else (False, 0, None, None, [])
-        seen = set(seen)
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        for r in rows.to_dict("records"):
-            what, name = r["kind"], r.get("event_id")
-            if what in ("one_time", "monthly", "ended") and name in seen:
-                continue
-            if what == "one_time":
-                known, passes, plan = True, passes + 1, "one_time"
-            elif what == "monthly":
-                given = r.get("expires_at")
-                known, expires, plan = True, given if pd.notna(given) else r["at"] + pd.Timedelta(days=days), "monthly"
-            elif what == "ended" and known:
-                expires, plan = r["at"], "unknown" if plan == "monthly" else plan
-            elif what == "admin_one_time":
-                given = r.get("passes")
-                known, passes, plan = True, max(1, int(given) if pd.notna(given) else 1), "one_time"
-            elif what == "admin_monthly":
-                given = r.get("expires_at")
-                known, expires, plan = True, given if pd.notna(given) else r["at"] + pd.Timedelta(days=days), "monthly"
-            elif what == "admin_revoke":
-                known, passes, expires, plan = True, 0, None, "unknown"
-            elif what == "use":
-                if known and passes > 0 and not (expires is not None and expires > r["at"]):
-                    passes -= 1
-                continue
-            else:
-                continue
-            if name is not None:
-                seen.add(name)
-        state.update((known, passes, expires, plan, sorted(seen)))
-        if known:
-            yield pd.DataFrame([(who[0], passes, expires, plan)], columns=[key, "passes", "expires_at", "plan"])
-
-    schema = f"{key} {kind[key]}, passes int, expires_at timestamp, plan string"
-    return events.groupBy(key).applyInPandasWithState(step, schema, "known boolean, passes int, expires_at timestamp, plan string, seen array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import accounts as A
 from leafmill.streaming import accounts as S
+from leafmill.streaming import lifetimes as L
 
 DDL = "user_id int, seq bigint, at timestamp, kind string, event_id string, passes int"
 
@@ -36,7 +37,7 @@ def test_late_days_keep_their_counts(spark, tmp_path):
     for i, t in enumerate(at):  # one file and one micro-batch each
         spark.createDataFrame([(1, i)], "user_id int, seq int").select("user_id", F.lit(t).cast("timestamp").alias("at"), "seq").coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = S.quota(s, "user_id", "at", "seq").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "late-state")).trigger(availableNow=True).start()
+    q = L.quota(s, "user_id", "at", "seq", "2 days").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "late-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.seq, r.n) for r in spark.table("late").collect()} == {(0, 1), (1, 1), (2, 2), (3, 2)}
 
@@ -61,11 +62,11 @@ def _streamed(spark, tmp_path, df, make, mode, name):
 def test_streams_match_batch(spark, tmp_path):
     rows = [(u, k, f"{u}-{i}", None) for i, (u, k) in enumerate([(1, "one_time"), (2, "monthly"), (1, "use"), (2, "ended"), (3, "use"), (1, "one_time")])]
     df = events(spark, rows).drop("passes")
-    got = _streamed(spark, tmp_path, df, lambda s: S.entitlements(s, "user_id"), "update", "fold")
+    got = _streamed(spark, tmp_path, df, lambda s: L.entitlements(s, "user_id"), "update", "fold")
     assert {r.user_id: (r.passes, r.plan) for r in got.collect()} == {r.user_id: (r.passes, r.plan) for r in A.entitlements(df, "user_id").collect()}
 
     uses = df.select("user_id", "at", "seq")
-    got = _streamed(spark, tmp_path, uses, lambda s: S.quota(s, "user_id", "at", "seq"), "append", "quota")
+    got = _streamed(spark, tmp_path, uses, lambda s: L.quota(s, "user_id", "at", "seq"), "append", "quota")
     want = A.daily_quota(uses, "user_id", "at", "seq")
     assert {(r.seq, r.n, r.consume_allowed) for r in got.collect()} == {(r.seq, r.n, r.consume_allowed) for r in want.collect()}
 
