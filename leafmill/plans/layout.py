@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from leafmill.operators import layout as L
 from leafmill.operators import pages as P
 from leafmill.operators import tables as B
+from leafmill.sources import layout_files
+from leafmill.sources.scratch import scratch_path
 from leafmill.sources.tables import table
 
 
@@ -207,14 +209,49 @@ _NESTED = """c AS (SELECT doc_id, CAST(s AS INT) AS cell_seq, k % 3 * 60.0::DOUB
 _IN = "w.doc_id = c.doc_id AND w.x + w.width / 2 BETWEEN c.x - 1 AND c.x + c.width + 1 AND w.y + w.height / 2 BETWEEN c.y - 1 AND c.y + c.height + 1"
 _WEIGHT = "CASE WHEN ascii(t) > 127 THEN 1.0::DOUBLE WHEN regexp_matches(t, '[ilI.,:;!''`|]') THEN 0.28 WHEN contains('fjt[]()', t) THEN 0.36 WHEN regexp_matches(t, '[MW@#%&]') THEN 0.9 WHEN regexp_matches(t, '[A-Z0-9]') THEN 0.62 ELSE 0.52 END"
 
+def layout_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as layout files and back, every part of a page counted: lines, boxes around lines of fields, an image a page, and the fields as one table."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    page, y = F.expr("i div 50").cast("int").alias("page_index"), (F.expr("i % 50") * 14.0).alias("y")
+    lines = lines.select("doc_id", page, F.col("i").alias("line_seq"), "text", F.lit(0.0).alias("x"), y, (F.length("text") * 6.0).alias("width"), F.lit(12.0).alias("height"))
+    fields = lines.where(F.col("text").contains("|"))
+    on = ["doc_id", "page_index"]
+    numbered = fields.withColumn("row", F.row_number().over(W.partitionBy(*on).orderBy("line_seq")) - 1)  # at most a page's fifty lines
+    cells = numbered.select(*on, F.lit(0).alias("table_seq"), "row", F.posexplode(F.split("text", r"\|")).alias("col", "text")).withColumn("text", F.trim("text"))
+    tables = fields.groupBy(*on).agg(F.min("y").alias("y"), F.max("width").alias("width"), F.transform(F.collect_list("line_seq"), lambda _: F.lit(14.0)).alias("row_heights")).withColumn("table_seq", F.lit(0))
+    images = lines.groupBy(*on).agg(F.count("*").cast("int").alias("natural_h")).withColumns({"image_seq": F.lit(0), "id": F.concat(F.lit("page"), F.col("page_index") + 1, F.lit("-img1.png"))})
+    path = scratch_path(spark, "layout")
+    made = {"lines": lines, "boxes": fields.withColumns({"box_seq": F.col("line_seq"), "stroke": F.lit("#000000")}), "images": images, "tables": tables, "cells": cells}
+    for name, rows in made.items():
+        layout_files.write_part(rows, path, name)
+    got = {name: layout_files.read_part(spark, path, name) for name in made}
+    per = {
+        "lines": [F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.max(F.col("y") + F.col("height")).alias("low")],
+        "boxes": [F.count("stroke").alias("n_boxes"), F.sum("width").alias("boxed")],
+        "images": [F.max("id").alias("image"), F.max("natural_h").alias("natural_h")],
+        "tables": [F.max(F.size("row_heights")).alias("n_rows")],
+        "cells": [F.count("*").alias("n_cells"), F.sum(F.length("text")).alias("cell_chars"), F.max("col").alias("last_col")],
+    }
+    out = got["lines"].groupBy(*on).agg(*per["lines"])
+    for name in ("boxes", "images", "tables", "cells"):
+        out = out.join(got[name].groupBy(*on).agg(*per[name]), on, "left")
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         split_by_count, split_by_range, merge_pages, page_labels, reorder_pages, page_slice, cluster_chain, row_bucket_merge, row_anchor_groups, point_in_cell, outside_tables, nearest_style,
-        smallest_cell, glyph_split, upper_median_gap, dictionary_encode, scaled_boxes, erase_rects, line_tables, inferred_boxes, vector_line_merge, glyph_lines,
+        smallest_cell, glyph_split, upper_median_gap, dictionary_encode, scaled_boxes, erase_rects, line_tables, inferred_boxes, vector_line_merge, glyph_lines, layout_parts,
     )
 }
 SQL = {
+    "layout_parts": r"""WITH l AS (SELECT doc_id, i // 50 AS page_index, i, t FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))),
+      c AS (SELECT doc_id, page_index, generate_subscripts(f, 1) - 1 AS col, trim(unnest(f), ' ') AS t FROM (SELECT doc_id, page_index, string_split(t, '|') AS f FROM l WHERE contains(t, '|'))),
+      a AS (SELECT doc_id, page_index, count(*) AS n_lines, CAST(sum(len(t)) AS BIGINT) AS n_chars, max(i % 50 * 14.0::DOUBLE + 12) AS low, CAST(count(*) AS INT) AS natural_h,
+        nullif(count(*) FILTER (contains(t, '|')), 0) AS n_boxes, sum(len(t) * 6.0::DOUBLE) FILTER (contains(t, '|')) AS boxed FROM l GROUP BY 1, 2),
+      b AS (SELECT doc_id, page_index, count(*) AS n_cells, CAST(sum(len(t)) AS BIGINT) AS cell_chars, CAST(max(col) AS INT) AS last_col FROM c GROUP BY 1, 2)
+      SELECT doc_id, page_index, n_lines, n_chars, low, n_boxes, boxed, 'page' || (page_index + 1) || '-img1.png' AS image, natural_h, CAST(n_boxes AS INT) AS n_rows, n_cells, cell_chars, last_col FROM a LEFT JOIN b USING (doc_id, page_index)""",
     "split_by_count": f"WITH {_PAGES}, q AS (SELECT *, CAST(floor(page_index / ceil(count(*) OVER (PARTITION BY doc_id) / 3)) AS INT) AS part FROM p) SELECT doc_id, part, count(*) AS n, min(page_index) AS first_page, max(page_index) AS last_page FROM q GROUP BY 1, 2",
     "split_by_range": f"WITH {_PAGES} SELECT doc_id, part, page_index, n_lines FROM p JOIN (VALUES (0, 0, 2), (1, 1, 1), (2, 2, 8)) r(part, a, b) ON page_index BETWEEN a AND b",
     "merge_pages": f"WITH {_PAGES} SELECT doc_id, page_index, row_number() OVER (ORDER BY doc_id DESC, page_index) - 1 AS page_no FROM p",

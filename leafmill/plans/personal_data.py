@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import masking as M
 from leafmill.operators import personal_data as P
+from leafmill.sources import layout_files
+from leafmill.sources.scratch import scratch_path
 from leafmill.sources.tables import table
 
 
@@ -109,8 +111,10 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds in documents laid out as pages; tested against a plain loop."""
-    return P.detect_positioned(text_items(spark, sf_dir), ["doc_id", "page_index"], shown=P.KINDS)
+    """All kinds in documents laid out as pages, whose items are written to layout files and read back from them."""
+    path = scratch_path(spark, "layout")
+    layout_files.write_part(text_items(spark, sf_dir), path, "items")
+    return P.detect_positioned(layout_files.read_part(spark, path, "items"), ["doc_id", "page_index"], shown=P.KINDS)
 
 
 _WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -151,12 +155,66 @@ found AS (
 kept AS (SELECT {keys}, type, text, masked_text, verified FROM found QUALIFY row_number() OVER (PARTITION BY {part}, text ORDER BY pr DESC) = 1)"""
 
 
+
+def _places(kind: str, pattern: str) -> str:
+    """CTE ``kind(doc_id, page_index, n, t, pos)`` of a pattern's matches in the pages' text without white space; ``pos`` from 0."""
+    return f"""
+{kind}0 AS (SELECT doc_id, page_index, n, regexp_extract_all(n, '{pattern}') AS m, string_split_regex(n, '{pattern}') AS g FROM pg WHERE regexp_matches(n, '{pattern}')),
+{kind}1 AS (SELECT doc_id, page_index, n, m, g, unnest(range(1, len(m) + 1)) AS k FROM {kind}0),
+{kind} AS (SELECT doc_id, page_index, n, m[k] AS t, CAST(list_sum(list_transform(g[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: len(x))), 0) AS BIGINT) AS pos FROM {kind}1),"""
+
+
+#: Pages of fifty lines; ``ch`` has every character that isn't white space with its place in the page and its box.
+_POSITIONED = rf"""
+WITH RECURSIVE li AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+it AS (SELECT doc_id, i // 50 AS page_index, i, s, regexp_replace(s, '{_WS}+', '', 'g') AS p FROM li WHERE s <> ''),
+pg AS (SELECT doc_id, page_index, string_agg(p, '' ORDER BY i) AS n FROM it GROUP BY 1, 2),
+{_places("ph", _PHONE)}{_places("em", _EMAIL)}{_places("ac", r"\d{2,6}-\d{2,6}-\d{2,6}(?:-\d{1,3})?")}{_places("cd", _CARD)}
+r0 AS (SELECT doc_id, page_index, regexp_replace(' ' || n || ' ', '([^A-Za-z0-9])', '\1\1', 'g') AS n FROM pg WHERE regexp_matches(n, '\d{{6}}-?\d{{7}}')),
+r1 AS (SELECT doc_id, page_index, regexp_extract_all(n, '[^A-Za-z0-9]\d{{6}}(?:--)?\d{{7}}[^A-Za-z0-9]') AS m, string_split_regex(n, '[^A-Za-z0-9]\d{{6}}(?:--)?\d{{7}}[^A-Za-z0-9]') AS g FROM r0),
+r2 AS (SELECT doc_id, page_index, m, g, unnest(range(1, len(m) + 1)) AS k FROM r1 WHERE len(m) > 0),
+r3 AS (SELECT doc_id, page_index, m[k][2:len(m[k]) - 1] AS t, array_to_string(list_transform(range(1, k), lambda j: g[j] || m[j]), '') || g[k] || m[k][1] AS before FROM r2),
+rr AS (SELECT doc_id, page_index, replace(t, '--', '-') AS t, replace(replace(t, '--', '-'), '-', '') AS d, len(before) - len(regexp_replace(before, '[A-Za-z0-9]', '', 'g')) // 2 - 1 AS pos FROM r3),
+found AS (
+  SELECT doc_id, page_index, 5 AS pr, 'rrn' AS type, pos, len(t) AS size, substr(d, 1, 6) || '-' || substr(d, 7) AS text, substr(d, 1, 6) || '-' || substr(d, 7, 1) || '******' AS masked_text,
+    (11 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(d, i, 1) AS INT) * [2,3,4,5,6,7,8,9,2,3,4,5][i])) % 11) % 10 = CAST(substr(d, 13, 1) AS INT) AS verified FROM rr
+  UNION ALL SELECT doc_id, page_index, 4, 'phone', pos, len(t), CASE WHEN len(d) = 11 THEN substr(d,1,3)||'-'||substr(d,4,4)||'-'||substr(d,8) WHEN len(d) = 10 AND d LIKE '02%' THEN substr(d,1,2)||'-'||substr(d,3,4)||'-'||substr(d,7)
+    WHEN len(d) = 10 THEN substr(d,1,3)||'-'||substr(d,4,3)||'-'||substr(d,7) ELSE t END, CASE WHEN len(d) = 11 THEN substr(d,1,3)||'-****-'||substr(d,8) ELSE substr(t, 1, len(t) - 4) || '****' END, NULL
+    FROM (SELECT *, replace(t, '-', '') AS d FROM ph) WHERE NOT regexp_matches(substr(n, greatest(pos - 29, 1), least(pos, 30)), '[A-Za-z]$|{_LABEL}') AND NOT regexp_matches(substr(n, pos + len(t) + 1, 1), '^[A-Za-z0-9]')
+  UNION ALL SELECT doc_id, page_index, 3, 'card', pos, len(t), t, CASE WHEN len(t) = 16 THEN t ELSE array_to_string(list_transform(string_split_regex(t, '(?:-|{_WS})'), lambda p, i: CASE WHEN i IN (2, 3) THEN '****' ELSE p END), '-') END, true
+    FROM (SELECT *, regexp_replace(t, '[^0-9]', '', 'g') AS d FROM cd) WHERE len(d) = 16 AND {_LUHN}
+  UNION ALL SELECT doc_id, page_index, 2, 'account', pos, len(t), t, regexp_replace(t, '-[^-]*$', '-****'), NULL FROM ac WHERE len(replace(t, '-', '')) >= 10
+    AND NOT (len(split_part(t, '-', 1)) = 4 AND CAST(split_part(t, '-', 1) AS INT) BETWEEN 1900 AND 2099 AND CAST(split_part(t, '-', 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(split_part(t, '-', 3), 1, 2) AS INT) BETWEEN 1 AND 31)
+  UNION ALL SELECT doc_id, page_index, 1, 'email', pos, len(t), t, CASE WHEN strpos(t, '@') > 3 THEN substr(t,1,1) || repeat('*', strpos(t,'@') - 3) || substr(t, strpos(t,'@') - 1) ELSE substr(t,1,1) || '***' || substr(t, strpos(t,'@')) END, NULL FROM em
+),
+ch AS (
+  SELECT doc_id, page_index, i, j, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY i, j) - 1 AS c
+  FROM (SELECT doc_id, page_index, i, generate_subscripts(q, 1) - 1 AS j, unnest(q) AS u FROM (SELECT doc_id, page_index, i, string_split(s, '') AS q FROM it SEMI JOIN found USING (doc_id, page_index))) WHERE NOT regexp_matches(u, '^{_WS}$')
+),
+bx AS (
+  SELECT f.doc_id, f.page_index, pr, type, pos, text, masked_text, verified, min(j) * 6.0::DOUBLE AS x, min(700.0::DOUBLE - 14 * i) AS y, max(j) * 6.0::DOUBLE + 6 AS x2, max(712.0::DOUBLE - 14 * i) AS y2
+  FROM found f JOIN ch ON ch.doc_id = f.doc_id AND ch.page_index = f.page_index AND ch.c >= f.pos AND ch.c < f.pos + f.size GROUP BY ALL
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY pr DESC, pos) AS k FROM bx),
+gr AS (
+  SELECT DISTINCT doc_id, page_index, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(k BIGINT, x DOUBLE, y DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS held FROM o
+  UNION ALL
+  SELECT g.doc_id, g.page_index, o.k, CASE WHEN len(list_filter(held, lambda h: greatest(0.0::DOUBLE, least(o.x2, h.x2) - greatest(o.x, h.x)) * greatest(0.0::DOUBLE, least(o.y2, h.y2) - greatest(o.y, h.y)) / ((o.x2 - o.x) * (o.y2 - o.y)) > 0.5)) > 0 THEN held
+    ELSE list_append(held, {{'k': o.k, 'x': o.x, 'y': o.y, 'x2': o.x2, 'y2': o.y2}}) END
+  FROM gr g JOIN o ON o.doc_id = g.doc_id AND o.page_index = g.page_index AND o.k = g.k + 1
+),
+ends AS (SELECT doc_id, page_index, held FROM gr QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY k DESC) = 1),
+kept AS (SELECT doc_id, page_index, generate_subscripts(held, 1) - 1 AS seq, unnest(held).k AS k FROM ends)
+SELECT doc_id, page_index, seq, type, text, masked_text, verified, x, y, x2 - x AS width, y2 - y AS height FROM kept JOIN o USING (doc_id, page_index, k)
+"""
+
 _DOCS = "WITH" + _detections("documents", "doc_id")
 _RRN_SQL = ", ".join(f"('{v}')" for v in _RRN)
 _ACCOUNT_SQL = ", ".join(f"('{v}')" for v in _ACCOUNT)
 
 QUERIES = {f.__name__: f for f in (pii_preview, pii_counts, pii_counts_by_lang, pii_conversations, pii_email_mask, pii_card_luhn_mask, pii_phone_context, pii_label_context, pii_signed_turns, pii_fixture_rrn, pii_fixture_account, pii_fixture_email, pii_positioned)}
 SQL = {
+    "pii_positioned": _POSITIONED,
     "pii_preview": _DOCS + " SELECT doc_id, type, text, masked_text, verified FROM kept",
     "pii_counts": _DOCS + " SELECT v.type, count(kept.type) AS n FROM (VALUES ('rrn'), ('phone'), ('card'), ('account'), ('email')) v(type) LEFT JOIN kept ON kept.type = v.type GROUP BY v.type",
     "pii_counts_by_lang": "WITH" + _detections("documents", "doc_id, lang") + " SELECT lang, type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM kept GROUP BY lang, type",
