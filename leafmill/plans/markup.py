@@ -16,7 +16,7 @@ from leafmill.functions import webhook as H
 from leafmill.operators import accounts as A
 from leafmill.operators import markdown as D
 from leafmill.plans.layout import text_lines
-from leafmill.sources import archives, markup, stores
+from leafmill.sources import archives, markup, odf_shapes, stores
 from leafmill.sources.scratch import scratch_path
 from leafmill.sources.tables import table
 
@@ -98,8 +98,8 @@ def odfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     styles = [
         style("P1", "text", _tag('<style:text-properties fo:font-size="', k % 12 + 6, 'pt" fo:font-weight="', F.when(k % 2 == 0, "bold").otherwise("normal"), '" style:font-name="Arial"/>')),
         style("C1", "table-column", _tag('<style:table-column-properties style:column-width="', k % 5 + 1, 'in"/>')),
-        style("R1", "table-row", _tag('<style:table-row-properties style:row-height="', k % 60, 'px"/>')),
-        style("X1", "table-cell", '<style:table-cell-properties fo:background-color="#eeeeee"/>'),
+        style("R1", "table-row", _tag("<style:table-row-properties style:", F.when(k % 2 == 0, "row-height").otherwise("min-row-height"), '="', k % 60, 'px"/>')),
+        style("X1", "table-cell", _tag('<style:table-cell-properties fo:background-color="', F.when(k % 3 == 0, "transparent").otherwise("#eeeeee"), '"', F.element_at(F.array(*map(F.lit, ("", ' fo:border="none"', ' fo:border-top="0.5pt solid #AA00bb"', ' fo:border="1pt dashed"'))), (k % 4 + 1).cast("int")), "/>")),
     ]
     first = _tag('<table:table table:name="a"><table:table-column table:style-name="C1" table:number-columns-repeated="2"/><table:table-column/><table:table-row table:style-name="R1">', cell(F.lit(' table:style-name="X1" table:number-columns-spanned="2"'), F.col("s_name")),
                  "<table:covered-table-cell/>", cell(F.lit(""), F.lit("x<text:tab/>y")), '</table:table-row><table:table-row><table:table-cell/>', cell(F.lit(' table:number-rows-spanned="2"'), k), "</table:table-row></table:table>")
@@ -117,7 +117,44 @@ def odf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def odf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = markup.odf_tables(odfs(spark, sf_dir), ["s_suppkey"], 794.0)
-    return out.select("s_suppkey", "table_seq", "row", "col", "row_span", "col_span", *(F.round(c, 4).alias(c) for c in ("x", "y", "width", "height")), "text", "fill")
+    return out.select("s_suppkey", "table_seq", "row", "col", "row_span", "col_span", *(F.round(c, 4).alias(c) for c in ("x", "y", "width", "height")), "text", "stroke", "fill")
+
+
+def drawn_odfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ODF text for every supplier: graphic styles, a page layout for some, text frames, an image, a line and two shapes, one of them inside a table."""
+    k = F.col("s_suppkey")
+    style = lambda name, props: _tag('<style:style style:name="', name, '" style:family="graphic"><style:graphic-properties ', props, "/></style:style>")
+    at = lambda x, y, w, h: _tag(' svg:x="', x, 'px" svg:y="', y, 'px" svg:width="', w, '" svg:height="', h, '"')
+    layout = F.when(k % 3 == 0, _tag('<style:page-layout style:name="L"><style:page-layout-properties fo:page-width="', k % 7 + 4, 'in" fo:page-height="10in"/></style:page-layout>')).otherwise("")
+    styles = _tag(
+        layout, style("g", 'draw:stroke="none" draw:fill="solid" draw:fill-color="#abcdef"'), style("h", _tag('svg:stroke-color="#', F.lpad((k % 1000).cast("string"), 6, "0"), '"')), style("n", 'draw:stroke="none"'),
+        '<style:style style:name="T" style:family="text"><style:text-properties fo:font-size="', k % 9 + 5, 'pt" fo:font-weight="bold"/></style:style>',
+    )
+    look = F.element_at(F.array(*map(F.lit, ("g", "h", "n"))), (k % 3 + 1).cast("int"))
+    text = _tag('<draw:frame draw:style-name="', look, '" text:anchor-page-number="', k % 3, '"', at(k % 50, k % 40, "200px", "30px"), "><draw:text-box><text:p>", F.when(k % 2 == 0, _tag('<text:span text:style-name="T">', F.col("s_name"), "</text:span>")).otherwise(F.col("s_name")), "</text:p></draw:text-box></draw:frame>")
+    blank = _tag('<draw:frame draw:style-name="g"', at("1", "2", "0px", "9px"), "><draw:text-box><text:p> </text:p></draw:text-box></draw:frame>")
+    image = _tag('<draw:frame text:anchor-page-number="2"', at("3", "4", "1in", _tag(k % 90, "px")), '><draw:image xlink:href="Pictures/', k, F.when(k % 2 == 0, ".jpg").otherwise(""), '"/></draw:frame>')
+    line = _tag('<draw:line draw:style-name="', look, '" svg:x1="', k % 90, 'px" svg:y1="20px" svg:x2="', k % 60, 'px" svg:y2="20px"><text:p/></draw:line>')
+    shape = _tag('<draw:polygon draw:style-name="', look, '"', at(k % 5, "6", "50px", "60px"), "></draw:polygon>")
+    hidden = _tag("<table:table><table:table-row>", _tag('<draw:rect draw:style-name="g"', at("0", "0", "9px", "9px"), "></draw:rect>"), "</table:table-row></table:table>")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", _tag(styles, text, blank, image, line, hidden, shape).alias("xml"))
+
+
+def odf_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odf_shapes.odf_boxes(drawn_odfs(spark, sf_dir), ["s_suppkey"])
+
+
+def odf_frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odf_shapes.odf_frame_lines(drawn_odfs(spark, sf_dir), ["s_suppkey"]).withColumn("font_size", F.round("font_size", 4))
+
+
+def odf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odf_shapes.odf_images(drawn_odfs(spark, sf_dir), ["s_suppkey"])
+
+
+def odf_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, height = odf_shapes.odf_page_size(F.col("xml"))
+    return drawn_odfs(spark, sf_dir).select("s_suppkey", F.round(width, 3).alias("width"), F.round(height, 3).alias("height"))
 
 
 def _packed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -292,7 +329,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         svg_sizes, svg_glyphs, svg_rects, svg_images, xml_pages, xml_lines, word_boxes, word_overlay, odf_lines, odf_tables, epub_chapters, hwpx_paragraphs, container_kinds, numbered_files, markdown_pages,
-        auth_store, usage_store, audit_log, layout_scan, webhook_purchases, webhook_signatures, stream_webhooks, form_feeds, escaped_pages,
+        odf_boxes, odf_frame_lines, odf_images, odf_page_sizes, auth_store, usage_store, audit_log, layout_scan, webhook_purchases, webhook_signatures, stream_webhooks, form_feeds, escaped_pages,
     )
 }
 SQL = {
@@ -311,9 +348,16 @@ SQL = {
     "odf_lines": f"""WITH {_SUP} SELECT k AS s_suppkey, name AS text, CAST(k % 12 + 6 AS DOUBLE) AS font_size, k % 2 = 0 AS bold, 'Nimbus Sans' AS font_family, 72.0::DOUBLE AS y, round(greatest(12.0::DOUBLE, (k % 12 + 6) * 1.4::DOUBLE), 4) AS height FROM sup
       UNION ALL SELECT k, 'a  b', 12.0, false, '함초롬바탕', round(72 + greatest(12.0::DOUBLE, (k % 12 + 6) * 1.4::DOUBLE), 4), 16.8 FROM sup""",
     "odf_tables": f"""WITH {_SUP}, s AS (SELECT k, name, (k % 5 + 1) * 96.0::DOUBLE AS w, greatest(18.0::DOUBLE, CASE WHEN k % 60 = 0 THEN 28.0::DOUBLE ELSE CAST(k % 60 AS DOUBLE) END) AS h FROM sup), l AS (SELECT *, greatest(0.0::DOUBLE, (794 - 2 * w - 96) / 2) AS x0 FROM s),
-      c AS (SELECT k, 0 AS t, 0 AS r, 0 AS c, 1 AS rs, 2 AS cs, x0 AS x, 72.0::DOUBLE AS y, 2 * w AS width, h AS height, name AS text, '#eeeeee' AS fill FROM l UNION ALL SELECT k, 0, 0, 3, 1, 1, x0 + 2 * w + 96, 72, 96, h, 'x' || chr(9) || 'y', NULL FROM l
-        UNION ALL SELECT k, 0, 1, 0, 1, 1, x0, 72 + h, w, 28, '', NULL FROM l UNION ALL SELECT k, 0, 1, 1, 2, 1, x0 + w, 72 + h, w, 28, CAST(k AS VARCHAR), NULL FROM l UNION ALL SELECT k, 1, 0, 0, 1, 1, 72, 72 + h + 28 + 10, 650, 28, 'only', NULL FROM l)
-      SELECT k AS s_suppkey, t AS table_seq, r AS row, c AS col, rs AS row_span, cs AS col_span, round(x, 4) AS x, round(y, 4) AS y, round(width, 4) AS width, round(height, 4) AS height, text, fill FROM c""",
+      c AS (SELECT k, 0 AS t, 0 AS r, 0 AS c, 1 AS rs, 2 AS cs, x0 AS x, 72.0::DOUBLE AS y, 2 * w AS width, h AS height, name AS text, CASE WHEN k % 3 <> 0 THEN '#eeeeee' END AS fill, CASE WHEN k % 4 = 2 THEN '#AA00bb' ELSE '#000000' END AS stroke FROM l UNION ALL SELECT k, 0, 0, 3, 1, 1, x0 + 2 * w + 96, 72, 96, h, 'x' || chr(9) || 'y', NULL, '#000000' FROM l
+        UNION ALL SELECT k, 0, 1, 0, 1, 1, x0, 72 + h, w, 28, '', NULL, '#000000' FROM l UNION ALL SELECT k, 0, 1, 1, 2, 1, x0 + w, 72 + h, w, 28, CAST(k AS VARCHAR), NULL, '#000000' FROM l UNION ALL SELECT k, 1, 0, 0, 1, 1, 72, 72 + h + 28 + 10, 650, 28, 'only', NULL, '#000000' FROM l)
+      SELECT k AS s_suppkey, t AS table_seq, r AS row, c AS col, rs AS row_span, cs AS col_span, round(x, 4) AS x, round(y, 4) AS y, round(width, 4) AS width, round(height, 4) AS height, text, stroke, fill FROM c""",
+    "odf_boxes": f"""WITH {_SUP} SELECT k AS s_suppkey, greatest(1, CAST(k % 3 AS INT)) AS page, 'frame' AS kind, 0 AS seq, CAST(k % 50 AS DOUBLE) AS x, CAST(k % 40 AS DOUBLE) AS y, 200.0::DOUBLE AS width, 30.0::DOUBLE AS height, CASE k % 3 WHEN 1 THEN '#' || lpad(CAST(k % 1000 AS VARCHAR), 6, '0') END AS stroke, CASE k % 3 WHEN 0 THEN '#abcdef' END AS fill FROM sup WHERE k % 3 < 2
+      UNION ALL SELECT k, 1, 'frame', 1, 1, 2, 1, 9, NULL, '#abcdef' FROM sup
+      UNION ALL SELECT k, 1, 'line', 0, least(k % 90, k % 60), 20, greatest(1, abs(k % 90 - k % 60)), 1, CASE k % 3 WHEN 1 THEN '#' || lpad(CAST(k % 1000 AS VARCHAR), 6, '0') ELSE '#000000' END, NULL FROM sup
+      UNION ALL SELECT k, 1, 'shape', 0, k % 5, 6, 50, 60, CASE k % 3 WHEN 1 THEN '#' || lpad(CAST(k % 1000 AS VARCHAR), 6, '0') END, CASE k % 3 WHEN 0 THEN '#abcdef' END FROM sup WHERE k % 3 < 2""",
+    "odf_frame_lines": f"""WITH {_SUP} SELECT k AS s_suppkey, greatest(1, CAST(k % 3 AS INT)) AS page, 0 AS seq, name AS text, CAST(k % 50 AS DOUBLE) AS x, CAST(k % 40 AS DOUBLE) AS y, 200.0::DOUBLE AS width, 30.0::DOUBLE AS height, '함초롬바탕' AS font_family, CASE WHEN k % 2 = 0 THEN CAST(k % 9 + 5 AS DOUBLE) ELSE 21.6::DOUBLE END AS font_size, k % 2 = 0 AS bold, '#000000' AS color FROM sup""",
+    "odf_images": f"""WITH {_SUP} SELECT k AS s_suppkey, 2 AS page, 2 AS seq, CASE WHEN k % 2 = 0 THEN 'odt-image-1.jpg' ELSE 'odt-image-1.png' END AS id, 'Pictures/' || k || CASE WHEN k % 2 = 0 THEN '.jpg' ELSE '' END AS href, 3.0::DOUBLE AS x, 4.0::DOUBLE AS y, 96.0::DOUBLE AS width, CAST(greatest(1, k % 90) AS DOUBLE) AS height, 96 AS natural_w, CAST(greatest(1, k % 90) AS INT) AS natural_h FROM sup""",
+    "odf_page_sizes": f"""WITH {_SUP} SELECT k AS s_suppkey, CASE WHEN k % 3 = 0 THEN (k % 7 + 4) * 96.0::DOUBLE ELSE 793.738::DOUBLE END AS width, CASE WHEN k % 3 = 0 THEN 960.0::DOUBLE ELSE 1122.518::DOUBLE END AS height FROM sup""",
     "epub_chapters": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, len(coalesce(text, '')) // 2 AS h FROM documents)
       SELECT doc_id, 0 AS place, 'z.html' AS part, md5(substr(t, 1, h)) AS md5, NULL AS skipped FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 1, 'O/i.png', NULL, 'unsupported media type' FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 2, 'O/x y.xhtml', md5(substr(t, h + 1)), NULL FROM d WHERE doc_id % 7 <> 0
       UNION ALL SELECT doc_id, 3, NULL, NULL, 'missing manifest item' FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, NULL, NULL, 'unreadable: BadZipFile' FROM d WHERE doc_id % 7 = 0""",

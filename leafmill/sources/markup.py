@@ -134,9 +134,11 @@ def odf_tables(df: DataFrame, keys: list[str], page_width: float, xml: str = "xm
     """Cells ``keys, table_seq, row, col, row_span, col_span, x, y, width, height, text, stroke, fill`` of the tables of ODF texts, laid out under each other.
 
     Covered cells have no row but take a column, besides those that the spanning cell takes; a table is centred on the page; a repeated column counts as
-    often as it says.
+    often as it says.  A row is as high as its style says, or at least; a cell is ruled in the colour of the first border it names, else in black, and a
+    transparent background is none.
     """
-    sizes = lambda family, name: odf_properties(df, keys, family, xml).select(*keys, "style", X.odf_px(F.col("p")[name]).alias("px"))
+    first = lambda *names: F.coalesce(*(F.nullif(F.col("p")[n], F.lit("")) for n in names))
+    sizes = lambda family, *names: odf_properties(df, keys, family, xml).select(*keys, "style", X.odf_px(first(*names)).alias("px"))
     body = _tags(df, keys, xml, r"(?s)<table:table(?!-)\b([^>]*)>(.*?)</table:table>", "table_seq", 2).select(*keys, "table_seq", F.col("g2").alias("body"))
     on = [*keys, "table_seq"]
     count = lambda a, name: F.greatest(F.lit(1), F.coalesce(a[name].try_cast("int"), F.lit(1)))
@@ -145,7 +147,7 @@ def odf_tables(df: DataFrame, keys: list[str], page_width: float, xml: str = "xm
     c = named(c, sizes("table-column", "style:column-width"), "w").select(*on, "i", F.array_repeat(F.coalesce("w", F.lit(COLUMN_PX)), count(F.col("a"), "table:number-columns-repeated")).alias("w"))
     widths = c.groupBy(*on).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s.w)).alias("widths"))
     r = _tags(body, on, "body", r"(?s)<table:table-row\b([^>]*)>(.*?)</table:table-row>", "row", 2).withColumn("a", X.attributes(F.col("g1")))
-    rows = named(r, sizes("table-row", "style:row-height"), "h").select(*on, "row", "g2", F.greatest(F.lit(LEAST_ROW_PX), F.coalesce("h", F.lit(ROW_PX))).alias("height"))
+    rows = named(r, sizes("table-row", "style:row-height", "style:min-row-height"), "h").select(*on, "row", "g2", F.greatest(F.lit(LEAST_ROW_PX), F.coalesce("h", F.lit(ROW_PX))).alias("height"))
     t = body.select(*on).join(widths, on, "left").withColumn("widths", F.coalesce("widths", F.array(F.lit(max(1.0, page_width - MARGINS)))))
     t = t.join(rows.groupBy(*on).agg(F.sum("height").alias("tall")), on, "left").withColumn("tall", F.coalesce("tall", F.lit(0.0)))
     above = W.partitionBy(*keys).orderBy("table_seq").rowsBetween(W.unboundedPreceding, -1)
@@ -156,14 +158,17 @@ def odf_tables(df: DataFrame, keys: list[str], page_width: float, xml: str = "xm
     covered = F.col("g1") == "covered-table-cell"
     cells = cells.withColumn("col_span", F.when(covered, 1).otherwise(count(F.col("a"), "table:number-columns-spanned")))
     cells = cells.withColumn("col", F.coalesce(F.sum("col_span").over(W.partitionBy(*on, "row").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(~covered)
-    looks = odf_properties(df, keys, "table-cell", xml).select(*keys, "style", F.col("p")["fo:background-color"].alias("fill"))
+    border = first(*("fo:border" + side for side in ("", "-left", "-right", "-top", "-bottom")))
+    colour = F.when(~border.rlike("(?i)none"), F.nullif(F.regexp_extract(border, "(?i)#[0-9a-f]{6}", 0), F.lit("")))
+    fill = F.nullif(first("fo:background-color"), F.lit("transparent"))
+    looks = odf_properties(df, keys, "table-cell", xml).select(*keys, "style", colour.alias("stroke"), fill.alias("fill"))
     cells = cells.withColumn("style", F.col("a")["table:style-name"]).join(looks, [*keys, "style"], "left").join(t, on)
     paragraphs = F.transform(F.regexp_extract_all(F.coalesce("g3", F.lit("")), F.lit(r"(?s)<text:p\b[^>]*>(.*?)</text:p>"), F.lit(1)), X.decode_odf)
     text = X.trim_ws(F.array_join(F.filter(paragraphs, lambda s: s != ""), "\n"))
     wide = F.nullif(_total(F.slice("widths", F.col("col") + 1, F.col("col_span"))), F.lit(0.0))
     return cells.select(
         *on, "row", "col", count(F.col("a"), "table:number-rows-spanned").alias("row_span"), "col_span", (F.col("left") + _total(F.slice("widths", F.lit(1), F.col("col")))).alias("x"), (F.col("top") + F.col("down")).alias("y"),
-        F.coalesce(wide, F.get("widths", "col"), F.lit(COLUMN_PX)).alias("width"), "height", text.alias("text"), F.lit("#000000").alias("stroke"), F.col("fill"),
+        F.coalesce(wide, F.get("widths", "col"), F.lit(COLUMN_PX)).alias("width"), "height", text.alias("text"), F.coalesce("stroke", F.lit("#000000")).alias("stroke"), F.col("fill"),
     )
 
 
