@@ -84,18 +84,22 @@ def text_blocks(s: Column, page: Column, pages: Column) -> Column:
     return F.when(F.size(marked) > 0, marked).otherwise(none)
 
 
+#: What Markdown inside a line becomes, in this order; a dot is any character but a line feed.
+INLINE = (
+    (r"!\[([^\]]*)\]\(([^)]+)\)", '<img src="$2" alt="$1">'),
+    (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'),
+    (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
+    (r"__(.+?)__", "<strong>$1</strong>"),
+    (r"\*(.+?)\*", "<em>$1</em>"),
+    (r"_(.+?)_", "<em>$1</em>"),
+    (r"`([^`]+)`", "<code>$1</code>"),
+)
+
+
 def markdown_inline(s: Column) -> Column:
-    """Images, links, bold, italics and code, in this order; underscore italics also apply inside snake_case words."""
-    for pattern, out in (
-        (r"!\[([^\]]*)\]\(([^)]+)\)", '<img src="$2" alt="$1">'),
-        (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'),
-        (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
-        (r"__(.+?)__", "<strong>$1</strong>"),
-        (r"\*(.+?)\*", "<em>$1</em>"),
-        (r"_(.+?)_", "<em>$1</em>"),
-        (r"`([^`]+)`", "<code>$1</code>"),
-    ):
-        s = F.regexp_replace(s, pattern, out)
+    """Images, links, bold, italics and code; underscore italics also apply inside snake_case words."""
+    for pattern, out in INLINE:
+        s = F.regexp_replace(s, f"(?d){pattern}", out)
     return s
 
 

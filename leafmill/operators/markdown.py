@@ -1,108 +1,94 @@
-"""Markdown as HTML: a document's lines are folded in order, whole documents at a time."""
+"""Markdown as HTML, as a plan over lines: what a line is, which fence, list and table it belongs to, and where each piece of HTML stands.
 
-from __future__ import annotations
+Fences are told by the parity of their marks.  A list is an island of items between lines that end it.  A table's rows are gathered up
+to the first line that lets it go; rules and headings don't, so that they stand in front of a table that began before them.  Every
+piece of HTML has a place, the line and a rank in it, and a document is its pieces in order.
+"""
 
-import html
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_INLINE = [
-    (re.compile(r"!\[([^\]]*)\]\(([^)]+)\)"), r'<img src="\2" alt="\1">'), (re.compile(r"\[([^\]]+)\]\(([^)]+)\)"), r'<a href="\2">\1</a>'),
-    (re.compile(r"\*\*(.+?)\*\*"), r"<strong>\1</strong>"), (re.compile(r"__(.+?)__"), r"<strong>\1</strong>"),
-    (re.compile(r"\*(.+?)\*"), r"<em>\1</em>"), (re.compile(r"_(.+?)_"), r"<em>\1</em>"), (re.compile(r"`([^`]+)`"), r"<code>\1</code>"),
-]
-_RULE = re.compile(r"(?:---+|\*\*\*+|___+)$")
-_HEAD = re.compile(r"(#{1,6})\s+(.+)$")
-_BULLET, _NUMBER = re.compile(r"[-*+] "), re.compile(r"\d+\.\s+(.+)$")
-
-
-def inline(text: str) -> str:
-    for pattern, out in _INLINE:
-        text = pattern.sub(out, text)
-    return text
-
-
-class _Fold:
-    """What is open between lines: a fence, a list, a table."""
-
-    def __init__(self):
-        self.out: list[str] = []
-        self.fence = False
-        self.items: str | None = None
-        self.rows: list[str] | None = None
-
-    def close_list(self) -> None:
-        if self.items:
-            self.out.append(f"</{self.items}>")
-            self.items = None
-
-    def close_table(self) -> None:
-        if self.rows is not None:
-            self.out.append(f"<table>{''.join(self.rows)}</table>")
-            self.rows = None
-
-    def item(self, kind: str, text: str) -> None:
-        if self.items != kind:
-            self.close_list()
-            self.out.append(f"<{kind}>")
-            self.items = kind
-        self.out.append(f"<li>{inline(text)}</li>")
-
-    def line(self, raw: str) -> None:
-        s = raw.strip()
-        if s.startswith("```"):
-            lang = s[3:].strip()
-            mark = f' class="language-{lang}"' if lang else ""
-            self.out.append("</code></pre>" if self.fence else f"<pre><code{mark}>")
-            self.fence = not self.fence
-        elif self.fence:
-            self.out.append(html.escape(raw))
-        else:
-            if not _BULLET.match(s) and not re.match(r"\d+\.", s):
-                self.close_list()
-            self.block(s)
-
-    def block(self, s: str) -> None:
-        # Rules and headings come before an open table is flushed, so they stand in front of it.
-        if _RULE.match(s):
-            self.out.append("<hr>")
-        elif m := _HEAD.match(s):
-            self.out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif s.startswith("|"):
-            cells = [c.strip() for c in s.split("|")[1:-1]]
-            if not all(re.match(r"[-:]+$", c) for c in cells):
-                self.rows = (self.rows or []) + [f"<tr>{''.join(f'<td>{inline(c)}</td>' for c in cells)}</tr>"]
-        else:
-            self.close_table()
-            if _BULLET.match(s):
-                self.item("ul", s[2:])
-            elif m := _NUMBER.match(s):
-                self.item("ol", m[1])
-            elif s.startswith("> "):
-                self.out.append(f"<blockquote>{inline(s[2:])}</blockquote>")
-            else:
-                self.out.append(f"<p>{inline(s)}</p>" if s else "")
-
-
-def to_html(text: str | None) -> str:
-    fold = _Fold()
-    for raw in (text or "").split("\n"):
-        fold.line(raw)
-    if fold.fence:
-        fold.out.append("</code></pre>")
-    fold.close_list()
-    fold.close_table()
-    return "\n".join(fold.out)
-
-
-def markdown_html(docs: DataFrame, text: str = "text", out: str = "html") -> DataFrame:
-    """``docs`` with the HTML of a Markdown column; null counts as empty."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(to_html)
-
-    return docs.withColumn(out, run(F.coalesce(F.col(text), F.lit(""))))
+from leafmill.functions import text as X
+
+#: Ranks of the pieces of one line: the end of a list, a table let go, the begin of a list, the line itself.
+_END, _TABLE, _BEGIN, _OWN = range(4)
+_BLANK = r"[\s\x1c-\x1f]"
+
+
+def _kind(s: Column) -> Column:
+    """What a stripped line outside fences is."""
+    cells = F.slice(F.split(s, r"\|"), 2, F.greatest(F.size(F.split(s, r"\|")) - 2, F.lit(0)))
+    divider = F.forall(cells, lambda c: _strip(c).rlike(r"^[-:]+$"))
+    return (
+        F.when(s.rlike(r"^(?:---+|\*\*\*+|___+)$"), "rule").when(s.rlike(rf"(?dU)^#{{1,6}}{_BLANK}+.+$"), "heading")
+        .when(s.startswith("|"), F.when(divider, "divider").otherwise("row")).when(s.rlike(r"^[-*+] "), "ul").when(s.rlike(rf"(?dU)^\d+\.{_BLANK}+.+$"), "ol")
+        .when(s.startswith("> "), "quote").when(s == "", "blank").otherwise("paragraph")
+    )
+
+
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+
+
+def _own(s: Column, raw: Column, kind: Column) -> Column:
+    """A line's own HTML; null where it has none."""
+    tag = lambda name, body: F.concat(F.lit(f"<{name}>"), X.markdown_inline(body), F.lit(f"</{name}>"))
+    level = F.length(F.regexp_extract(s, "^#+", 0)).cast("string")
+    head = F.concat(F.lit("<h"), level, F.lit(">"), X.markdown_inline(F.regexp_extract(s, rf"(?dU)^#{{1,6}}{_BLANK}+(.+)$", 1)), F.lit("</h"), level, F.lit(">"))
+    code = raw
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        code = F.replace(code, F.lit(plain), F.lit(escaped))
+    lang = _strip(F.substr(s, F.lit(4)))
+    opened = F.concat(F.lit("<pre><code"), F.when(lang != "", F.concat(F.lit(' class="language-'), lang, F.lit('"'))).otherwise(""), F.lit(">"))
+    return (
+        F.when(kind == "open", opened).when(kind == "close", "</code></pre>").when(kind == "code", code).when(kind == "rule", "<hr>").when(kind == "heading", head)
+        .when(kind == "ul", tag("li", F.substr(s, F.lit(3)))).when(kind == "ol", tag("li", F.regexp_extract(s, rf"(?dU)^\d+\.{_BLANK}+(.+)$", 1)))
+        .when(kind == "quote", tag("blockquote", F.substr(s, F.lit(3)))).when(kind == "blank", "").when(kind == "paragraph", tag("p", s))
+    )
+
+
+def _row(s: Column) -> Column:
+    cells = F.slice(F.split(s, r"\|"), 2, F.size(F.split(s, r"\|")) - 2)
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), X.markdown_inline(_strip(c)), F.lit("</td>"))), ""), F.lit("</tr>"))
+
+
+def markdown_html(docs: DataFrame, keys: list[str], text: str = "text", out: str = "html") -> DataFrame:
+    """``keys`` and the HTML of each document, which ``keys`` tell apart; null counts as empty."""
+    each = W.partitionBy(*keys).orderBy("i")
+    before = each.rowsBetween(W.unboundedPreceding, -1)
+    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("i", "raw")).withColumn("s", _strip(F.col("raw")))
+    mark = F.col("s").startswith("```")
+    lines = lines.withColumn("inside", F.coalesce(F.sum(mark.cast("int")).over(before), F.lit(0)) % 2 == 1)
+    lines = lines.withColumn("kind", F.when(mark, F.when(F.col("inside"), "close").otherwise("open")).when(F.col("inside"), "code").otherwise(_kind(F.col("s"))))
+    free = ~F.col("kind").isin("open", "close", "code")
+    item = F.col("kind").isin("ul", "ol")
+    ends = free & ~item & ~F.col("s").rlike(r"(?U)^\d+\.")
+    frees = free & ~F.col("kind").isin("rule", "heading", "divider", "row")
+    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0))
+    # The list before a line, and whether a line has ended it since: both from what stands before.
+    lines = lines.withColumns({"ended": count(ends), "group": count(frees)})
+    held = F.struct("kind", F.col("ended").alias("at"))
+    lines = lines.withColumn("held", F.last(F.when(item, held), ignorenulls=True).over(before))
+    live = F.when(F.col("held.at") == F.col("ended"), F.col("held.kind"))
+    lines = lines.withColumns({"list": live, "ends": ends, "frees": frees})
+    closing = F.concat(F.lit("</"), F.col("list"), F.lit(">"))
+    begun = F.when(item & ~F.col("list").eqNullSafe(F.col("kind")), F.concat(F.when(F.col("list").isNotNull(), F.concat(closing, F.lit("\n"))).otherwise(""), F.lit("<"), F.col("kind"), F.lit(">")))
+    piece = lambda rank, html: F.struct(F.col("i").cast("long").alias("i"), F.lit(rank).alias("rank"), html.alias("html"))
+    own = F.filter(F.array(piece(_END, F.when(F.col("ends"), closing)), piece(_BEGIN, begun), piece(_OWN, _own(F.col("s"), F.col("raw"), F.col("kind")))), lambda p: p["html"].isNotNull())
+    # A table goes where the first line behind its rows lets it go, or at the end.
+    rows = lines.where("kind = 'row'").groupBy(*keys, "group").agg(F.array_sort(F.collect_list(F.struct("i", _row(F.col("s")).alias("html")))).alias("rows"))
+    tables = rows.select(*keys, "group", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</table>")).alias("html"))
+    let_go = lines.where("frees").select(*keys, "group", "i")
+    end = F.lit((1 << 31) - 1).cast("long")
+    tables = tables.join(let_go, [*keys, "group"], "left").select(*keys, F.struct(F.coalesce(F.col("i").cast("long"), end).alias("i"), F.lit(_TABLE).alias("rank"), F.col("html")).alias("p"))
+    # What is open when the text ends: a fence, then a list.
+    last = lines.groupBy(*keys).agg(F.sum(mark.cast("int")).alias("marks"), F.max_by(F.struct(F.when(item, F.col("kind")).when(~ends, F.col("list")).alias("list")), "i").alias("o"))
+    tail = lambda rank, html: F.struct(end.alias("i"), F.lit(rank).alias("rank"), html.alias("html"))
+    open_ = F.filter(F.array(tail(_END - 1, F.when(F.col("marks") % 2 == 1, F.lit("</code></pre>"))), tail(_END, F.concat(F.lit("</"), F.col("o.list"), F.lit(">")))), lambda p: p["html"].isNotNull())
+    pieces = lines.select(*keys, F.explode(own).alias("p")).unionByName(tables).unionByName(last.select(*keys, F.explode(open_).alias("p")))
+    whole = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps"))  # a document is one text
+    html = whole.select(*keys, F.array_join(F.transform("ps", lambda p: p["html"]), "\n").alias(out))
+    return docs.select(*keys).join(html, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))

@@ -214,8 +214,7 @@ def numbered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown text for every part: heading, list, quote, code, a table that a heading overtakes."""
     md = _tag("# ", F.col("p_name"), "\n- **", F.col("p_brand"), "**\n- `", F.col("p_size"), "`\n\n1. one\n> ", F.col("p_type"), "\n```sql\na < ", F.col("p_partkey"), "\n```\n| k | ", F.col("p_partkey"), " |\n|---|---|\n## late\nend")
-    out = D.markdown_html(table(spark, sf_dir, "part").select("p_partkey", md.alias("md")), "md")
-    return out.select("p_partkey", "html")
+    return D.markdown_html(table(spark, sf_dir, "part").select("p_partkey", md.alias("md")), ["p_partkey"], "md")
 
 
 def auth_store(spark: SparkSession, sf_dir: str) -> DataFrame:

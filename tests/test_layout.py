@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import layout as L
 from leafmill.operators import pages as P
 from leafmill.operators import tables as B
-from leafmill.operators.markdown import to_html
+from leafmill.operators.markdown import markdown_html
 
 
 def box(x, y, w, h, stroke="#000000", fill=None):
@@ -153,6 +153,16 @@ def test_ranges():
             P.parse_ranges(bad, 10)
 
 
-def test_markdown_blocks():
-    assert to_html("# T\n- a\n- b\n\n1. x\n> q\n```py\n<i>\n```") == '<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n\n<ol>\n<li>x</li>\n</ol>\n<blockquote>q</blockquote>\n<pre><code class="language-py">\n&lt;i&gt;\n</code></pre>'
-    assert to_html("| a | b |\n|---|---|\n# h\nend") == "<h1>h</h1>\n<table><tr><td>a</td><td>b</td></tr></table>\n<p>end</p>"
+def test_markdown_blocks(spark):
+    cases = {
+        "# T\n- a\n- b\n\n1. x\n> q\n```py\n<i>\n```": '<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n\n<ol>\n<li>x</li>\n</ol>\n<blockquote>q</blockquote>\n<pre><code class="language-py">\n&lt;i&gt;\n</code></pre>',
+        "| a | b |\n|---|---|\n# h\nend": "<h1>h</h1>\n<table><tr><td>a</td><td>b</td></tr></table>\n<p>end</p>",
+        "- a\n1. b\n2.5 c\n```\nx": "<ul>\n<li>a</li>\n</ul>\n<ol>\n<li>b</li>\n<p>2.5 c</p>\n<pre><code>\nx\n</code></pre>\n</ol>",
+        "|a|\n- b": "<table><tr><td>a</td></tr></table>\n<ul>\n<li>b</li>\n</ul>",
+        "|a|\n***\n|b|": "<hr>\n<table><tr><td>a</td></tr><tr><td>b</td></tr></table>",
+        "|": "",
+        "": "",
+        " **x** _y_ ": "<p><strong>x</strong> <em>y</em></p>",
+    }
+    df = spark.createDataFrame([*enumerate(cases), (99, None)], "k int, text string")
+    assert {r.k: r.html for r in markdown_html(df, ["k"]).collect()} == dict(enumerate(cases.values())) | {99: ""}
