@@ -89,19 +89,22 @@ def job_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.swept(_events(spark, sf_dir).select("event_id", "ts"), "ts", F.lit("2024-01-15 00:00:00").cast("timestamp")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
-_PASSWORDS = ["", "abc", "abcdefgh", "Abcdefgh", "Abcdefg1", "Abcdefghijk1", "Abcdefghij1!"]
-
-
 def password_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analogue: every customer's name and segment, cut and mixed by key, as a password; some are empty."""
+    k = F.col("c_custkey")
+    p = F.when(k % 7 == 0, "").when(k % 7 == 1, F.lower("c_mktsegment")).when(k % 7 == 2, F.col("c_mktsegment")).when(k % 7 == 3, F.concat(F.initcap("c_mktsegment"), k.cast("string"))).when(k % 7 == 4, F.regexp_replace("c_name", "#", "")).when(k % 7 == 5, F.col("c_name")).otherwise(k.cast("string"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", p.alias("p"))
     score, label = A.password_strength(F.col("p"))
-    return spark.createDataFrame([(p,) for p in _PASSWORDS], "p string").select("p", score.alias("score"), label.alias("label"))
-
-
-_HEADERS = [("1.2.3.4, 5.6.7.8", "9.9.9.9"), ("", "9.9.9.9"), (None, "8.8.8.8"), ("  7.7.7.7", "x")]
+    return c.select("c_custkey", "p", score.alias("score"), label.alias("label"))
 
 
 def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_HEADERS, "h string, peer string").select("h", "peer", A.client_key(F.col("h"), F.col("peer")).alias("client"))
+    """Analogue: every supplier's request, some of which came by proxies."""
+    k = F.col("s_suppkey")
+    ip = F.concat(F.lit("10.0."), k.cast("string"))
+    h = F.when(k % 4 == 0, F.concat(ip, F.lit(".1, 9.9.9.9"))).when(k % 4 == 1, "").when(k % 4 == 2, F.concat(F.lit("  "), ip, F.lit(".2 ")))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", h.alias("h"), F.concat(ip, F.lit(".9")).alias("peer"))
+    return s.select("s_suppkey", "h", "peer", A.client_key(F.col("h"), F.col("peer")).alias("client"))
 
 
 _FOLD = """
@@ -144,7 +147,8 @@ SQL = {
     "session_ttl": "SELECT event_id, ts + INTERVAL 30 DAY AS expires_at FROM events WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-10 12:00:00'",
     "job_latest_status": "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, arg_max(ts, event_id) AS ts FROM events GROUP BY 1",
     "job_sweep": "SELECT count(*) AS n, max(event_id) AS last_id FROM events WHERE ts + INTERVAL 10 MINUTE < TIMESTAMP '2024-01-15'",
-    "password_strength": f"""SELECT p, score, CASE WHEN len(p) = 0 THEN '입력 전' WHEN score <= 2 THEN '약함' WHEN score <= 4 THEN '보통' ELSE '강함' END AS label FROM (SELECT p, CAST(len(p) >= 8 AS INT) + CAST(len(p) >= 12 AS INT)
-      + CAST(regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[a-z]') AS INT) + CAST(regexp_matches(p, '[0-9]') AS INT) + CAST(regexp_matches(p, '[^A-Za-z0-9]') AS INT) AS score FROM (VALUES {', '.join(f"('{p}')" for p in _PASSWORDS)}) v(p))""",
-    "client_key": "SELECT h, peer, coalesce(nullif(trim(split_part(h, ',', 1)), ''), peer) AS client FROM (VALUES ('1.2.3.4, 5.6.7.8', '9.9.9.9'), ('', '9.9.9.9'), (NULL, '8.8.8.8'), ('  7.7.7.7', 'x')) v(h, peer)",
+    "password_strength": """SELECT c_custkey, p, score, CASE WHEN len(p) = 0 THEN '입력 전' WHEN score <= 2 THEN '약함' WHEN score <= 4 THEN '보통' ELSE '강함' END AS label FROM (SELECT c_custkey, p, CAST(len(p) >= 8 AS INT) + CAST(len(p) >= 12 AS INT)
+      + CAST(regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[a-z]') AS INT) + CAST(regexp_matches(p, '[0-9]') AS INT) + CAST(regexp_matches(p, '[^A-Za-z0-9]') AS INT) AS score FROM (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN c_mktsegment WHEN 3 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || c_custkey
+        WHEN 4 THEN replace(c_name, '#', '') WHEN 5 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS p FROM customer))""",
+    "client_key": """SELECT s_suppkey, h, peer, coalesce(nullif(trim(split_part(h, ',', 1)), ''), peer) AS client FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '10.0.' || s_suppkey || '.1, 9.9.9.9' WHEN 1 THEN '' WHEN 2 THEN '  10.0.' || s_suppkey || '.2 ' END AS h, '10.0.' || s_suppkey || '.9' AS peer FROM supplier)""",
 }

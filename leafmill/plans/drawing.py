@@ -80,7 +80,7 @@ def image_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column ends of a table for each brand: how many, and the widest step."""
-    e = G.cell_edges(_rects(spark, sf_dir, "cell_seq").where("cell_seq % 40 < 6"), ["p_brand"], "x0", "x1")
+    e = G.cell_edges(_rects(spark, sf_dir, "cell_seq"), ["p_brand"], "x0", "x1")
     return e.select("p_brand", F.size("edges").cast("long").alias("n"), F.round(F.array_max("steps"), 4).alias("widest"))
 
 
@@ -232,7 +232,7 @@ SQL = {
       CASE WHEN p_partkey % 7 > 1 THEN (p_partkey % 7 - 1) * -0.1::DOUBLE ELSE -0.2::DOUBLE END AS down FROM part), b AS (SELECT *, CASE WHEN coalesce(o, 0) = 0 THEN y0 + s * 0.8::DOUBLE ELSE o END AS base FROM p)
       SELECT p_partkey, round(base, 4) AS baseline, round(CASE WHEN o IS NOT NULL THEN base - s * up ELSE y0 END, 4) AS top, round(greatest(s * (up - down), 11.0::DOUBLE, s), 4) AS height FROM b""",
     "image_overlaps": f"WITH {_R}, t AS (SELECT p_brand, x0, y0, x1, y1 FROM r WHERE k % 10 = 0 UNION ALL SELECT p_brand, x0 - 2, y0 - 2, x0 + 200, y0 + 2 FROM r WHERE k % 9 = 0), i AS (SELECT * FROM r WHERE k % 10 <> 0 AND k % 9 <> 0 AND x1 - x0 >= 1 AND y1 - y0 >= 1) SELECT p_brand, k AS image_seq, EXISTS (SELECT 1 FROM t WHERE t.p_brand = i.p_brand AND i.x0 < t.x1 AND t.x0 < i.x1 AND i.y0 < t.y1 AND t.y0 < i.y1) AS behind FROM i",
-    "cell_edges": f"WITH {_R}, e AS (SELECT DISTINCT p_brand, round(unnest([x0, x1]), 1) AS v FROM r WHERE k % 40 < 6), s AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS step FROM e) SELECT p_brand, count(*) AS n, round(max(step), 4) AS widest FROM s GROUP BY 1",
+    "cell_edges": f"WITH {_R}, e AS (SELECT DISTINCT p_brand, round(unnest([x0, x1]), 1) AS v FROM r), s AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS step FROM e) SELECT p_brand, count(*) AS n, round(max(step), 4) AS widest FROM s GROUP BY 1",
     "table_starts": f"WITH {_LINES}, t AS (SELECT doc_id, line_seq // 7 AS table_seq, line_seq FROM ln WHERE line_seq % 7 = 0) SELECT t.doc_id, CAST(table_seq AS BIGINT) AS table_seq, greatest(72.0::DOUBLE, coalesce(max(y + height) + 10, 72.0::DOUBLE)) AS y FROM t LEFT JOIN ln ON ln.doc_id = t.doc_id AND ln.line_seq < t.line_seq GROUP BY t.doc_id, table_seq",
     "stamp_pages": f"WITH {_PAGES} SELECT doc_id, page_index FROM p WHERE doc_id % 3 = 0 OR page_index IN (0, 2)",
     "image_pages": "SELECT p_brand, p_partkey AS file_seq, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS page_index, p_size * 10 AS width, p_size * 7 AS height FROM part WHERE p_partkey % 3 < 2",

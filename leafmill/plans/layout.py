@@ -179,7 +179,7 @@ def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inferred_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of tables that only text shows; tested against a plain loop."""
-    n = page_lines(spark, sf_dir).where("kind <> 0").withColumn("x", F.col("x") + F.col("line_seq") % 2)
+    n = page_lines(spark, sf_dir).withColumn("x", F.col("x") + F.col("line_seq") % 2)
     return B.inferred_boxes(n, ["doc_id"])
 
 

@@ -218,27 +218,27 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def auth_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as a store file of sessions and records, read back and joined by mail address."""
+    """Suppliers as stores of sessions and records, a hundred to a store, read back and joined by mail address."""
     k = F.col("s_suppkey")
     user = F.struct(k.cast("string").alias("id"), F.concat(F.lit("U"), k.cast("string"), F.lit("@x.kr")).alias("email"), F.col("s_name").alias("name"))
     session = F.struct(F.concat(F.lit("i"), k.cast("string")).alias("id"), user.alias("user"), (k * 1000).alias("createdAt"))
     record = F.struct((k % 4).cast("int").alias("oneTimePasses"), F.when(k % 2 == 0, "monthly").alias("plan"))
-    s = table(spark, sf_dir, "supplier").select(F.struct(session.id.alias("key"), session.alias("value")).alias("s"), F.struct(F.concat(F.lit("u"), k.cast("string"), F.lit("@x.kr")).alias("key"), record.alias("value")).alias("p"))
-    store = s.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("s")).alias("sessions"), F.map_from_entries(F.collect_list("p")).alias("premiumByEmail"))).alias("value"))  # a store is one file
+    s = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 100").alias("store"), F.struct(session.id.alias("key"), session.alias("value")).alias("s"), F.struct(F.concat(F.lit("u"), k.cast("string"), F.lit("@x.kr")).alias("key"), record.alias("value")).alias("p"))
+    store = s.groupBy("store").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("s")).alias("sessions"), F.map_from_entries(F.collect_list("p")).alias("premiumByEmail"))).alias("value"))
     path = scratch_path(spark, "store")
-    store.coalesce(1).write.text(path)
-    t = stores.auth_store(spark, path)
+    store.select("value").write.text(path)
+    t = stores.auth_store(spark, path, lines=True)
     mine = t["sessions"].select(A.email_key(F.col("user.email")).alias("email"), F.col("user.name").alias("name"), "createdAt")
     return mine.join(t["premium"].select("email", "oneTimePasses", "plan"), "email")
 
 
 def usage_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each user's last day as a store file, read back."""
+    """Counts of each user's last day as stores of a hundred users, read back."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").cast("int").alias("n"))
-    last = e.groupBy("user_id").agg(F.max(F.struct("day", "n")).alias("l")).select(F.struct(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.struct(F.col("l.n").alias("count"), F.col("l.day").cast("string").alias("date")).alias("value")).alias("e"))
+    last = e.groupBy("user_id").agg(F.max(F.struct("day", "n")).alias("l")).select(F.expr("user_id div 100").alias("store"), F.struct(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.struct(F.col("l.n").alias("count"), F.col("l.day").cast("string").alias("date")).alias("value")).alias("e"))
     path = scratch_path(spark, "usage")
-    last.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).coalesce(1).write.text(path)
-    return stores.usage_store(spark, path)
+    last.groupBy("store").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).select("value").write.text(path)
+    return stores.usage_store(spark, path, lines=True)
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:

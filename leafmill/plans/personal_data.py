@@ -47,31 +47,35 @@ def pii_phone_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.text").alias("text"), M.business_number(F.col("t"), F.col("m.start"), F.length("m.text")).alias("suppressed"))
 
 
-_RRN = ["900101-1234567", "900101-1234568", "9001011234568", "12345"]
-_ACCOUNT = ["110-234-567890", "352-1234-5678-93", "123-45-678", "2026-05-2217", "11023456789", "123", ""]
-_EMAILS = ["someone@example.org", "ab@c.de", "a@b.kr", "noat", "", "x@y@z.com", "who@"]
-
-
 #: Some of the labels that make a number a registration number, and what doesn't.
 _LABELS = ["등록번호 ", "발급 번 호:", "발급번호", "전화 ", "구직등록번호  ", "tel ", "x", "등록 번호", ""]
 
 
-def _inline(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "s string")
-
-
 def pii_fixture_rrn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    return _inline(spark, _RRN).select("s", M.mask_rrn(s).alias("masked"), M.format_rrn(s).alias("formatted"), F.coalesce(M.valid_rrn(s), F.lit(False)).alias("valid"))
+    """Every customer's key as a number of thirteen digits, with and without its dash; some are cut short."""
+    k = F.col("c_custkey")
+    d = F.lpad((k % 1000000 * 7919104729 % 10000000000000).cast("string"), 13, "0")
+    s = F.when(k % 5 == 0, F.substring(d, 1, 7)).when(k % 2 == 0, F.concat(F.substring(d, 1, 6), F.lit("-"), F.substr(d, F.lit(7)))).otherwise(d)
+    c, s = table(spark, sf_dir, "customer").select("c_custkey", s.alias("s")), F.col("s")
+    return c.select("c_custkey", "s", M.mask_rrn(s).alias("masked"), M.format_rrn(s).alias("formatted"), F.coalesce(M.valid_rrn(s), F.lit(False)).alias("valid"))
 
 
 def pii_fixture_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    return _inline(spark, _ACCOUNT).select("s", M.mask_account(s).alias("masked"), F.length(M.digits_of(s)).cast("long").alias("n_digits"), F.coalesce(M.date_shaped(s), F.lit(False)).alias("date_shaped"))
+    """Every customer's key as an account number, as a date, or as digits of any number."""
+    k = F.col("c_custkey")
+    n = F.lpad((k * 104729 % 1000000).cast("string"), 6, "0")
+    s = F.when(k % 4 == 0, F.concat(F.lit("110-234-"), n)).when(k % 4 == 1, F.concat((k % 300 + 1850).cast("string"), F.lit("-"), (k % 14).cast("string"), F.lit("-"), n)).when(k % 4 == 2, k.cast("string")).otherwise(F.concat(n, n))
+    c, s = table(spark, sf_dir, "customer").select("c_custkey", s.alias("s")), F.col("s")
+    return c.select("c_custkey", "s", M.mask_account(s).alias("masked"), F.length(M.digits_of(s)).cast("long").alias("n_digits"), F.coalesce(M.date_shaped(s), F.lit(False)).alias("date_shaped"))
 
 
 def pii_fixture_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inline(spark, _EMAILS).select("s", M.mask_email(F.col("s")).alias("masked"))
+    """Every customer's name as a local part of one letter, two or more; some addresses lack their host or their sign."""
+    k = F.col("c_custkey")
+    local = F.substr("c_name", F.lit(1), (k % 5).cast("int"))
+    s = F.when(k % 7 == 0, F.col("c_name")).when(k % 7 == 1, F.concat(local, F.lit("@"))).when(k % 7 == 2, F.concat(local, F.lit("@y@"), "c_mktsegment")).otherwise(F.concat(local, F.lit("@"), "c_mktsegment", F.lit(".kr")))
+    c = table(spark, sf_dir, "customer").select("c_custkey", s.alias("s"))
+    return c.select("c_custkey", "s", M.mask_email(F.col("s")).alias("masked"))
 
 
 def labelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +213,6 @@ SELECT doc_id, page_index, seq, type, text, masked_text, verified, x, y, x2 - x
 """
 
 _DOCS = "WITH" + _detections("documents", "doc_id")
-_RRN_SQL = ", ".join(f"('{v}')" for v in _RRN)
-_ACCOUNT_SQL = ", ".join(f"('{v}')" for v in _ACCOUNT)
-
 QUERIES = {f.__name__: f for f in (pii_preview, pii_counts, pii_counts_by_lang, pii_conversations, pii_email_mask, pii_card_luhn_mask, pii_phone_context, pii_label_context, pii_signed_turns, pii_fixture_rrn, pii_fixture_account, pii_fixture_email, pii_positioned)}
 SQL = {
     "pii_positioned": _POSITIONED,
@@ -222,15 +223,17 @@ SQL = {
     "pii_email_mask": _DOCS + " SELECT DISTINCT doc_id, text, masked_text FROM found WHERE type = 'email'",
     "pii_card_luhn_mask": _DOCS + " SELECT DISTINCT doc_id, text, masked_text, verified FROM found WHERE type = 'card'",
     "pii_phone_context": _DOCS + " SELECT doc_id, pos AS start, t AS text, bad AS suppressed FROM ph",
-    "pii_fixture_rrn": f"""WITH v AS (SELECT s, replace(s, '-', '') AS d FROM (VALUES {_RRN_SQL}) t(s))
-      SELECT s, CASE WHEN len(d) < 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7,1) || '******' END AS masked, CASE WHEN len(d) <> 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7) END AS formatted,
+    "pii_fixture_rrn": """WITH n AS (SELECT c_custkey, lpad(CAST(c_custkey % 1000000 * 7919104729 % 10000000000000 AS VARCHAR), 13, '0') AS d FROM customer),
+      t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN substr(d, 1, 7) WHEN c_custkey % 2 = 0 THEN substr(d, 1, 6) || '-' || substr(d, 7) ELSE d END AS s FROM n), v AS (SELECT c_custkey, s, replace(s, '-', '') AS d FROM t)
+      SELECT c_custkey, s, CASE WHEN len(d) < 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7,1) || '******' END AS masked, CASE WHEN len(d) <> 13 THEN s ELSE substr(d,1,6) || '-' || substr(d,7) END AS formatted,
       coalesce(len(d) = 13 AND (11 - list_sum(list_transform(range(1, 13), lambda i: TRY_CAST(substr(d, i, 1) AS INT) * [2,3,4,5,6,7,8,9,2,3,4,5][i])) % 11) % 10 = TRY_CAST(substr(d, 13, 1) AS INT), false) AS valid FROM v""",
     "pii_label_context": "WITH l AS (SELECT s_suppkey, s_name, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS d, [" + ", ".join(f"'{x}'" for x in _LABELS) + f"][s_suppkey % {len(_LABELS)} + 1] AS label FROM supplier), labelled AS (SELECT s_suppkey, label || '010-' || substr(d, 1, 4) || '-' || substr(d, 5) || ' ' || s_name AS text FROM l)," + _detections("labelled", "s_suppkey") + " SELECT s_suppkey, type, text, masked_text, verified FROM kept",
     "pii_signed_turns": r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, lpad(CAST((conv_id * 7919 + turn * 104729) % 100000000 AS VARCHAR), 8, '0') AS n FROM conversations),
       signed AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN chr(10) || 'phone 010 ' || substr(n, 1, 4) || ' ' || substr(n, 5) || '!' WHEN turn % 3 = 1 THEN chr(10) || 'mail u' || n || '@mail' || turn || '.example.org now'
         ELSE chr(10) || 'account 110-234-' || n || ' card ' || substr(n, 1, 4) || '-4111-1111-1111' END AS text FROM c),""" + _detections("signed", "conv_id, turn") + " SELECT conv_id, turn, type, text, masked_text, verified FROM kept",
-    "pii_fixture_email": "SELECT s, CASE WHEN split_part(s, '@', 2) = '' THEN s WHEN len(split_part(s, '@', 1)) > 2 THEN substr(s, 1, 1) || repeat('*', len(split_part(s, '@', 1)) - 2) || substr(split_part(s, '@', 1), -1) || '@' || split_part(s, '@', 2) ELSE substr(s, 1, 1) || '***@' || split_part(s, '@', 2) END AS masked FROM (VALUES " + ", ".join(f"('{v}')" for v in _EMAILS) + ") t(s)",
-    "pii_fixture_account": f"""SELECT s, CASE WHEN contains(s, '-') THEN regexp_replace(s, '-[^-]*$', '-****') ELSE substr(s, 1, greatest(len(s) - 4, 0)) || '****' END AS masked, len(replace(s, '-', '')) AS n_digits,
+    "pii_fixture_email": """SELECT c_custkey, s, CASE WHEN split_part(s, '@', 2) = '' THEN s WHEN len(split_part(s, '@', 1)) > 2 THEN substr(s, 1, 1) || repeat('*', len(split_part(s, '@', 1)) - 2) || substr(split_part(s, '@', 1), -1) || '@' || split_part(s, '@', 2) ELSE substr(split_part(s, '@', 1), 1, 1) || '***@' || split_part(s, '@', 2) END AS masked
+      FROM (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN c_name WHEN 1 THEN substr(c_name, 1, c_custkey % 5) || '@' WHEN 2 THEN substr(c_name, 1, c_custkey % 5) || '@y@' || c_mktsegment ELSE substr(c_name, 1, c_custkey % 5) || '@' || c_mktsegment || '.kr' END AS s FROM customer)""",
+    "pii_fixture_account": """SELECT c_custkey, s, CASE WHEN contains(s, '-') THEN regexp_replace(s, '-[^-]*$', '-****') ELSE substr(s, 1, greatest(len(s) - 4, 0)) || '****' END AS masked, len(replace(s, '-', '')) AS n_digits,
       coalesce(len(split_part(s,'-',1)) = 4 AND TRY_CAST(split_part(s,'-',1) AS INT) BETWEEN 1900 AND 2099 AND TRY_CAST(split_part(s,'-',2) AS INT) BETWEEN 1 AND 12 AND TRY_CAST(substr(split_part(s,'-',3),1,2) AS INT) BETWEEN 1 AND 31, false) AS date_shaped
-      FROM (VALUES {_ACCOUNT_SQL}) t(s)""",
+      FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '110-234-' || n WHEN 1 THEN (c_custkey % 300 + 1850) || '-' || (c_custkey % 14) || '-' || n WHEN 2 THEN CAST(c_custkey AS VARCHAR) ELSE n || n END AS s FROM (SELECT c_custkey, lpad(CAST(c_custkey * 104729 % 1000000 AS VARCHAR), 6, '0') AS n FROM customer))""",
 }

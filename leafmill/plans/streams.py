@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.plans import accounts
+from leafmill.sources import versioned
 from leafmill.sources.scratch import scratch_path
 from leafmill.sources.tables import table
 from leafmill.streaming import accounts as S
@@ -109,6 +110,17 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, _events(spark, sf_dir), moved, "append").select("user_id", "event_id", "before", "status", "progress", "reason", "at")
 
 
+def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analogue: each user's last event as a record of a store that a stream keeps up to date; an error removes the record."""
+    base, inputs = scratch_path(spark, "store"), scratch_path(spark, "events")
+    for part in _events(spark, sf_dir):
+        part.write.mode("append").parquet(inputs)
+        stream = spark.readStream.schema(part.schema).parquet(inputs)
+        rows = stream.select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("gone"))
+        versioned.upserts(rows, f"{base}/records", "user_id", "event_id", "gone").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return versioned.read_store(spark, f"{base}/records", "user_id bigint, event_id bigint, event_type string, value double")
+
+
 _ROWS = f"""WITH RECURSIVE m AS (SELECT (epoch_us(max(ts)) - {LATE}) // 1000 * 1000 AS mark FROM events),
 e AS (SELECT user_id, event_id, event_type AS k, value AS v, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),"""
 #: ``ex``: the end of the session that is live after the row, ``was``: of that which was live before it.
@@ -146,8 +158,9 @@ x AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY n) AS next FROM f)
 SELECT user_id, event_id, before, coalesce(status, 'none') AS status, progress, reason, make_timestamp(t) AS at FROM f WHERE n > 0
 UNION ALL SELECT user_id, NULL, status, 'swept', progress, NULL, make_timestamp(swept) FROM x, m WHERE swept <= coalesce(next, mark)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_quota, stream_daily_uses, stream_deliveries, stream_entitlements, stream_admin, stream_sessions, stream_jobs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_quota, stream_daily_uses, stream_deliveries, stream_entitlements, stream_admin, stream_sessions, stream_jobs, stream_store)}
 SQL = {
+    "stream_store": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'",
     "stream_sessions": _SESSIONS,
     "stream_jobs": _JOBS,
     "stream_quota": "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, n, n < 3 AS consume_allowed, n <= 3 AS checked_allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)",

@@ -1,4 +1,4 @@
-"""Queries on markup, text, units and fixtures of small functions."""
+"""Queries on markup, text and units."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators.accounts import skip_histogram as histogram
+from leafmill.plans.markdown import _inline
 from leafmill.sources.tables import table
 
 
@@ -60,45 +61,97 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("page_id", F.lower(F.regexp_extract("url", "^(https?)://", 1)).alias("scheme"), F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), path.alias("path"), X.safe_redirect(path).alias("redirect"), X.inside_root(F.regexp_replace(path, "^/", "")).alias("inside"))
 
 
-def _fixture(values: list[str], make) -> tuple:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string").select("i", *(c.alias(k) for k, c in make(F.col("s")).items()))
+def _pick(n: Column, values: tuple) -> Column:
+    """One of the values, by a number."""
+    return F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (n % len(values)).cast("int"))
 
-    return query
 
+def markdown_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn between marks of all kinds."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role"))
+    turn = F.col("turn").cast("string")
+    s = F.concat(F.lit("**"), "role", F.lit("** _"), turn, F.lit("_ "), "text", F.lit(" `"), turn, F.lit("` snake_case_name ![i "), turn, F.lit("](a.png) [*l*](u_"), turn, F.lit(") __x__"))
+    return c.select("conv_id", "turn", X.markdown_inline(s).alias("html"))
 
-def _expected(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    cast = lambda v: f"CAST({lit(v)} AS DOUBLE)" if isinstance(v, float) else lit(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cast, r)) + ')' for r in rows)}) v({names})"
 
+def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn escaped, with breaks, tags and characters by number around it, decoded again."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    code = F.col("turn") % 26 + 65
+    escaped = F.replace(X.escape_html(F.col("text")), F.lit("&#39;"), F.lit("&apos;"))
+    s = F.concat(F.lit("&#"), code.cast("string"), F.lit(";&#x"), F.hex(code + 32), F.lit("; "), escaped, F.lit("<br/><b class='x'>&amp;lt;</b>&#54620;&amp;#xAE00;"))
+    return c.select("conv_id", "turn", X.decode_entities(s).alias("text"))
 
-#: Inputs and the values that the published rules give for them, by hand.
-_MD = [("**a** and _b_", "<strong>a</strong> and <em>b</em>"), ("![x](y.png) [l](u)", '<img src="y.png" alt="x"> <a href="u">l</a>'), ("`c` __d__ *e*", "<code>c</code> <strong>d</strong> <em>e</em>"), ("snake_case_name", "snake<em>case</em>name")]
-_ENT = [("a&lt;b&gt;", "a<b>"), ("x<br/>y<b>z</b>", "x\nyz"), ("&amp;#65;", "A"), ("&#x41;&#66;c", "ABc"), ("&amp;lt;", "&lt;"), ("&#54620;&#xAE00;", "한글")]
-_ODF = [("a<text:s text:c=\"3\"/>b", "a   b"), ("a<text:tab/>b<text:s/>c", "a\tb c"), (" x <text:line-break/>  y ", "x\ny")]
-_LEN = [("1in", 96.0, 72.0), ("2.54cm", 96.0, 72.0), ("10mm", 37.795276, 28.346457), ("72pt", 96.0, 72.0), ("10", 10.0, 10.0), ("8px", 8.0, 6.0), ("abc", 0.0, 12.0), ("-1.5in", -144.0, -108.0)]
-_PATHS = [("a/b/../c.png", "a/c.png", "a/b/../", "image/png", "a/b/../c"), ("./x//y.SVG", "x/y.SVG", "./x//", "image/svg+xml", "./x//y"), ("../../q", "q", "../../", None, "../."), ("f.tar.gz", "f.tar.gz", "", None, "f.tar")]
-_FONTS = [("ABCDEF+Arial-Bold", "Nimbus Sans"), ("HCR Batang", "Batang"), ("맑은 고딕", "Malgun Gothic"), ("", "함초롬바탕"), ("Noto Sans CJK", "Noto Sans CJK KR"), ("X+Foo", "Foo"), ("TimesNewRoman", "Nimbus Roman"), ("Courier", "Nimbus Mono PS")]
-_LINES = [("  a \t b  ", "a b", "a \t b"), ("x\r\ny", "x y", "x\ny"), ("", "", "")]
-_FIT = [(1200.0, 400.0), (300.0, 1600.0), (100.0, 50.0), (600.0, 800.0)]
 
+def odf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's names between ODF spaces, tabs and breaks."""
+    gap = (F.col("p_partkey") % 5).cast("string")
+    s = F.concat(F.lit(" "), "p_name", F.lit('<text:s text:c="'), gap, F.lit('"/>'), "p_brand", F.lit("<text:tab/><text:span>"), "p_type", F.lit("</text:span><text:s/>&amp; <text:line-break/>  "), "p_name", F.lit(" "))
+    return table(spark, sf_dir, "part").select("p_partkey", X.decode_odf(s).alias("text"))
 
-markdown_inline = _fixture([a for a, _ in _MD], lambda s: {"html": X.markdown_inline(s)})
-xml_entities = _fixture([a for a, _ in _ENT], lambda s: {"text": X.decode_entities(s)})
-odf_text = _fixture([a for a, _ in _ODF], lambda s: {"text": X.decode_odf(s)})
-odf_lengths = _fixture([r[0] for r in _LEN], lambda s: {"px": F.round(X.odf_px(s), 6), "pt": F.round(X.odf_pt(s), 6)})
-paths = _fixture([r[0] for r in _PATHS], lambda s: {"normal": X.normal_path(s), "dir": X.dirname(s), "mime": X.mime_type(s), "bare": X.without_extension(s)})
-fonts = _fixture([r[0] for r in _FONTS], lambda s: {"family": X.normal_font(s)})
-clean_lines = _fixture([r[0] for r in _LINES], lambda s: {"line": X.sanitize_line(s, 80), "message": X.sanitize_message(s, 80)})
-cookie_values = _fixture(["a=1; b=x=y", "sid=abc"], lambda s: {"a": X.cookies(s)["a"], "b": X.cookies(s)["b"], "sid": X.cookies(s)["sid"]})
-colours = _fixture(["0", "16711680", "3368601"], lambda s: {"hex": X.colour_of_int(s), "rgb": X.colour_of_rgb(F.lit(0.2), F.lit(0.45), F.lit(0.7))})
+
+_UNITS = ("in", "cm", "mm", "pt", "", "px", "em", "IN")
+
+
+def odf_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's size as a length in one of the units, some below nothing, some in none."""
+    k = F.col("p_partkey")
+    s = F.concat(F.when(k % 3 == 0, "-").otherwise(""), F.col("p_size").cast("string"), F.when(k % 5 == 0, ".5").otherwise(""), _pick(k, _UNITS))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(X.odf_px(s), 6).alias("px"), F.round(X.odf_pt(s), 6).alias("pt"))
+
+
+_EXTENSIONS = (".png", ".SVG", ".jpeg", ".tar.gz", "", ".webp")
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a path: upward steps, empty and dotted parts, with names that hold blanks."""
+    k = F.col("p_partkey")
+    s = F.concat(_pick(k, ("./", "../../", "a//", "")), "p_name", F.lit("/"), "p_brand", _pick(k, ("/../", "/", "/./")), k.cast("string"), _pick(k, _EXTENSIONS))
+    below = F.concat(F.regexp_replace("p_name", " ", "%20"), F.lit("/../"), k.cast("string"), F.lit("+x%2"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", s.alias("s"), below.alias("r"))
+    s = F.col("s")
+    return p.select("p_partkey", X.normal_path(s).alias("normal"), X.dirname(s).alias("dir"), X.mime_type(s).alias("mime"), X.without_extension(s).alias("bare"), X.resolve_path(F.lit("root/x/"), F.regexp_replace("p_name", " ", "%20")).alias("below"), X.resolve_path(F.lit("root/"), F.col("r")).alias("raw"))
+
+
+#: Names of fonts and the families they become.
+_FONTS = (("Arial-Bold", "Nimbus Sans"), ("HCR Batang", "Batang"), ("맑은 고딕", "Malgun Gothic"), ("", "함초롬바탕"), ("Noto Sans CJK", "Noto Sans CJK KR"), ("Foo", None), ("TimesNewRoman", "Nimbus Roman"), ("Courier", "Nimbus Mono PS"))
+
+
+def fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's brand behind a font's name, some of them as subsets."""
+    k = F.col("p_partkey")
+    name = _pick(k, tuple(a for a, _ in _FONTS))
+    s = F.when(name == "", "").otherwise(F.concat(F.when(k % 3 == 0, "ABCDEF+").otherwise(""), name, F.lit(" "), "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.normal_font(s).alias("family"))
+
+
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a line and as a message of at most 80 characters, which is what these are for."""
+    s = F.concat(F.lit("  "), "text", F.lit("\r\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.sanitize_line(s, 80).alias("line"), X.sanitize_message(s, 80).alias("message"))
+
+
+def cookie_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a cookie header of some of three names."""
+    k = F.col("c_custkey")
+    s = F.concat(F.when(k % 3 > 0, F.concat(F.lit("a="), k.cast("string"), F.lit("; "))).otherwise(""), F.lit("b=x="), "c_name", F.lit(";nothing; =no"), F.when(k % 2 == 0, F.concat(F.lit(";  sid="), "c_mktsegment")).otherwise(""))
+    c = table(spark, sf_dir, "customer").select("c_custkey", X.cookies(s).alias("m"))
+    return c.select("c_custkey", *(F.col("m")[n].alias(n) for n in ("a", "b", "sid")))
+
+
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's key as a colour's number, its size as channels."""
+    k, part = F.col("p_partkey"), F.col("p_size") / F.lit(40.0)
+    return table(spark, sf_dir, "part").select("p_partkey", X.colour_of_int(k * 7919 + 16711680).alias("hex"), X.colour_of_rgb(part, part - 0.5, F.lit(1.0) - part).alias("rgb"))
 
 
 def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as wide and high as parts' sizes and keys make them, with a stamp in a corner."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37.0).alias("w"), (F.col("p_partkey") % 1600 + 1.0).alias("h"))
     w, h, pw, ph = X.image_fit(F.col("w"), F.col("h"))
     x, y = X.corner(F.lit("top-right"), pw, ph, F.lit(20.0), F.lit(10.0))
-    return spark.createDataFrame(_FIT, "w double, h double").select("w", "h", F.round(w, 6).alias("img_w"), F.round(h, 6).alias("img_h"), F.round(pw, 6).alias("page_w"), F.round(ph, 6).alias("page_h"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    held = X.clamp(F.col("h"), 50.0, F.col("w"))
+    return p.select("p_partkey", "w", "h", F.round(w, 6).alias("img_w"), F.round(h, 6).alias("img_h"), F.round(pw, 6).alias("page_w"), F.round(ph, 6).alias("page_h"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), held.alias("held"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,15 +189,24 @@ SQL = {
     "url_parts": r"""WITH u AS (SELECT page_id, url, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^https?://[^/]*', '') AS path FROM pages)
       SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, path, CASE WHEN path LIKE '/%' AND path NOT LIKE '//%' THEN path ELSE '/' END AS redirect,
       regexp_replace(path, '^/', '') <> '' AND NOT regexp_matches(regexp_replace(path, '^/', ''), '(?i)^[a-z][a-z0-9+.-]*:') AND NOT contains(path, '..') AS inside FROM u""",
-    "markdown_inline": _expected([(i, b) for i, (_, b) in enumerate(_MD)], "i, html"),
-    "xml_entities": _expected([(i, b) for i, (_, b) in enumerate(_ENT)], "i, text"),
-    "odf_text": _expected([(i, b) for i, (_, b) in enumerate(_ODF)], "i, text"),
-    "odf_lengths": _expected([(i, *r[1:]) for i, r in enumerate(_LEN)], "i, px, pt"),
-    "paths": _expected([(i, *r[1:]) for i, r in enumerate(_PATHS)], "i, normal, dir, mime, bare"),
-    "fonts": _expected([(i, b) for i, (_, b) in enumerate(_FONTS)], "i, family"),
-    "clean_lines": _expected([(i, *r[1:]) for i, r in enumerate(_LINES)], "i, line, message"),
-    "cookie_values": _expected([(0, "1", "x=y", None), (1, None, None, "abc")], "i, a, b, sid"),
-    "colours": _expected([(0, "#000000", "#3373B2"), (1, "#FF0000", "#3373B2"), (2, "#336699", "#3373B2")], "i, hex, rgb"),
-    "image_fit": "WITH f AS (SELECT w, h, least(1.0, 600 / w, 800 / h) AS k FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in _FIT) + ") v(w, h)) SELECT w, h, round(w * k, 6) AS img_w, round(h * k, 6) AS img_h, round(w * k + 100, 6) AS page_w, round(h * k + 100, 6) AS page_h, round(w * k + 100 - 20 - 50, 6) AS x, round(h * k + 100 - 10 - 50, 6) AS y FROM f",
+    "markdown_inline": "SELECT conv_id, turn, " + _inline("'**' || coalesce(role, '') || '** _' || turn || '_ ' || coalesce(text, '') || ' `' || turn || '` snake_case_name ![i ' || turn || '](a.png) [*l*](u_' || turn || ') __x__'") + " AS html FROM conversations",
+    "xml_entities": "SELECT conv_id, turn, chr(CAST(turn % 26 + 65 AS INT)) || chr(CAST(turn % 26 + 97 AS INT)) || ' ' || coalesce(text, '') || chr(10) || '&lt;한글' AS text FROM conversations",
+    "odf_text": "SELECT p_partkey, p_name || repeat(' ', greatest(1, CAST(p_partkey % 5 AS INT))) || p_brand || chr(9) || p_type || ' &' || chr(10) || p_name AS text FROM part",
+    "odf_lengths": f"""WITH u AS (SELECT p_partkey, (p_size + CASE WHEN p_partkey % 5 = 0 THEN 0.5::DOUBLE ELSE 0 END) * CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END AS v, [{', '.join(f"'{u.lower()}'" for u in _UNITS)}][p_partkey % {len(_UNITS)} + 1] AS u FROM part)
+      SELECT p_partkey, round(CASE u WHEN 'em' THEN 0 ELSE v * CASE u WHEN 'in' THEN 96 WHEN 'cm' THEN 96 / 2.54::DOUBLE WHEN 'mm' THEN 96 / 25.4::DOUBLE WHEN 'pt' THEN 96 / 72.0::DOUBLE ELSE 1 END END, 6) AS px,
+        round(CASE u WHEN 'em' THEN 12 ELSE v * CASE u WHEN 'in' THEN 72 WHEN 'cm' THEN 72 / 2.54::DOUBLE WHEN 'mm' THEN 72 / 25.4::DOUBLE WHEN 'px' THEN 0.75::DOUBLE ELSE 1 END END, 6) AS pt FROM u""",
+    "paths": f"""WITH q AS (SELECT *, p_partkey AS k, [{', '.join(f"'{e}'" for e in _EXTENSIONS)}][p_partkey % {len(_EXTENSIONS)} + 1] AS e FROM part)
+      SELECT p_partkey, CASE k % 4 WHEN 2 THEN 'a/' ELSE '' END || p_name || CASE k % 3 WHEN 0 THEN '/' ELSE '/' || p_brand || '/' END || k || e AS normal,
+        ['./', '../../', 'a//', ''][k % 4 + 1] || p_name || '/' || p_brand || ['/../', '/', '/./'][k % 3 + 1] AS dir, ['image/png', 'image/svg+xml', 'image/jpeg', NULL, NULL, 'image/webp'][k % 6 + 1] AS mime,
+        CASE WHEN e = '.tar.gz' THEN ['./', '../../', 'a//', ''][k % 4 + 1] || p_name || '/' || p_brand || ['/../', '/', '/./'][k % 3 + 1] || k || '.tar' WHEN e <> '' THEN ['./', '../../', 'a//', ''][k % 4 + 1] || p_name || '/' || p_brand || ['/../', '/', '/./'][k % 3 + 1] || k
+          ELSE regexp_replace(['./', '../../', 'a//', ''][k % 4 + 1] || p_name || '/' || p_brand || ['/../', '/', '/./'][k % 3 + 1] || k, '\\.[^.]+$', '') END AS bare,
+        'root/x/' || p_name AS below, 'root/' || k || '+x%2' AS raw FROM q""",
+    "fonts": f"SELECT p_partkey, CASE WHEN f = '' THEN 'Foo ' || p_brand ELSE f END AS family FROM (SELECT *, [{', '.join(chr(39) + (b or '') + chr(39) for _, b in _FONTS)}][p_partkey % {len(_FONTS)} + 1] AS f FROM part)",
+    "clean_lines": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(text, '(^[\s\x{00a0}\x{3000}\x{feff}]+)|([\s\x{00a0}\x{3000}\x{feff}]+$)', '', 'g'), '[\s\x{00a0}\x{3000}\x{feff}]+', ' ', 'g'), 1, 80) AS line,
+      substr(regexp_replace(replace(text, chr(13), ''), '(^[\s\x{00a0}\x{3000}\x{feff}]+)|([\s\x{00a0}\x{3000}\x{feff}]+$)', '', 'g'), 1, 80) AS message FROM documents""",
+    "cookie_values": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS VARCHAR) END AS a, 'x=' || c_name AS b, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS sid FROM customer",
+    "colours": """SELECT p_partkey, '#' || lpad(upper(to_hex((p_partkey * 7919 + 16711680) & 16777215)), 6, '0') AS hex,
+      '#' || array_to_string(list_transform([p_size / 40.0::DOUBLE, p_size / 40.0::DOUBLE - 0.5::DOUBLE, 1.0::DOUBLE - p_size / 40.0::DOUBLE], lambda c: lpad(upper(to_hex(CAST(round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) * 255, 0) AS BIGINT))), 2, '0')), '') AS rgb FROM part""",
+    "image_fit": "WITH f AS (SELECT p_partkey, w, h, least(1.0, 600 / w, 800 / h) AS k FROM (SELECT p_partkey, p_size * 37.0::DOUBLE AS w, p_partkey % 1600 + 1.0::DOUBLE AS h FROM part)) SELECT p_partkey, w, h, round(w * k, 6) AS img_w, round(h * k, 6) AS img_h, round(w * k + 100, 6) AS page_w, round(h * k + 100, 6) AS page_h, round(w * k + 100 - 20 - 50, 6) AS x, round(h * k + 100 - 10 - 50, 6) AS y, greatest(50.0::DOUBLE, least(w, h)) AS held FROM f",
     "units": "SELECT p_partkey, floor(CAST(p_size AS DOUBLE) * CAST(25.4 AS DOUBLE) / 96 * 1000 + 0.5) / 1000 AS mm, CAST(trunc(p_size / 2.54 * 7200) AS BIGINT) AS hwp_cm, CAST(p_size * 100 AS BIGINT) AS hwp_pt, round(p_size / 7200.0 * 25.4, 6) AS hwp_mm, CAST(greatest(0, floor((1 - p_size / 60.0) * 100 + 0.5)) AS BIGINT) AS saved FROM part",
 }

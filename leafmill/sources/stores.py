@@ -12,25 +12,23 @@ _EVENT = "struct<type:string,email:string,processedAt:string>"
 UPLOAD_LIMIT = 50 * 1024 * 1024
 
 
-def auth_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The maps of a store file as tables ``sessions``, ``premium`` and ``webhook_events``; an unreadable file counts as empty."""
-    raw = spark.read.text(path, wholetext=True)
+def auth_store(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The maps of store files as tables ``sessions``, ``premium`` and ``webhook_events``; an unreadable store counts as empty.
+
+    A file is one store, or with ``lines`` every line of it is one.
+    """
+    raw = spark.read.text(path, wholetext=not lines)
     store = raw.select(F.from_json("value", f"sessions map<string,{_SESSION}>, premiumByEmail map<string,{_PREMIUM}>, processedEvents map<string,{_EVENT}>").alias("s"))
     part = lambda name, key: store.select(F.explode(f"s.{name}").alias(key, "r")).select(key, *(f"r.{f}" for f in _fields(store, name) if f != key))
     return {"sessions": part("sessions", "id"), "premium": part("premiumByEmail", "email"), "webhook_events": part("processedEvents", "delivery_id")}
 
 
-def usage_store(spark: SparkSession, path: str) -> DataFrame:
-    """``key, count, date`` of a usage store's JSON object; an unreadable file counts as empty."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<count:int,date:string>>").alias("s"))
+def usage_store(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``key, count, date`` of usage stores' JSON objects, one a file or with ``lines`` one a line; an unreadable store counts as empty."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,struct<count:int,date:string>>").alias("s"))
     return raw.select(F.explode("s").alias("key", "r")).select("key", "r.count", "r.date")
 
 
-def replace_store(rows: DataFrame, path: str) -> None:
-    """A store's rows, written whole in place of the last ones."""
-    rows.write.mode("overwrite").json(path)
-
-
 _LINE = "struct<text:string,x:double,y:double,width:double,height:double,baseline:double,natural_width:double,font_family:string,font_size:double,bold:boolean,color:string>"
 _BOX = "struct<x:double,y:double,width:double,height:double,stroke:string,fill:string,stroke_width:double>"
 _IMAGE = "struct<id:string,x:double,y:double,width:double,height:double,natural_w:int,natural_h:int>"
