@@ -90,9 +90,11 @@ _GENERATORS = [
     ("account", re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{12,19}(?![0-9A-Za-z]|[.,-][0-9])")),
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     ("account", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_./+-])eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{0,4096}")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_./+-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/-])")),
     ("secret", re.compile(r"(?i)(?<![a-z])(?:passw(?:or)?d|pwd|secret|token|key)[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,128})")),
 ]
+_ASSIGNS = _GENERATORS[-1][1]
 _SPELLED = re.compile(r"[\[({<] ?(?:at|AT|@) ?[\])}>]| (?:dot|DOT) ")
 _SAYS = [re.compile(p, re.I) for p in (r"mail|contact|write|reach", r"\bip\b|host|server|addr|client|login", r"card|visa|master|amex|pay|credit|debit", r"phone|tel|call|mobile|cell|fax|dial|sms")]
 _SAYS += [re.compile(p, re.I) for p in (r"acc(?:oun)?t|konto|iban|cuenta|compte|bank|ssn|social", r"token|secret|passw|pwd|key|credential|auth|bearer")]
@@ -103,11 +105,14 @@ _SWITCH = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Proposed spans, which may overlap."""
+    """Proposed spans, which may overlap.
+
+    A generator is left out where its own pattern can't match: addresses without a spelled sign, numbers without a digit.  An assigned secret needs neither.
+    """
     digit, spelled = bool(_DIGIT.search(text)), bool(_SPELLED.search(text))
     out = []
     for kind, pattern in _GENERATORS:
-        if spelled if kind == "email" else digit:
+        if spelled if kind == "email" else digit or pattern is _ASSIGNS:
             out += [(kind, *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
     return out
 
@@ -365,22 +370,40 @@ def find(text: str, trees: Trees) -> list[tuple[str, int, int, bool, float]]:
     """All spans ``(kind, start, end, base, score)`` by kind as listed, then start; base spans score 1."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    longest = max((b - a for a, b in taken), default=0)
     out = [(*s, True, 1.0) for s in base]
-    proposed = [c for c in candidates(text) if _free(taken, c[1], c[2])]
+    proposed = [c for c in candidates(text) if _free(taken, c[1], c[2], longest)]
     if proposed:
         score = trees.scores(np.array([features(text, *c) for c in proposed], float))
-        for i in np.argsort(-score, kind="stable"):
+        passed = [i for i in np.argsort(-score, kind="stable") if score[i] >= trees.threshold[proposed[i][0]]]
+        whole = _outermost([proposed[i][1:] for i in passed])
+        for i in passed:
             kind, a, b = proposed[i]
-            if score[i] >= trees.threshold[kind] and _free(taken, a, b):
+            if (a, b) in whole and _free(taken, a, b, longest):
                 taken.insert(bisect_left(taken, (a, b)), (a, b))
+                longest = max(longest, b - a)
                 out.append((kind, a, b, False, float(score[i])))
     return sorted(out, key=lambda s: (ALL_KINDS.index(s[0]), s[1], s[2]))
 
 
-def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether no taken span overlaps; base spans of different kinds may overlap each other, so some before are looked at."""
+def _outermost(spans: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Spans that no other one covers: a part of an account isn't taken for a phone where the whole account passed."""
+    out, end = set(), -1
+    for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+        if b > end:
+            out.add((a, b))
+            end = b
+    return out
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int, longest: int) -> bool:
+    """Whether no taken span overlaps; ``longest`` of them tells how far before ``a`` one may begin."""
     i = bisect_left(taken, (b, -1))
-    return not any(e > a for _, e in taken[max(0, i - 4) : i])
+    while i and taken[i - 1][0] > a - longest - 1:
+        i -= 1
+        if taken[i][1] > a:
+            return False
+    return True
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, redacted: str | None = None) -> DataFrame:
@@ -388,7 +411,7 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None, r
 
     ``spans`` are ``struct<kind, start, end, base, score>`` in code points, end exclusive, by kind as
     listed, then start: first the base kinds, then ``account`` and ``secret``.  A null text counts as empty; an empty table gives no rows;
-    repeated rows are searched each; of candidates with equal scores the first proposed wins; columns of the added names are replaced.
+    repeated rows are searched each; of candidates that pass, one that covers another wins, then the higher score, then the first proposed; columns of the added names are replaced.
     """
     added = ["spans"] + [redacted] * bool(redacted)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]

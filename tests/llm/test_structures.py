@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import merkle, prefix_trie, structure_queries, warc
+from leafmill.llm import decontam, merkle, pii, prefix_trie, structure_queries, warc
 
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
 
@@ -179,3 +179,34 @@ def test_rebuilt_conversations(spark, tmp_path):
     convs = {c: own.get(c - rest(c), [])[: h[c]] + own[c][h[c] :] for c in own}
     got = structure_queries.op13_prefix_trie(spark, str(tmp_path)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
     assert {tuple(x) for x in got.collect()} == plain_trie(convs)
+
+
+def test_secrets_need_no_digit_elsewhere_and_whole_spans_win():
+    trees = pii.trained()
+    found = lambda text: [(k, text[a:b]) for k, a, b, *_ in pii.find(text, trees)]
+    assert found("token: abcdefghQWERTY") == found("token: abcdefghQWERTY x 1")[:1]
+    assert found("IBAN DE89 3704 0044 0532 0130 00") == [("account", "DE89 3704 0044 0532 0130 00")]
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    assert ("secret", token) in found(f"auth bearer: {token} end")
+    text = "a@b.c" + "x" * 40 + " 1.2.3.4 5.6.7.8 9.9.9.9 8.8.8.8 7.7.7.7 6.6.6.6"
+    assert all(pii._free(sorted([(0, 60), (50, 57), (51, 58), (52, 59), (53, 60), (54, 60)]), a, a + 1, 60) == (a >= 60) for a in range(1, 70)) and found(text)[0][0] == "email"
+
+
+def test_windows_over_words_find_what_texts_hold():
+    r = random.Random(8)
+    items = [(str(i), " ".join(r.choice(["a", "B", "é", "c1"]) for _ in range(r.randrange(0, 14)))) for i in range(30)] + [("3", "same id other text"), (None, "none"), ("9", None)]
+    matcher = decontam.automaton(decontam.windows(items, 4))
+    for _ in range(60):
+        text = " ".join(r.choice(["a", "b", "É", "é", "C1", "same id", "other, text", "zz"]) for _ in range(r.randrange(40)))
+        words = [w.decode() for w in decontam.words_of(text.encode())]
+        hit, named = set(), set()
+        for name, item in items:
+            w = [x.decode() for x in decontam.words_of((item or "").encode())]
+            for k in range(max(1, len(w) - 3) if w and name else 0):
+                run = w[k : k + 4]
+                for at in range(len(words) - len(run) + 1):
+                    if words[at : at + len(run)] == run:
+                        hit |= set(range(at, at + len(run)))
+                        named.add(name)
+        n, runs, found = decontam.scan(text.encode(), matcher)
+        assert (n, {p for a, b in runs for p in range(a, b)}, found) == (len(words), hit, named)
