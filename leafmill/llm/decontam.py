@@ -1,17 +1,18 @@
 """Benchmark decontamination by one Aho-Corasick automaton over word windows.
 
-The automaton's letters are words, by their numbers in the benchmark's vocabulary, so a window of ten words has ten nodes at most.  Its size is
-proven before it is broadcast: it holds items of at most ``MAX_CHARS`` characters, and a worker process builds it once.  A larger
-benchmark is scanned in passes over stored rows, each with the automaton of its share of the items, so a task never holds more than one.
+The automaton's size is proven before it is broadcast: it holds items of at most ``MAX_CHARS`` characters, which take some 0.13 GB as windows and
+0.7 GB as nodes, and a worker process builds it once.  A larger benchmark is scanned in passes over stored rows, each with the automaton of its
+share of the items, so a task never holds more than one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from leafmill.llm._store import discard, stored
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before folding
 #: Benchmark text that one automaton may hold, in characters.
-MAX_CHARS = 4_000_000
+MAX_CHARS = 2_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,29 +48,19 @@ def windows(items: list[tuple[str, str | None]], width: int = 10) -> dict[str, l
     return {k: sorted(v) for k, v in found.items()}
 
 
-@dataclass
-class Matcher:
-    """The automaton and the numbers of its words; 0 stands for all others."""
-
-    numbers: dict[bytes, int]
-    machine: ahocorasick.Automaton
-
-
-def automaton(found: dict[str, list[str]]) -> Matcher:
-    numbers: dict[bytes, int] = {}
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+def automaton(found: dict[str, list[str]]) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
     for key, names in found.items():
-        words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words_of(key.encode()))
-        machine.add_word(words, (len(words), names))
+        machine.add_word(key, (len(key), names))
     machine.make_automaton()
-    return Matcher(numbers, machine)
+    return machine
 
 
-#: The automaton of the last broadcast that this process has scanned with.
-_BUILT: dict[int, tuple[dict, Matcher | None]] = {}
+#: The automaton of the part that this process scanned with last.
+_BUILT: dict[int, tuple[dict, ahocorasick.Automaton | None]] = {}
 
 
-def _built(shipped: Broadcast) -> Matcher | None:
+def _built(shipped: Broadcast) -> ahocorasick.Automaton | None:
     """The automaton of a broadcast part, built by the first task of a worker process."""
     part = shipped.value  # one object for each process and broadcast
     if id(part) not in _BUILT:
@@ -89,18 +80,23 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: bytes, matcher: Matcher | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: bytes, machine: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """The number of words, the merged runs of hit words (first, last + 1) and the items found in ``text``."""
-    words = words_of(text)
-    if not words or matcher is None:
-        return len(words), [], set()
+    folded = text.translate(_FOLD).split()
+    n = len(folded)
+    if not n or machine is None:
+        return n, [], set()
+    line = " " + b" ".join(folded).decode() + " "
+    starts: list[int] | None = None
     runs: list[tuple[int, int]] = []
     items: set[str] = set()
-    get = matcher.numbers.get
-    for last, (length, names) in matcher.machine.iter(tuple([get(w, 0) for w in words])):
-        runs.append((last - length + 1, last + 1))
+    for end, (length, names) in machine.iter(line):
+        if starts is None:
+            ends = np.cumsum([len(w.decode()) + 1 for w in folded])
+            starts = [1, *(ends[:-1] + 1).tolist()]
+        runs.append((bisect_left(starts, end - length + 2), bisect_right(starts, end)))
         items.update(names)
-    return len(words), merged(runs), items
+    return n, merged(runs), items
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", width: int = 10) -> Iterator[dict[str, list[str]]]:
@@ -133,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     names = T.ArrayType(T.StringType())
 
-    def found(batch: pa.RecordBatch, first: bool, machine: Matcher | None) -> Iterator[tuple[bytes, int, list[tuple[int, int]], list[str]]]:
+    def found(batch: pa.RecordBatch, first: bool, machine: ahocorasick.Automaton | None) -> Iterator[tuple[bytes, int, list[tuple[int, int]], list[str]]]:
         """Each text with its words, runs and items, those of earlier passes among them."""
         at = batch.schema.get_field_index("__leafmill_text")
         before = [([], [])] * batch.num_rows if first else zip(batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist())
