@@ -16,7 +16,7 @@ from leafmill.functions import webhook as H
 from leafmill.operators import accounts as A
 from leafmill.operators import markdown as D
 from leafmill.plans.layout import text_lines
-from leafmill.sources import archives, markup, odf_shapes, stores
+from leafmill.sources import archives, markup, odf_shapes, stores, zip_directory
 from leafmill.sources.scratch import scratch_path
 from leafmill.sources.tables import table
 
@@ -196,6 +196,25 @@ def hwpx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(archives.unpacked(_packed(spark, sf_dir, "hwpx"), "hwpx"))
 
 
+#: Names of the parts of the archives below, by kind.
+_ARCHIVES = (("[Content_Types].xml", "word/document.xml"), ("mimetype", "Contents/section0.xml"), ("META-INF/container.xml", "O/ch.xhtml"), ("content.xml", "META-INF/manifest.xml"), ("a.txt", "b.txt"))
+
+
+def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an archive of its two halves, of one of five kinds, some of them cut off; told apart by their central directories."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.expr("length(text) div 2")
+    names = F.get(F.array(*(F.array(*map(F.lit, pair)) for pair in _ARCHIVES)), (F.col("doc_id") % len(_ARCHIVES)).cast("int"))
+    part = lambda i, body: F.struct(F.get(names, F.lit(i)).alias("name"), F.encode(body, "UTF-8").alias("content"))
+    parts = F.array(part(0, F.substr("text", F.lit(1), half)), part(1, F.substr("text", half + 1)))
+    packed = docs.select("doc_id", zip_directory.zip_stored(parts).alias("whole"))
+    content = F.when(F.col("doc_id") % 7 == 0, F.substr("whole", F.lit(1), F.length("whole") - 4)).otherwise(F.col("whole"))
+    found = packed.select("doc_id", content.alias("content")).withColumn("end", zip_directory.end_record(F.col("content"))).withColumn("entries", zip_directory.entries(F.col("content"), F.col("end")))
+    kind = zip_directory.archive_kind(F.transform("entries", lambda e: e["name"]))
+    size = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["size"])
+    return found.select("doc_id", kind.alias("kind"), F.size("entries").alias("n_parts"), F.array_join(F.transform("entries", lambda e: e["name"]), ",").alias("names"), size.alias("size"), F.get("entries", F.lit(1))["offset"].alias("second"))
+
+
 def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers by their first bytes, and the sizes of pictures."""
     k = F.col("p_partkey")
@@ -327,7 +346,7 @@ _SUP = "sup AS (SELECT s_suppkey AS k, s_name AS name FROM supplier)"
 QUERIES = {
     f.__name__: f
     for f in (
-        svg_sizes, svg_glyphs, svg_rects, svg_images, xml_pages, xml_lines, word_boxes, word_overlay, odf_lines, odf_tables, epub_chapters, hwpx_paragraphs, container_kinds, numbered_files, markdown_pages,
+        svg_sizes, svg_glyphs, svg_rects, svg_images, xml_pages, xml_lines, word_boxes, word_overlay, odf_lines, odf_tables, epub_chapters, hwpx_paragraphs, archive_kinds, container_kinds, numbered_files, markdown_pages,
         odf_boxes, odf_frame_lines, odf_images, odf_page_sizes, auth_store, usage_store, audit_log, layout_scan, webhook_purchases, webhook_signatures, stream_webhooks, form_feeds, escaped_pages,
     )
 }
@@ -362,6 +381,9 @@ SQL = {
       UNION ALL SELECT doc_id, 3, NULL, NULL, 'missing manifest item' FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, NULL, NULL, 'unreadable: BadZipFile' FROM d WHERE doc_id % 7 = 0""",
     "hwpx_paragraphs": """WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS t, len(coalesce(text, '')) // 2 AS h FROM documents)
       SELECT doc_id, 0 AS place, 'Contents/section10.xml' AS part, md5(substr(t, 1, h) || '!') AS md5, NULL AS skipped FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 1, 'Contents/section2.xml', md5(substr(t, h + 1) || '!'), NULL FROM d WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 0, NULL, NULL, 'unreadable: BadZipFile' FROM d WHERE doc_id % 7 = 0""",
+    "archive_kinds": f"""WITH d AS (SELECT doc_id, doc_id % 5 AS k, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, k, t, len(t) // 2 AS h, [{', '.join('[' + ', '.join(f"'{n}'" for n in pair) + ']' for pair in _ARCHIVES)}][k + 1] AS names FROM d)
+      SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN ['docx', 'hwpx', 'epub', 'odf', 'zip'][k + 1] END AS kind, CASE WHEN doc_id % 7 <> 0 THEN 2 END AS n_parts, CASE WHEN doc_id % 7 <> 0 THEN array_to_string(names, ',') END AS names,
+        CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(t) AS BIGINT) END AS size, CASE WHEN doc_id % 7 <> 0 THEN CAST(30 + strlen(names[1]) + strlen(substr(t, 1, h)) AS BIGINT) END AS second FROM n""",
     "container_kinds": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ole' WHEN 1 THEN 'zip' WHEN 2 THEN 'png' WHEN 3 THEN 'pdf' END AS kind, CASE WHEN p_partkey % 5 = 2 THEN p_size END AS width, CASE WHEN p_partkey % 5 = 2 THEN CAST(p_partkey AS INT) END AS height FROM part",
     "numbered_files": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 6 = 0 THEN 12 ELSE p_partkey END AS INT) AS number FROM part",
     "markdown_pages": """SELECT p_partkey, '<h1>' || p_name || '</h1>' || chr(10) || '<ul>' || chr(10) || '<li><strong>' || p_brand || '</strong></li>' || chr(10) || '<li><code>' || p_size || '</code></li>' || chr(10) || '</ul>' || chr(10) || chr(10) || '<ol>' || chr(10) || '<li>one</li>' || chr(10) || '</ol>' || chr(10)
