@@ -72,3 +72,27 @@ def test_long_pages_are_not_searched_as_a_whole(spark):
     assert best.count() == len(words)
     # A word looks at four lines at first, and a few need more.
     assert more.count() + 4 * len(words) < 0.05 * len(words) * len(lines)
+
+
+def test_tiles_find_what_all_pairs_find(spark):
+    r = random.Random(9)
+    side = lambda: r.choice([0.0, r.uniform(0, 30), r.uniform(0, 500), 3000.0, 64.0])
+    at = lambda: r.choice([r.uniform(-300, 900), 64.0 * r.randrange(-2, 6)])
+    lines = [(p, i, at(), at(), 2.0, 4.0) for p in range(3) for i in range(60)]
+    boxes = [(p, i, at(), at(), side(), side()) for p in range(2) for i in range(25)]
+    kind = "page int, {} int, x double, y double, width double, height double"
+    ld, bd = spark.createDataFrame(lines, kind.format("n")), spark.createDataFrame(boxes, kind.format("b"))
+    held = lambda n, b: n[0] == b[0] and b[2] - 1 <= n[2] + n[4] / 2 <= b[2] + b[4] + 1 and b[3] - 1 <= n[3] + n[5] / 2 <= b[3] + b[5] + 1
+    pairs = sorted((n[0], n[1], b[1]) for n in lines for b in boxes if held(n, b))
+    assert sorted((x.page, x.n, x.box_b) for x in layout.inside(ld, bd, ["page"]).collect()) == pairs
+    some = {p[:2] for p in pairs}
+    assert sorted((x.page, x.n) for x in layout.inside(ld, bd, ["page"], how="left_semi").collect()) == sorted(some)
+    assert sorted((x.page, x.n) for x in layout.inside(ld, bd, ["page"], how="left_anti").collect()) == sorted({n[:2] for n in lines} - some)
+    near = {}
+    for n in lines:
+        fits = [(b[4] * b[5], b[1]) for b in boxes if n[0] == b[0] and b[2] - 1 <= n[2] <= b[2] + b[4] + 1 and b[3] - 40 <= n[3] <= b[3] + b[5] + 40]
+        if fits:
+            near[n[:2]] = min(fits)[1]
+    got = layout.smallest_cell(ld.withColumnRenamed("n", "glyph_seq"), bd.withColumnRenamed("b", "cell_seq"), ["page"])
+    assert {(x.page, x.glyph_seq): x.cell_seq for x in got.collect()} == near
+    assert layout.inside(ld, bd.limit(0), ["page"]).isEmpty() and layout.inside(ld, bd.limit(0), ["page"], how="left_anti").count() == len(lines)
