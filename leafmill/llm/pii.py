@@ -94,7 +94,7 @@ _GENERATORS = [
     ("secret", re.compile(r"(?<![A-Za-z0-9_./+-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/-])")),
     ("secret", re.compile(r"(?i)(?<![a-z])(?:passw(?:or)?d|pwd|secret|token|key)[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,128})")),
 ]
-_ASSIGNS = _GENERATORS[-1][1]
+_ASSIGNS, _TOKEN = _GENERATORS[-1][1], _GENERATORS[-3][1]
 _SPELLED = re.compile(r"[\[({<] ?(?:at|AT|@) ?[\])}>]| (?:dot|DOT) ")
 _SAYS = [re.compile(p, re.I) for p in (r"mail|contact|write|reach", r"\bip\b|host|server|addr|client|login", r"card|visa|master|amex|pay|credit|debit", r"phone|tel|call|mobile|cell|fax|dial|sms")]
 _SAYS += [re.compile(p, re.I) for p in (r"acc(?:oun)?t|konto|iban|cuenta|compte|bank|ssn|social", r"token|secret|passw|pwd|key|credential|auth|bearer")]
@@ -107,12 +107,14 @@ _SWITCH = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans, which may overlap.
 
-    A generator is left out where its own pattern can't match: addresses without a spelled sign, numbers without a digit.  An assigned secret needs neither.
+    A generator is left out where its own pattern can't match: addresses without a spelled sign, web tokens without their head, assigned secrets
+    without a colon or an equals sign, and all others without a digit.
     """
-    digit, spelled = bool(_DIGIT.search(text)), bool(_SPELLED.search(text))
+    needs = {"email": bool(_SPELLED.search(text)), _ASSIGNS: ":" in text or "=" in text, _TOKEN: "eyJ" in text}
+    digit = bool(_DIGIT.search(text))
     out = []
     for kind, pattern in _GENERATORS:
-        if spelled if kind == "email" else digit or pattern is _ASSIGNS:
+        if needs.get(pattern, needs.get(kind, digit)):
             out += [(kind, *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
     return out
 
