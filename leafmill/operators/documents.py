@@ -153,3 +153,36 @@ def media_of(blocks: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
     first = media.groupBy(*keys, "id").agg(F.min_by(F.struct("natural_w", "natural_h"), "media_seq").alias("m"))
     ids = blocks.withColumn("id", F.regexp_extract("text", r"^\[이미지: ([^\]]+)\]$", 1)).where("id <> ''")
     return ids.join(first, [*keys, "id"], "left").select(*ids.columns, "m.*")
+
+
+#: What a page without text before its table is called, where a table stands that moves no margin, and that margin; hundredths of a point, and the least side of a cell.
+UNTITLED, TABLE_TOP, TOP_MARGIN, PER_POINT, LEAST_CELL = "PDF 문서", 124.55, 9600, 100, 300
+
+
+def structured_pages(lines: DataFrame, tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Each page as one nested row: ``keys, title, slogan, margin_top, width, rows``; ``rows`` are those of its first table, null without one.
+
+    ``tables`` has ``(keys, table_seq, y, width, columns, row_heights)``, ``cells`` ``(keys, table_seq, cell_seq, row, col, row_span, col_span, text)``; of several cells of
+    one place the last counts.  Every place of the grid that no span covers has a cell, an empty one where none is given; a row that is
+    covered throughout has none.  Title and slogan come from the lines above the table.
+    """
+    rounded = lambda c: F.floor(c * PER_POINT + 0.5).cast("int")
+    side = lambda sizes, at, n: F.greatest(F.lit(LEAST_CELL), rounded(F.aggregate(F.slice(sizes, at + 1, n), F.lit(0.0), lambda a, b: a + b)))
+    first = tables.groupBy(*keys).agg(F.min_by(F.struct("table_seq", "y", "width", "columns", "row_heights"), "table_seq").alias("t"))
+    heads = headings(lines.join(first, keys, "left").where(F.col("t").isNull() | (F.col("y") < F.col("t.y"))).select(lines.columns), keys)
+    gridded = first.where((F.size("t.columns") > 0) & (F.size("t.row_heights") > 0))
+    each_row = gridded.select(*keys, "t", F.explode(F.sequence(F.lit(0), F.size("t.row_heights") - 1)).alias("row"))
+    grid = each_row.select(*keys, "t", "row", F.explode(F.sequence(F.lit(0), F.size("t.columns") - 1)).alias("col"))
+    given = cells.groupBy(*keys, "table_seq", "row", "col").agg(F.max_by(F.struct("row_span", "col_span", "text"), "cell_seq").alias("c"))
+    given = given.join(first.select(*keys, F.col("t.table_seq").alias("table_seq")), [*keys, "table_seq"]).drop("table_seq")
+    span = lambda name: F.greatest(F.lit(1), F.coalesce(F.col(f"c.{name}"), F.lit(1))).alias(name)
+    full = grid.join(given, [*keys, "row", "col"], "left").select(*keys, "row", "col", "t", span("row_span"), span("col_span"), F.coalesce("c.text", F.lit("")).alias("text"))
+    shown = visible_cells(full, keys)
+    one = F.struct("col", "text", "col_span", "row_span", side(F.col("t.columns"), F.col("col"), F.col("col_span")).alias("width"), side(F.col("t.row_heights"), F.col("row"), F.col("row_span")).alias("height"))
+    by_row = shown.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(one)).alias("cells"))
+    rows = each_row.join(by_row, [*keys, "row"], "left").select(*keys, F.struct("row", side(F.col("t.row_heights"), F.col("row"), F.lit(1)).alias("height"), F.coalesce("cells", F.array().cast(dict(by_row.dtypes)["cells"])).alias("cells")).alias("r"))
+    built = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    pages = lines.select(*keys).union(tables.select(*keys)).distinct()
+    out = pages.join(heads, keys, "left").join(first, keys, "left").join(built, keys, "left")
+    margin = F.greatest(F.lit(0), TOP_MARGIN + F.coalesce(rounded(F.col("t.y") - TABLE_TOP), F.lit(0)))
+    return out.select(*keys, F.coalesce("title", F.lit(UNTITLED)).alias("title"), "slogan", margin.alias("margin_top"), F.when(F.col("rows").isNotNull(), rounded(F.col("t.width"))).alias("width"), "rows")

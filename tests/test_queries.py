@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from leafmill.plans import accounts, documents, drawing, layout, markdown, markup, personal_data, streams, styles, text
+from leafmill.plans import accounts, documents, drawing, layout, markdown, markup, personal_data, streams, structured, styles, text
 
-FAMILIES = (personal_data, accounts, text, layout, drawing, documents, markup, markdown, styles, streams)
+FAMILIES = (personal_data, accounts, text, layout, drawing, documents, markup, markdown, structured, styles, streams)
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
