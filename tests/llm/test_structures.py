@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, merkle, pii, prefix_trie, structure_queries, warc
+from leafmill.llm import decontam, merkle, pii, prefix_trie, sharding, structure_queries, warc
 
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
 
@@ -210,3 +210,30 @@ def test_windows_over_words_find_what_texts_hold():
                         named.add(name)
         n, runs, found = decontam.scan(text.encode(), matcher)
         assert (n, {p for a, b in runs for p in range(a, b)}, found) == (len(words), hit, named)
+
+
+def test_shards_are_cut_as_a_plain_loop_cuts(spark):
+    r = random.Random(3)
+    texts = [r.choice(["copy", "x" * 50, "y" * r.randrange(200), None, "é" * r.randrange(30)]) for _ in range(300)]
+    df = spark.createDataFrame([(r.choice([None, i]), t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c")).collect()
+    order = sorted(rows, key=lambda x: (x.h, x.doc_id is not None, x.doc_id or 0, x.c))
+    sizes = [len(x.t.encode()) + 8 for x in order]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    total, n = sum(sizes), 7
+    cuts = []
+    for k in range(1, n):
+        cut = total * k // n
+        at = max(i for i, s in enumerate(starts) if s <= cut)  # the row that the target falls into, or at whose begin it lies
+        group = [i for i, x in enumerate(order) if x.h == order[at].h]
+        a, b = starts[group[0]], starts[group[-1]] + sizes[group[-1]]
+        if len(group) > 1 and b - a <= sharding.WHOLE * total / n:
+            cut = a if cut - a <= b - cut else b
+        cuts.append(cut)
+    want, slots = [], {}
+    for x, s, size in zip(order, starts, sizes):
+        shard = sum(s >= c for c in cuts)
+        want.append((x.doc_id is not None, x.doc_id or 0, size, x.c, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+    got = [(x.id is not None, x.id or 0, x.size, x.text_crc32, x.shard, x.slot) for x in sharding.assign_shards(df, n, partitions=5).collect()]
+    assert sorted(got) == sorted(want)
