@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,19 +22,26 @@ def trim_ws(s: Column) -> Column:
 
 def attributes(s: Column) -> Column:
     """The ``name="value"`` pairs of a tag as a map; the last of equal names counts."""
-    names = F.regexp_extract_all(s, F.lit(r'([\w:-]+)="([^"]*)"'), F.lit(1))
-    values = F.regexp_extract_all(s, F.lit(r'([\w:-]+)="([^"]*)"'), F.lit(2))
-    kept = F.filter(F.arrays_zip(names.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")), lambda p: F.size(names) - F.array_position(F.reverse(names), p.k) + 1 == p.i)
-    return F.when(F.size(names) > 0, F.map_from_entries(F.transform(kept, lambda p: F.struct(p.k, p.v)))).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+    pattern = F.lit(r'([\w:-]+)="([^"]*)"')
+    found = F.struct(F.regexp_extract_all(s, pattern, F.lit(1)).alias("names"), F.regexp_extract_all(s, pattern, F.lit(2)).alias("values"))
+
+    def last(f: Column) -> Column:
+        pairs = F.zip_with(f["names"], f["values"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        kept = F.filter(pairs, lambda p, i: F.size(f["names"]) - F.array_position(F.reverse(f["names"]), p.k) == i)
+        return F.when(F.size(f["names"]) > 0, F.map_from_entries(kept)).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+
+    return bound(found, last)
 
 
 def _numeric(s: Column, pattern: str, base: int) -> Column:
     """Numeric character references decoded; piece by piece between the matches."""
-    refs = F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-    gaps = F.split(s, pattern, -1)
     char = lambda r: F.decode(F.unhex(F.lpad(F.hex(F.conv(r, base, 10).cast("long")), 8, "0")), "UTF-32")
-    pieces = F.zip_with(gaps, refs, lambda g, r: F.concat(F.coalesce(g, F.lit("")), F.when(r.isNull(), "").otherwise(char(r))))
-    return F.when(F.size(refs) > 0, F.array_join(pieces, "")).otherwise(s)
+
+    def joined(v: Column, refs: Column) -> Column:
+        pieces = F.zip_with(F.split(v, pattern, -1), refs, lambda g, r: F.concat(F.coalesce(g, F.lit("")), F.when(r.isNull(), "").otherwise(char(r))))
+        return F.when(F.size(refs) > 0, F.array_join(pieces, "")).otherwise(v)
+
+    return bound(s, lambda v: bound(F.regexp_extract_all(v, F.lit(pattern), F.lit(1)), lambda refs: joined(v, refs)))
 
 
 def decode_entities(s: Column) -> Column:
@@ -241,8 +251,7 @@ def saved_percent(before: Column, after: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.floor((1 - after / before) * 100 + 0.5))
 
 
-def glyph_weight(c: Column) -> Column:
-    """A character's relative width."""
-    return (
-        F.when(F.ascii(c) > 0x7F, 1.0).when(c.rlike("[ilI.,:;!'`|]"), 0.28).when(c.isin(*"fjt[]()"), 0.36).when(c.rlike("[MW@#%&]"), 0.9).when(c.rlike("[A-Z0-9]"), 0.62).otherwise(0.52)
-    )
+#: Relative widths of ASCII characters in hundredths; all others have 100.
+GLYPH_WEIGHTS = np.full(128, 52)
+for _chars, _weight in ((string.ascii_uppercase + string.digits, 62), ("MW@#%&", 90), ("fjt[]()", 36), ("ilI.,:;!'`|", 28)):
+    GLYPH_WEIGHTS[[*_chars.encode()]] = _weight
