@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import styles as S
+from leafmill.functions import text as X
 from leafmill.sources.tables import table
 
 _K = "p_partkey"
@@ -46,12 +47,12 @@ def style_css(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array(has(2, "height", s * 100), has(3, "textColor", F.lit("#123456")), has(5, "shadeColor", F.lit("none")), has(4, "bold", k % 8 / 4), has(7, "underline", F.lit("BOTTOM")), has(6, "ratio", s + 50), has(9, "spacing", s * -10), has(10, "faceNameHangul", F.lit("바탕")), has(15, "faceNameLatin", F.lit("바탕")), has(11, "faceNameLatin", F.lit("Arial")))
     # Equal names: the last entry counts.
     entries = F.filter(entries, lambda e: e.isNotNull())
-    entries = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o.k == e.k))
+    entries = X.bound(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o.k == e.k)))
     chars = F.map_from_entries(F.transform(entries, lambda e: F.struct(e.k, F.when(e.k == "bold", F.regexp_replace(e.v, r"\.0$", "")).otherwise(e.v))))
     side = lambda t, w: F.struct(F.lit(t).alias("type"), w.alias("width"), F.lit("#222").alias("colour"))
     sides = F.when(k % 3 > 0, F.create_map(F.lit("top"), side("SINGLE", s / 10.0), F.lit("left"), side("NONE", s / 10.0), F.lit("bottom"), side("DASH", F.lit(0.5))))
     names = _pick(["본문", "큰 제목", "Heading 1", "Subtitle", "머리말2", "Normal"])
-    return _parts(spark, sf_dir).select(_K, S.char_css(chars).alias("char"), S.para_css(_pick(["LEFT", "CENTER", "DISTRIBUTED", "ODD"])).alias("para"), S.border_css(sides, F.when(k % 2 == 0, "#eee")).alias("border"), S.is_heading(names).alias("heading"))
+    return _parts(spark, sf_dir).repartition(_K).select(_K, X.bound(chars, S.char_css).alias("char"), S.para_css(_pick(["LEFT", "CENTER", "DISTRIBUTED", "ODD"])).alias("para"), S.border_css(sides, F.when(k % 2 == 0, "#eee")).alias("border"), S.is_heading(names).alias("heading"))
 
 
 def _sql_pick(values: list[str], step: int = 1) -> str:
