@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ValueState
 
 DAY = 86_400_000_000
 #: Fixed values, in microseconds: a session's and a job's lifetime, how often jobs are swept; and the daily limit.
@@ -38,6 +39,14 @@ def _ordered(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r.at, r.seq))
 
 
+def _keep(value: ValueState, was: tuple | None, now: tuple | None) -> None:
+    """A key's state after its rows, written once and only if it has changed."""
+    if now is None and was is not None:
+        value.clear()
+    elif now != was:
+        value.update(now)
+
+
 class _Processor(StatefulProcessor):
     """One key's state; timers that were set are known to the store, whose handle is kept here."""
 
@@ -71,33 +80,29 @@ class Sessions(_Processor):
         schema = T.StructType([T.StructField("created", T.LongType()), T.StructField("expires", T.LongType())])
         self.live = handle.getValueState("session", schema, self.ttl) if self.ttl else handle.getValueState("session", schema)
 
-    def _end(self, expires: int) -> None:
-        self.live.clear()
-        self.not_at(expires)
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.live.get() if self.live.exists() else None
+        was = held = tuple(self.live.get()) if self.live.exists() else None
         for r in _ordered(rows):
             if held and held[1] <= r.at:
                 yield Row(key=key[0], seq=None, outcome="expired", at=held[1])
-                self._end(held[1])
+                self.not_at(held[1])
                 held = None
             if r.kind == "create":
                 if held:
                     yield Row(key=key[0], seq=r.seq, outcome="replaced", at=r.at)
-                    self._end(held[1])
+                    self.not_at(held[1])
                 held = (r.at, r.at + self.lifetime)
-                self.live.update(held)
                 self.at(held[1])
                 yield Row(key=key[0], seq=r.seq, outcome="created", at=r.at)
             elif not held:
                 yield Row(key=key[0], seq=r.seq, outcome="denied", at=r.at)
             elif r.kind == "delete":
                 yield Row(key=key[0], seq=r.seq, outcome="deleted", at=r.at)
-                self._end(held[1])
+                self.not_at(held[1])
                 held = None
             else:
                 yield Row(key=key[0], seq=r.seq, outcome="allowed", at=r.at)
+        _keep(self.live, was, held)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.live.exists():
@@ -123,12 +128,11 @@ class Jobs(_Processor):
         return Row(key=key[0], seq=r.seq if r else None, before=before, status=state[0], progress=float(state[1]), reason=reason, at=at)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = tuple(self.job.get()) if self.job.exists() else None
+        was = held = tuple(self.job.get()) if self.job.exists() else None
         for r in _ordered(rows):
             if held and held[2] <= r.at:  # its sweep has come since
                 yield self._out(key, None, held[0], ("swept", held[1]), None, held[2])
                 self.not_at(held[2])
-                self.job.clear()
                 held = None
             before = held[0] if held else None
             reason, new = None, held
@@ -153,8 +157,8 @@ class Jobs(_Processor):
                 new = ("completed", 100.0, held[2]) if r.kind == "complete" else ("failed", held[1], held[2])
             if reason is None:
                 held = new
-                self.job.update(held)
             yield self._out(key, r, before, held or ("none", 0.0), reason, r.at)
+        _keep(self.job, was, held)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.job.exists():
@@ -174,15 +178,18 @@ class Quota(_Processor):
         self.days = handle.getMapState("days", T.StructType([T.StructField("day", T.LongType())]), T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        used: dict[tuple, int] = {}  # each call to the store is a round trip, so a day is read and written once
         for r in _ordered(rows):
             day = (r.at // DAY,)
-            if self.days.containsKey(day):
-                n = self.days.getValue(day)[0] + 1
-            else:
-                n = 1
-                self.at((day[0] + 1) * DAY)
-            self.days.updateValue(day, (n,))
+            if day not in used:
+                known = self.days.containsKey(day)
+                used[day] = self.days.getValue(day)[0] if known else 0
+                if not known:
+                    self.at((day[0] + 1) * DAY)
+            n = used[day] = used[day] + 1
             yield Row(key=key[0], seq=r.seq, day=_day(r.at), n=n, consume_allowed=n < self.limit, checked_allowed=n <= self.limit)
+        for day, n in used.items():
+            self.days.updateValue(day, (n,))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // DAY - 1,))
@@ -204,6 +211,7 @@ class Entitlements(_Processor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = tuple(self.record.get()) if self.record.exists() else None
+        timers = set()
         for r in _ordered(rows):
             name = (r.event_id,)
             if r.kind in ("one_time", "monthly", "ended") and r.event_id is not None and self.seen.containsKey(name):
@@ -228,7 +236,9 @@ class Entitlements(_Processor):
                 continue
             if r.event_id is not None:
                 self.seen.updateValue(name, (r.at,))
-                self.at(((r.at + self.remember) // DAY + 1) * DAY)
+                timers.add(((r.at + self.remember) // DAY + 1) * DAY)
+        for time in timers:
+            self.at(time)
         if state:
             self.record.update(state)
             yield Row(key=key[0], passes=state[0], expires=state[1], plan=state[2])

@@ -1,11 +1,15 @@
 """Work that grows with the input only: parts of bounded size, no repeated evaluation, no sorts of glyphs."""
 
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import layout as L
 from leafmill.plans import styles
 from leafmill.sources.tables import in_parts
+from leafmill.streaming import lifetimes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -55,3 +59,32 @@ def test_texts_are_searched_once(spark):
 
 def test_styles_are_made_once_in_many_tasks(spark):
     assert plan(styles.style_css(spark, DIR)).count("shadeColor") < 8 and "Exchange" in plan(styles.style_css(spark, DIR))
+
+
+class _Store:
+    """A map or value state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls += 1
+            return {"containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}), "exists": lambda: 0 in self.held, "get": lambda: self.held[0], "update": lambda v: self.held.update({0: v}), "clear": lambda: self.held.clear()}[name](*a)
+
+        return call
+
+
+def test_state_is_written_once_a_batch():
+    rows = [Row(at=i, seq=i, kind=k, value=float(i)) for i, k in enumerate(["start", *["progress"] * 99])]
+    quota, jobs, sessions = lifetimes.Quota(), lifetimes.Jobs(), lifetimes.Sessions()
+    quota.days, jobs.job, sessions.live = stores = [_Store() for _ in range(3)]
+    for p in (quota, jobs, sessions):
+        p.handle = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    assert [r.n for r in quota.handleInputRows((1,), iter(rows), None)] == [*range(1, 101)]
+    assert [r.progress for r in jobs.handleInputRows((1,), iter(rows), None)] == [float(i) for i in range(100)]
+    renewed = [Row(at=i, seq=i, kind="create") for i in range(50)]
+    assert len(list(sessions.handleInputRows((1,), iter(renewed), None))) == 99
+    assert all(s.calls <= 3 for s in stores)
+    list(sessions.handleInputRows((1,), iter([Row(at=60, seq=60, kind="delete")]), None))
+    assert sessions.live.held == {}
