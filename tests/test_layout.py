@@ -166,3 +166,8 @@ def test_markdown_blocks(spark):
     }
     df = spark.createDataFrame([*enumerate(cases), (99, None)], "k int, text string")
     assert {r.k: r.html for r in markdown_html(df, ["k"]).collect()} == dict(enumerate(cases.values())) | {99: ""}
+
+
+def test_equal_values_are_one_cluster(spark):
+    df = spark.createDataFrame([(1, v) for v in (1.0, 1.0, 200.0, 200.0, 200.0, 201.0) * 20], "k int, v double").repartition(7)
+    assert sorted((r.cluster, r.n) for r in L.chain_clusters(df, ["k"], "v", 150.0).collect()) == [(0, 40), (1, 80)]
