@@ -1,13 +1,19 @@
 """Work that grows with the input only: parts of bounded size, no repeated evaluation, no sorts of glyphs."""
 
+import io
+import random
+import time
 from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators import documents as D
 from leafmill.operators import layout as L
-from leafmill.plans import styles
+from leafmill.plans import documents, styles
+from leafmill.sources import archives
 from leafmill.sources.tables import in_parts
 from leafmill.streaming import lifetimes
 
@@ -88,3 +94,50 @@ def test_state_is_written_once_a_batch():
     assert all(s.calls <= 3 for s in stores)
     list(sessions.handleInputRows((1,), iter([Row(at=60, seq=60, kind="delete")]), None))
     assert sessions.live.held == {}
+
+
+def test_words_meet_lines_without_stored_pairs(spark, monkeypatch):
+    box = "x double, y double, width double, height double"
+    words = [(p, i, t, x, float(i * 9 % 70), 12.0, 12.0) for p in (1, 2) for i, (t, x) in enumerate([("Ab", 0.0), ("cd", 50.0), (None, 5.0), ("Ab", 300.0), ("q", None), ("é", 7.0)])]
+    lines = [(p, i, t, float(i % 3 * 40), i * 11.0, 90.0, 12.0) for p in (1, 3) for i, t in enumerate(["xab", "CD cd", None, "É", "xab", ""])]
+    w, n = spark.createDataFrame(words, f"p int, word_seq bigint, text string, {box}"), spark.createDataFrame(lines, f"p int, line_seq int, text string, {box}")
+    pairs = n.alias("n").withColumn("_low", F.lower("text")).alias("n").join(w.withColumn("_low", F.lower("text")).alias("w"), "p").select("p", "word_seq", "line_seq", L._style_score("w", "n").alias("score"))
+    want = pairs.groupBy("p", "word_seq").agg(F.min(F.struct(F.col("score").isNull(), "score", "line_seq")).alias("s")).select("p", "word_seq", "s.line_seq", "s.score")
+    monkeypatch.setattr(L, "PAIRS", 7)
+    got = L.nearest_style(w, n, ["p"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 6
+    assert "FlatMapCoGroupsInArrow" in plan(got) and "Join" not in plan(got)
+
+
+def test_wide_grids_are_folded_by_rows(spark):
+    r, rows, cols = random.Random(3), 250, 100
+    cells = [(1, y, x, r.choice([1, 1, 1, 2, 3]), r.choice([0, 1, 1, 1, 2])) for y in range(rows) for x in range(cols) if r.random() < 0.9]
+    taken, want = set(), []
+    for k, y, x, wide, tall in sorted(cells):
+        if (y, x) not in taken:
+            want.append((k, y, x))
+            taken |= {(y + i, x + j) for i in range(tall) for j in range(wide)}
+    df = spark.createDataFrame([(k, y, x, tall, wide) for k, y, x, wide, tall in cells], "k int, row int, col int, row_span int, col_span int")
+    start = time.monotonic()
+    assert sorted((c.k, c.row, c.col) for c in D.visible_cells(df, ["k"]).collect()) == want
+    assert time.monotonic() - start < 20  # every cell against all before it: 280 million comparisons
+
+
+def test_headings_take_one_grouping(spark):
+    lines = [(1, 0, 0.0, "ab"), (1, 1, 30.0, " "), (1, 2, 60.0, "abc "), (1, 3, 90.0, "xyz"), (2, 0, 0.0, "one"), (2, 1, 50.0, "one")]
+    out = D.headings(spark.createDataFrame([(*n[:2], 0.0, *n[2:]) for n in lines], "page int, line_seq int, x double, y double, text string"), ["page"])
+    assert sorted(map(tuple, out.collect())) == [(1, "abc", "ab"), (2, "one", None)]
+    assert "Join" not in plan(out) and "Exchange" in plan(documents.doc_headings(spark, DIR)) and plan(documents.doc_headings(spark, DIR)).count("Exchange hash") == 1
+
+
+def test_unpacked_files_share_batches(monkeypatch):
+    held = SimpleNamespace(mapInPandas=lambda run, schema: run)
+    run = archives.unpacked(SimpleNamespace(select=lambda *c: held), "hwpx")
+    files = pd.DataFrame({"path": [str(i) for i in range(300)], "content": [b"broken"] * 300})
+    assert [len(part) for part in run(iter([files]))] == [300]
+    monkeypatch.setattr(archives, "CHARS", 10)
+    out = io.BytesIO()
+    with archives.zipfile.ZipFile(out, "w") as z:
+        z.writestr("Contents/section0.xml", "<s><p><t>twelve chars</t></p></s>")
+    whole = [part["text"].tolist() for part in run(iter([files.assign(content=out.getvalue()).head(3)]))]
+    assert sum(whole, []) == ["twelve chars"] * 3 and max(map(len, whole)) == 1
