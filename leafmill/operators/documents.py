@@ -21,9 +21,8 @@ def headings(lines: DataFrame, keys: list[str], size: float = 3.0) -> DataFrame:
     """Each page's title, the longest row of lines within one y bucket (the first of equals), and its slogan, the first other row."""
     rows = lines.groupBy(*keys, F.floor(F.col("y") / size + 0.5).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("x", "line_seq", "text"))).alias("p"), F.min("line_seq").alias("seq"))
     rows = rows.select(*keys, "seq", X.trim_ws(F.array_join(F.transform("p", lambda q: q.text), "")).alias("t")).where("t <> ''")
-    titles = rows.groupBy(*keys).agg(F.max_by("t", F.struct(F.length("t"), -F.col("seq"))).alias("title"))
-    other = rows.join(titles, keys).where("t <> title").groupBy(*keys).agg(F.min_by("t", "seq").alias("slogan"))
-    return titles.join(other, keys, "left")
+    page = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("r"), F.max_by("t", F.struct(F.length("t"), -F.col("seq"))).alias("title"))  # one page's rows
+    return page.select(*keys, "title", F.get(F.filter("r", lambda q: q.t != F.col("title")), F.lit(0)).t.alias("slogan"))
 
 
 def gaps(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

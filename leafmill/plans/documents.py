@@ -18,7 +18,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.headings(text_lines(spark, sf_dir), ["doc_id"])
+    out = D.headings(text_lines(spark, sf_dir, dealt=True), ["doc_id"])
     return out.select("doc_id", "title", "slogan")
 
 
