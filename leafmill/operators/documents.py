@@ -95,12 +95,32 @@ def pushed_down(lines: DataFrame, tables: DataFrame, keys: list[str], table_gap:
 
 
 def visible_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Grid cells ``(row, col, row_span, col_span)`` that no earlier cell's span covers; covered ones go with what they span."""
-    one = F.struct("row", "col", "row_span", "col_span")
-    page = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("cells"))
-    covers = lambda k, c: (c.row >= k.row) & (c.row < k.row + k.row_span) & (c.col >= k.col) & (c.col < k.col + k.col_span)
-    kept = F.aggregate("cells", F.from_json(F.lit("[]"), "array<struct<row:int,col:int,row_span:int,col_span:int>>"), lambda acc, c: F.when(F.exists(acc, lambda k: covers(k, c)), acc).otherwise(F.array_append(acc, c)))
-    return page.select(*keys, F.explode(kept).alias("c")).select(*keys, "c.row", "c.col").join(cells, [*keys, "row", "col"])
+    """Grid cells ``(row, col, row_span, col_span)`` that no earlier cell's span covers; covered ones go with what they span.
+
+    A page is folded row by row.  What is carried on is the spans that reach the row, so a cell is held against about a row's worth of them, not all cells before it.
+    """
+    page = cells.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", "row_span", "col_span"))).alias("cells"))
+    page = page.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
+    covers = lambda k, c: (c.col >= k.col) & (c.col < k.col + k.col_span)
+    empty = lambda kind: F.from_json(F.lit("[]"), f"array<{kind}>")
+    span, held = "struct<to:int,col:int,col_span:int>", "struct<row:int,cols:array<int>>"
+
+    def in_row(row: Column) -> Column:
+        def place(a: Column, c: Column) -> Column:
+            reach = F.struct((row.row + c.row_span).cast("int").alias("to"), c.col.cast("int").alias("col"), c.col_span.cast("int").alias("col_span"))
+            spans = F.when((c.row_span > 0) & ((c.row_span > 1) | (c.col_span > 1)), F.array_append(a.open, reach)).otherwise(a.open)
+            return F.when(F.exists(a.open, lambda k: covers(k, c)), a).otherwise(F.struct(spans.alias("open"), F.array_append(a.cols, c.col.cast("int")).alias("cols")))
+
+        return place
+
+    def next_row(acc: Column, row: Column) -> Column:
+        start = F.struct(F.filter(acc.open, lambda k: k.to > row.row).alias("open"), empty("int").alias("cols"))
+        done = F.aggregate(row.cells, start, in_row(row), lambda a: F.struct(a.open.alias("open"), F.array_append(acc.kept, F.struct(row.row.cast("int").alias("row"), F.array_distinct(a.cols).alias("cols"))).alias("kept")))
+        return done
+
+    kept = F.aggregate("rows", F.struct(empty(span).alias("open"), empty(held).alias("kept")), next_row, lambda a: a.kept)
+    shown = page.select(*keys, F.explode(kept).alias("r")).select(*keys, "r.row", F.explode("r.cols").alias("col"))
+    return shown.join(cells, [*keys, "row", "col"])
 
 
 def interleaved(lines: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
