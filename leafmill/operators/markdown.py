@@ -78,17 +78,21 @@ def markdown_html(docs: DataFrame, keys: list[str], text: str = "text", out: str
     begun = F.when(item & ~F.col("list").eqNullSafe(F.col("kind")), F.concat(F.when(F.col("list").isNotNull(), F.concat(closing, F.lit("\n"))).otherwise(""), F.lit("<"), F.col("kind"), F.lit(">")))
     piece = lambda rank, html: F.struct(F.col("i").cast("long").alias("i"), F.lit(rank).alias("rank"), html.alias("html"))
     own = F.filter(F.array(piece(_END, F.when(F.col("ends"), closing)), piece(_BEGIN, begun), piece(_OWN, _own(F.col("s"), F.col("raw"), F.col("kind")))), lambda p: p["html"].isNotNull())
-    # A table goes where the first line behind its rows lets it go, or at the end.
-    rows = lines.where("kind = 'row'").groupBy(*keys, "group").agg(F.array_sort(F.collect_list(F.struct("i", _row(F.col("s")).alias("html")))).alias("rows"))
-    tables = rows.select(*keys, "group", F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</table>")).alias("html"))
-    let_go = lines.where("frees").select(*keys, "group", "i")
+    # The rows of a table, and with them the line that lets them go, are the lines between two such lines; a document is what its stretches give. One grouping inside
+    # the other, both by what the lines were dealt by.
     end = F.lit((1 << 31) - 1).cast("long")
-    tables = tables.join(let_go, [*keys, "group"], "left").select(*keys, F.struct(F.coalesce(F.col("i").cast("long"), end).alias("i"), F.lit(_TABLE).alias("rank"), F.col("html")).alias("p"))
+    state = F.struct(F.when(item, F.col("kind")).when(~ends, F.col("list")).alias("list"))
+    stretches = lines.groupBy(*keys, "group").agg(
+        F.flatten(F.collect_list(own)).alias("ps"), F.array_sort(F.collect_list(F.when(F.col("kind") == "row", F.struct("i", _row(F.col("s")).alias("html"))))).alias("rows"),
+        F.max(F.when(F.col("frees"), F.col("i").cast("long"))).alias("let_go"), F.sum(mark.cast("int")).alias("marks"), F.max_by(state, "i").alias("o"), F.max("i").alias("at"),
+    )
+    table = F.concat(F.lit("<table>"), F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</table>"))
+    placed = F.struct(F.coalesce("let_go", end).alias("i"), F.lit(_TABLE).alias("rank"), F.when(F.size("rows") > 0, table).alias("html"))
+    stretches = stretches.withColumn("ps", F.concat("ps", F.filter(F.array(placed), lambda p: p["html"].isNotNull())))
+    whole = stretches.groupBy(*keys).agg(F.flatten(F.collect_list("ps")).alias("ps"), F.sum("marks").alias("marks"), F.max_by("o", "at").alias("o"))  # a document is one text
     # What is open when the text ends: a fence, then a list.
-    last = lines.groupBy(*keys).agg(F.sum(mark.cast("int")).alias("marks"), F.max_by(F.struct(F.when(item, F.col("kind")).when(~ends, F.col("list")).alias("list")), "i").alias("o"))
     tail = lambda rank, html: F.struct(end.alias("i"), F.lit(rank).alias("rank"), html.alias("html"))
     open_ = F.filter(F.array(tail(_END - 1, F.when(F.col("marks") % 2 == 1, F.lit("</code></pre>"))), tail(_END, F.concat(F.lit("</"), F.col("o.list"), F.lit(">")))), lambda p: p["html"].isNotNull())
-    pieces = lines.select(*keys, F.explode(own).alias("p")).unionByName(tables).unionByName(last.select(*keys, F.explode(open_).alias("p")))
-    whole = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps"))  # a document is one text
+    whole = whole.select(*keys, F.array_sort(F.concat("ps", open_)).alias("ps"))
     html = whole.select(*keys, F.array_join(F.transform("ps", lambda p: p["html"]), "\n").alias(out))
     return docs.select(*keys).join(html, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))
