@@ -28,7 +28,9 @@ def attributes(s: Column) -> Column:
     def last(f: Column) -> Column:
         pairs = F.zip_with(f["names"], f["values"], lambda k, v: F.struct(k.alias("k"), v.alias("v")))
         kept = F.filter(pairs, lambda p, i: F.size(f["names"]) - F.array_position(F.reverse(f["names"]), p.k) == i)
-        return F.when(F.size(f["names"]) > 0, F.map_from_entries(kept)).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+        once = F.size(F.array_distinct(f["names"])) == F.size(f["names"])
+        some = F.when(once, F.map_from_arrays(f["names"], f["values"])).otherwise(F.map_from_entries(kept))
+        return F.when(F.size(f["names"]) > 0, some).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
 
     return bound(found, last)
 

@@ -47,9 +47,12 @@ def svg_glyphs(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:
 
 def svg_rects(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:
     """Rectangles with an area."""
-    t = _tags(df, keys, svg, r"(?i)<rect\b([^>]*)/?>", "seq").withColumn("a", X.attributes(F.col("g1")))
-    num = lambda n: F.coalesce(F.col("a")[n].try_cast("double"), F.lit(0.0)).alias(n.replace("-", "_"))
-    return t.select(*keys, "seq", *map(num, ("x", "y", "width", "height", "stroke-width")), F.col("a")["fill"].alias("fill"), F.col("a")["stroke"].alias("stroke")).where("width > 0 and height > 0")
+    num = lambda a, n: F.coalesce(a[n].try_cast("double"), F.lit(0.0)).alias(n.replace("-", "_"))
+    rect = lambda a: F.struct(*(num(a, n) for n in ("x", "y", "width", "height", "stroke-width")), a["fill"].alias("fill"), a["stroke"].alias("stroke"))
+    found = F.regexp_extract_all(svg, F.lit(r"(?i)<rect\b([^>]*)/?>"), F.lit(1))
+    # Numbers are taken where the tag is read: a filter on columns of maps would make the maps once more for each side.
+    t = df.select(*keys, F.posexplode(F.transform(found, lambda g: X.bound(X.attributes(g), rect))).alias("seq", "r"))
+    return t.where("r.width > 0 and r.height > 0").select(*keys, "seq", "r.*")
 
 
 def svg_images(df: DataFrame, keys: list[str], svg: str = "svg") -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import documents as D
 from leafmill.operators import layout as L
+from leafmill.operators.markdown import markdown_html
 from leafmill.plans import documents, styles
-from leafmill.sources import archives
+from leafmill.plans import markup as markup_plans
+from leafmill.sources import archives, markup
 from leafmill.sources.tables import in_parts
 from leafmill.streaming import lifetimes
 
@@ -127,7 +129,7 @@ def test_headings_take_one_grouping(spark):
     lines = [(1, 0, 0.0, "ab"), (1, 1, 30.0, " "), (1, 2, 60.0, "abc "), (1, 3, 90.0, "xyz"), (2, 0, 0.0, "one"), (2, 1, 50.0, "one")]
     out = D.headings(spark.createDataFrame([(*n[:2], 0.0, *n[2:]) for n in lines], "page int, line_seq int, x double, y double, text string"), ["page"])
     assert sorted(map(tuple, out.collect())) == [(1, "abc", "ab"), (2, "one", None)]
-    assert "Join" not in plan(out) and "Exchange" in plan(documents.doc_headings(spark, DIR)) and plan(documents.doc_headings(spark, DIR)).count("Exchange hash") == 1
+    assert "MergeJoin" not in plan(out) and "HashJoin" not in plan(out) and plan(documents.doc_headings(spark, DIR)).count("Exchange ") == 1
 
 
 def test_unpacked_files_share_batches(monkeypatch):
@@ -141,3 +143,25 @@ def test_unpacked_files_share_batches(monkeypatch):
         z.writestr("Contents/section0.xml", "<s><p><t>twelve chars</t></p></s>")
     whole = [part["text"].tolist() for part in run(iter([files.assign(content=out.getvalue()).head(3)]))]
     assert sum(whole, []) == ["twelve chars"] * 3 and max(map(len, whole)) == 1
+
+
+def test_rects_are_read_once_in_many_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, '<rect x="1" width="0" height="2"/><RECT width="2" width="3" height="q" height="4" fill="#a"/>'), (2, "")], "k int, svg string")
+    out = markup.svg_rects(df, ["k"])
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 0.0, 0.0, 3.0, 4.0, 0.0, "#a", None)]
+    assert plan(out).count("regexp_extract_all") == 3
+    monkeypatch.setattr(markup_plans, "PART", 2000)
+    assert markup_plans.svgs(spark, DIR).rdd.getNumPartitions() > 2
+
+
+def test_markdown_is_one_pass_over_parts_of_bounded_size(spark):
+    docs = in_parts(spark.createDataFrame([(1, "|a|\n# h\nx\n|b|"), (2, "```\n|c|"), (3, "- a\n|d|\n- b\n|e|"), (4, "")], "k int, text string"), "k", "text", 5)
+    out = markdown_html(docs, ["k"])
+    got = {r.k: r.html for r in out.collect()}
+    row = "<tr><td>{}</td></tr>".format
+    assert got == {
+        1: f"<h1>h</h1>\n<table>{row('a')}</table>\n<p>x</p>\n<table>{row('b')}</table>", 2: "<pre><code>\n|c|\n</code></pre>",
+        3: f"<ul>\n<li>a</li>\n</ul>\n<table>{row('d')}</table>\n<ul>\n<li>b</li>\n</ul>\n<table>{row('e')}</table>", 4: "",
+    }
+    assert plan(markdown_html(docs, ["k"])).count("Generate posexplode") == 1
+    assert plan(markup_plans.markdown_pages(spark, DIR)).count("Generate posexplode") == 1
