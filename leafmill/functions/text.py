@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 import numpy as np
@@ -16,8 +17,13 @@ def bound(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+#: The characters of :data:`WS` one by one.
+_SPACES = " \t\n\v\f\r" + "".join(c for c in map(chr, range(0x80, 0x10000)) if re.match(WS, c) and c not in "\x85")
+
+
 def trim_ws(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
+    """Without white space at either end; by its characters, as a pattern is tried at every character of a long text."""
+    return F.btrim(s, F.lit(_SPACES))
 
 
 def attributes(s: Column) -> Column:
