@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import masking as M
+from leafmill.functions import text as X
 
 KINDS = tuple(M.PRIORITY)
 
@@ -52,19 +53,22 @@ def detect_preview(docs: DataFrame, keys: list[str], text: str = "text", kinds:
     return found.withColumn("_n", first).where("_n = 1").select(*keys, "type", "text", "masked_text", "verified")
 
 
-def characters(items: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each page: its text without white space and each character's box, in item order.
-
-    ``items`` has ``keys``, ``item_seq``, ``str``, ``transform`` (six numbers), ``width`` and ``height``.
-    """
+def _pages(items: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each page: its ``items`` in order, with the place of their first character and the size of each."""
     n = F.length("str")
     a, d, x, y = (F.coalesce(F.get("transform", F.lit(i)), F.lit(0.0)) for i in (0, 3, 4, 5))
     wide = F.when(F.col("width") > 0, F.col("width") / n).when(F.abs(a) != 0, F.abs(a)).otherwise(8.0)
     tall = F.when(F.abs(d) != 0, F.abs(d)).when(F.coalesce("height", F.lit(0.0)) != 0, F.col("height")).otherwise(12.0)
     item = F.struct("item_seq", "str", x.alias("x"), y.alias("y"), wide.alias("w"), tall.alias("h"))
-    page = items.where(n > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))  # one page's items
-    page = page.withColumn("plain", M.no_space(F.array_join(F.transform("items", lambda i: i.str), "")))
-    boxes = F.flatten(
+    return items.where(n > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))  # one page's items
+
+
+def _plain() -> Column:
+    return M.no_space(F.array_join(F.transform("items", lambda i: i.str), ""))
+
+
+def _boxes() -> Column:
+    return F.flatten(
         F.transform(
             "items",
             lambda i: F.filter(
@@ -73,7 +77,14 @@ def characters(items: DataFrame, keys: list[str]) -> DataFrame:
             ),
         )
     )
-    return page.select(*keys, "plain", boxes.alias("chars"))
+
+
+def characters(items: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each page: its text without white space and each character's box, in item order.
+
+    ``items`` has ``keys``, ``item_seq``, ``str``, ``transform`` (six numbers), ``width`` and ``height``.
+    """
+    return _pages(items, keys).select(*keys, _plain().alias("plain"), _boxes().alias("chars"))
 
 
 def detect_positioned(items: DataFrame, keys: list[str], kinds: tuple[str, ...] = KINDS, shown: tuple[str, ...] = ("rrn", "phone", "email")) -> DataFrame:
@@ -82,9 +93,10 @@ def detect_positioned(items: DataFrame, keys: list[str], kinds: tuple[str, ...]
     All kinds are looked for in the page's text without white space. A detection goes if more than half of its own area lies in one
     that was kept before it, strongest kind first; kinds outside ``shown`` are dropped only after that.
     """
-    hits = matches(F.col("plain"), F.col("plain"), kinds)
-    # Only pages with a match need their characters' boxes; the filters run before these are built.
-    pages = characters(items, keys).withColumn("hits", hits).where(F.size("hits") > 0)
+    # Only pages with a match need their characters' boxes.  A page is searched where its row is made: a filter on the matches would search it once more, and
+    # make its text anew wherever a match names it.
+    hits = F.array(X.bound(_plain(), lambda t: matches(t, t, kinds)))
+    pages = _pages(items, keys).select(*keys, "items", F.explode(F.filter(hits, lambda h: F.size(h) > 0)).alias("hits")).select(*keys, "hits", _boxes().alias("chars"))
 
     def boxed(m: Column) -> Column:
         part = F.slice("chars", m.start + 1, m.length)

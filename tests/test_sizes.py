@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import documents as D
 from leafmill.operators import layout as L
+from leafmill.operators import personal_data as P
 from leafmill.operators.markdown import markdown_html
 from leafmill.plans import documents, styles
 from leafmill.plans import markup as markup_plans
@@ -165,3 +166,18 @@ def test_markdown_is_one_pass_over_parts_of_bounded_size(spark):
     }
     assert plan(markdown_html(docs, ["k"])).count("Generate posexplode") == 1
     assert plan(markup_plans.markdown_pages(spark, DIR)).count("Generate posexplode") == 1
+
+
+def test_ends_are_trimmed_without_a_pattern(spark):
+    df = spark.createDataFrame([("　\t a  b ﻿\n",), (" \n",), ("a\u0085",), (None,)], "s string")
+    out = df.select(X.trim_ws(F.col("s")).alias("t"))
+    assert [r.t for r in out.collect()] == ["a  b", "", "a\u0085", None] and "regexp" not in plan(out)
+
+
+def test_pages_are_searched_once(spark):
+    items = spark.createDataFrame([(1, 0, "a.b@c", 30.0), (1, 1, ".org", 24.0), (2, 0, "nothing", 42.0)], "p int, item_seq int, str string, width double")
+    items = items.withColumn("transform", F.array(*map(F.lit, (12.0, 0.0, 0.0, 12.0, 0.0, 5.0)))).withColumn("height", F.lit(12.0))
+    out = P.detect_positioned(items, ["p"], shown=P.KINDS)
+    assert [(r.p, r.type, r.text) for r in out.collect()] == [(1, "email", "a.b@c.org")]
+    filters = [n for n in plan(out).splitlines() if " Filter " in n]
+    assert not any("regexp" in n for n in filters)
