@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from leafmill.operators import layout as L
 from leafmill.operators import pages as P
 from leafmill.operators import tables as B
 from leafmill.operators.markdown import markdown_html
+from leafmill.plans import layout
 
 
 def box(x, y, w, h, stroke="#000000", fill=None):
@@ -171,3 +173,13 @@ def test_markdown_blocks(spark):
 def test_equal_values_are_one_cluster(spark):
     df = spark.createDataFrame([(1, v) for v in (1.0, 1.0, 200.0, 200.0, 200.0, 201.0) * 20], "k int, v double").repartition(7)
     assert sorted((r.cluster, r.n) for r in L.chain_clusters(df, ["k"], "v", 150.0).collect()) == [(0, 40), (1, 80)]
+
+
+def test_unknown_values_come_last_as_in_the_sql(spark, tmp_path):
+    rows = [(k, v) for k in (1, None) for v in (1000.0, None, 10.0, None, 100.0, float("nan"), 10.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = layout.cluster_chain(spark, str(tmp_path)).select("l_suppkey", "cluster", "total", "n").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, c.sql(layout.SQL["cluster_chain"]).fetchall())) and len(got) == 10
